@@ -136,3 +136,111 @@ def q_reminders_rep(spark, d):
 @register("reminders_loose")
 def q_reminders_loose(spark, d):
     return alerts.reminders_loose(_t(spark, d), P.AS_OF_REMINDERS)
+
+
+# ----------------------------------------------------------- lists
+from fieldlens.plans import listing  # noqa: E402
+
+
+@register("sales_page")
+def q_sales_page(spark, d):
+    return listing.sales_list(_t(spark, d), P.MANAGER_VIEWER, page_no=P.PAGE, size=P.PAGE_SIZE)
+
+
+@register("sales_search")
+def q_sales_search(spark, d):
+    return listing.sales_list(_t(spark, d), P.MANAGER_VIEWER, period=P.PERIOD, search=P.SEARCH)
+
+
+@register("sales_page_rep")
+def q_sales_page_rep(spark, d):
+    return listing.sales_list(_t(spark, d), P.REP_VIEWER, search=" ", page_no=2, size=0)
+
+
+@register("prescription_page")
+def q_prescription_page(spark, d):
+    return listing.prescription_list(_t(spark, d), P.REP_VIEWER, page_no=1, size=1000)
+
+
+@register("prescription_search")
+def q_prescription_search(spark, d):
+    return listing.prescription_list(_t(spark, d), P.MANAGER_VIEWER, period=P.PERIOD, search=P.SEARCH,
+                                     page_no=2, size=10)
+
+
+@register("tender_page")
+def q_tender_page(spark, d):
+    return listing.tender_list(_t(spark, d), P.MANAGER_VIEWER, status=P.TENDER_STATUS,
+                               search="customer#00000", page_no=2, size=0)
+
+
+@register("tender_search")
+def q_tender_search(spark, d):
+    return listing.tender_list(_t(spark, d), P.REP_VIEWER, status="Unknown", search="1", page_no=99)
+
+
+@register("api_sales")
+def q_api_sales(spark, d):
+    return listing.api_sales(_t(spark, d))
+
+
+@register("export_sales")
+def q_export_sales(spark, d):
+    return sales.combined_sales(_t(spark, d), variant="export")
+
+
+@register("api_tenders")
+def q_api_tenders(spark, d):
+    return listing.api_tenders(_t(spark, d))
+
+
+@register("tender_labels")
+def q_tender_labels(spark, d):
+    return listing.tender_labels(_t(spark, d))
+
+
+@register("bundle_employees")
+def q_bundle_employees(spark, d):
+    return listing.bundle_employees(_t(spark, d), P.REP_VIEWER)
+
+
+@register("bundle_customers")
+def q_bundle_customers(spark, d):
+    return listing.bundle_customers(_t(spark, d), P.REP_VIEWER)
+
+
+@register("bundle_recent_reports")
+def q_bundle_recent_reports(spark, d):
+    return listing.bundle_recent_reports(_t(spark, d), P.MANAGER_VIEWER, P.AS_OF)
+
+
+@register("employee_territory_list")
+def q_employee_territory_list(spark, d):
+    return listing.employees_with_territories(_t(spark, d))
+
+
+@register("assignment_names")
+def q_assignment_names(spark, d):
+    return listing.assignment_names(_t(spark, d))
+
+
+@register("account_coverage")
+def q_account_coverage(spark, d):
+    T = _t(spark, d)
+    return listing.account_coverage(T.employee, T.account)
+
+
+@register("profile_counts")
+def q_profile_counts(spark, d):
+    T = _t(spark, d)
+    return listing.profile_counts(T.employee, T.account)
+
+
+@register("admin_search")
+def q_admin_search(spark, d):
+    return listing.admin_search(_t(spark, d), "customer", "customer#0000001", page_no=3)
+
+
+@register("admin_search_last")
+def q_admin_search_last(spark, d):
+    return listing.admin_search(_t(spark, d), "employee", "NHANVIEN", page_no=1000)

@@ -49,7 +49,7 @@ def search_any(df: DataFrame, cols, text, wildcard: bool = True) -> DataFrame:
     needle = str(text).strip()
     if not wildcard:
         needle = needle.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-    pattern = F.lit(f"%{needle}%")
+    pattern = f"%{needle}%"
     return df.filter(reduce(lambda a, b: a | b, [F.col(c).cast("string").ilike(pattern) for c in cols]))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from fieldlens.oracle.views import register, with_views
 from fieldlens import params as P
+from fieldlens.schema import TENDER_LABELS
 
 ORACLE: dict[str, str] = {}
 
@@ -203,4 +204,122 @@ def build() -> dict[str, str]:
       WHERE e.role IN ('NhanVien', 'MR', 'Supervisor')
         AND NOT EXISTS (SELECT 1 FROM v_daily_report d WHERE d.employee_id = e.employee_id
                         AND d.report_date = DATE '{P.AS_OF_REMINDERS}')""")
+    build_lists()
     return ORACLE
+
+
+def _page_sql(inner: str, order: str, page: int, size: int) -> str:
+    page, size = P_clamp(page, size)
+    return f"""
+      SELECT *, greatest(1, CAST(ceil(total / {size}) AS BIGINT)) AS pages, {page} AS page, {size} AS page_size
+      FROM (SELECT *, count(*) OVER () AS total FROM ({inner}) x) y
+      ORDER BY {order} LIMIT {size} OFFSET {(page - 1) * size}"""
+
+
+def P_clamp(page, size):
+    from fieldlens.operators.paging import clamp_page
+    return clamp_page(page, size)
+
+
+def _search(cols, text) -> str:
+    if not text:
+        return "true"
+    t = str(text).strip().replace("'", "''")
+    return "(" + " OR ".join(f"CAST({c} AS VARCHAR) ILIKE '%{t}%'" for c in cols) + ")"
+
+
+def build_lists() -> None:
+    def sales_sql(emp, period, search, page, size):
+        inner = f"""
+          SELECT s.period, s.customer_id, k.customer_name, s.product_id, p.product_name, s.employee_id,
+                 n.employee_name, s.amount, s.source
+          FROM v_combined s JOIN v_customer k ON k.customer_id = s.customer_id
+          JOIN v_product p ON p.product_id = s.product_id JOIN v_employee n ON n.employee_id = s.employee_id
+          WHERE {scope('s', emp)} AND {f"s.period = '{period}'" if period else 'true'}
+            AND {_search(['k.customer_name', 'p.product_name'], search)}"""
+        return _page_sql(inner, "period DESC, customer_name, product_name, customer_id, product_id, "
+                                "employee_id, source", page, size)
+
+    q("sales_page", sales_sql(P.MANAGER, None, None, P.PAGE, P.PAGE_SIZE))
+    q("sales_search", sales_sql(P.MANAGER, P.PERIOD, P.SEARCH, 1, 20))
+    q("sales_page_rep", sales_sql(P.REP, None, " ", 2, 0))
+
+    def rx_sql(emp, period, search, page, size):
+        inner = f"""
+          SELECT r.prescription_id, r.report_date, r.employee_id, n.employee_name, r.customer_id, k.customer_name,
+                 r.product_id, p.product_name, r.quantity, r.amount
+          FROM v_rx r JOIN v_customer k ON k.customer_id = r.customer_id
+          JOIN v_product p ON p.product_id = r.product_id JOIN v_employee n ON n.employee_id = r.employee_id
+          WHERE {scope('r', emp)} AND {f"r.period = '{period}'" if period else 'true'}
+            AND {_search(['k.customer_name', 'p.product_name', 'n.employee_name'], search)}"""
+        return _page_sql(inner, "report_date DESC, prescription_id, employee_id, customer_id, product_id, "
+                                "quantity, amount", page, size)
+
+    q("prescription_page", rx_sql(P.REP, None, None, 1, 1000))
+    q("prescription_search", rx_sql(P.MANAGER, P.PERIOD, P.SEARCH, 2, 10))
+
+    def tender_sql(emp, status, search, page, size):
+        known = status in ("DangLamHoSo", "ChoKetQua", "TrungThau", "TruotThau")
+        inner = f"""
+          SELECT t.tender_id, t.customer_id, k.customer_name, t.product_id, p.product_name, t.quantity,
+                 t.bid_price, t.status, t.employee_id, n.employee_name, t.due_date, t.updated_date
+          FROM v_tender t JOIN v_customer k ON k.customer_id = t.customer_id
+          JOIN v_product p ON p.product_id = t.product_id JOIN v_employee n ON n.employee_id = t.employee_id
+          WHERE {scope('t', emp)} AND {f"t.status = '{status}'" if known else 'true'}
+            AND {_search(['t.tender_id', 'k.customer_name', 'p.product_name', 'n.employee_name'], search)}"""
+        return _page_sql(inner, "updated_date DESC, tender_id", page, size)
+
+    q("tender_page", tender_sql(P.MANAGER, P.TENDER_STATUS, "customer#00000", 2, 0))
+    q("tender_search", tender_sql(P.REP, "Unknown", "1", 99, None))
+
+    q("api_sales", """
+      SELECT coalesce(source, '') AS source, period, CAST(customer_id AS VARCHAR) AS customer_id,
+             CAST(product_id AS VARCHAR) AS product_id, CAST(employee_id AS VARCHAR) AS employee_id,
+             coalesce(amount, CAST(0 AS DECIMAL(38,2))) AS amount
+      FROM v_combined_b""")
+    q("export_sales", "SELECT * FROM v_combined_b")
+    q("api_tenders", """
+      SELECT CAST(tender_id AS VARCHAR) AS tender_id, CAST(customer_id AS VARCHAR) AS customer_id,
+             CAST(product_id AS VARCHAR) AS product_id, CAST(coalesce(quantity, 0) AS BIGINT) AS quantity,
+             coalesce(bid_price, CAST(0 AS DECIMAL(14,2))) AS bid_price, status,
+             CAST(employee_id AS VARCHAR) AS employee_id, coalesce(strftime(due_date, '%Y-%m-%d'), '') AS due_date
+      FROM v_tender""")
+    labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TENDER_LABELS.items())
+    q("tender_labels", f"""
+      SELECT tender_id, status, coalesce(CASE status {labels} END, status) AS status_label,
+             replace(format('{{:,.0f}}', round(bid_price, 0)), ',', '.') || ' ₫' AS bid_price_text
+      FROM v_tender""")
+    terr = """(SELECT e.*, coalesce(t.ids, []) AS territory_ids FROM v_employee e LEFT JOIN
+               (SELECT employee_id, list(territory_id ORDER BY territory_id) AS ids FROM v_employee_territory
+                GROUP BY employee_id) t ON t.employee_id = e.employee_id)"""
+    q("employee_territory_list", f"SELECT * FROM {terr}")
+    q("bundle_employees", f"SELECT * FROM {terr} WHERE employee_id = {P.REP}")
+    q("bundle_customers", f"SELECT * FROM v_customer k WHERE {cust_scope('k', P.REP)}")
+    q("bundle_recent_reports", f"SELECT * FROM v_daily_report WHERE report_date >= DATE '{P.AS_OF}' - 31")
+    q("assignment_names", """
+      SELECT ec.employee_id, ec.customer_id, coalesce(e.employee_name, CAST(ec.employee_id AS VARCHAR)) AS employee_name,
+             coalesce(k.customer_name, CAST(ec.customer_id AS VARCHAR)) AS customer_name
+      FROM v_employee_customer ec LEFT JOIN v_employee e ON e.employee_id = ec.employee_id
+      LEFT JOIN v_customer k ON k.customer_id = ec.customer_id""")
+    cov = """SELECT e.employee_id, e.employee_name, e.role, e.status, a.username, a.username IS NOT NULL AS has_account
+             FROM v_employee e LEFT JOIN v_account a ON a.employee_id = e.employee_id"""
+    q("account_coverage", cov)
+    q("profile_counts", f"""
+      SELECT count(*) AS employees, count(*) FILTER (WHERE has_account) AS with_account,
+             count(*) FILTER (WHERE NOT has_account) AS without_account FROM ({cov}) c""")
+
+    def admin_sql(view, cols, text, page, size=6):
+        hay = " || ' ' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols)
+        t = str(text).lower().replace("'", "''")
+        return f"""
+          WITH hits AS (SELECT {', '.join(cols)} FROM {view} WHERE contains(lower({hay}), '{t}')),
+          pg AS (SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / {size}) AS BIGINT)) AS pages FROM hits),
+          shown AS (SELECT total, pages, least({page}, pages) AS page FROM pg),
+          ranked AS (SELECT *, row_number() OVER (ORDER BY {cols[0]}) - 1 AS rk FROM hits)
+          SELECT ranked.* EXCLUDE (rk), shown.*, {size} AS page_size FROM ranked CROSS JOIN shown
+          WHERE rk >= (shown.page - 1) * {size} AND rk < shown.page * {size}"""
+
+    q("admin_search", admin_sql("v_customer", ["customer_id", "customer_name", "customer_type", "territory_id",
+                                               "status"], "customer#0000001", 3))
+    q("admin_search_last", admin_sql("v_employee", ["employee_id", "employee_name", "email", "role", "status"],
+                                     "NHANVIEN", 1000))
