@@ -244,3 +244,276 @@ def q_admin_search(spark, d):
 @register("admin_search_last")
 def q_admin_search_last(spark, d):
     return listing.admin_search(_t(spark, d), "employee", "NHANVIEN", page_no=1000)
+
+
+# ----------------------------------------------------------- maintenance
+from fieldlens.operators import merge, quality  # noqa: E402
+from fieldlens.operators.keys import latest_per_key  # noqa: E402
+from fieldlens.plans import changes  # noqa: E402
+from fieldlens.schema import MONEY  # noqa: E402
+
+BIG = 1_000_000_000  # offset for ids that do not exist in the masters
+
+
+def manual_changes(T):
+    s = T.sheet_sales.filter(F.col("order_key") % 13 == 0)
+    return s.select("period", "customer_id", "product_id", "employee_id",
+                    F.abs("sales").cast(MONEY).alias("amount"), F.lit("Import website").alias("source_note"),
+                    F.struct("order_key", "line_number", "sales").alias("seq"))
+
+
+@register("upsert_manual")
+def q_upsert_manual(spark, d):
+    T = _t(spark, d)
+    return merge.upsert(T.manual_sales, manual_changes(T), ["period", "customer_id", "product_id"], "seq")
+
+
+def customer_changes(T):
+    c = T.customer
+    upd = c.filter(F.col("customer_id") % 10 == 0).select(
+        "customer_id", F.upper("customer_name").alias("customer_name"), "customer_type", "territory_id",
+        F.lit("Inactive").alias("status"), "sale_code", "sale_group", F.lit(1).alias("seq"))
+    new = c.filter(F.col("customer_id") % 50 == 1).select(
+        (F.col("customer_id") + BIG).alias("customer_id"), "customer_name", "customer_type", "territory_id",
+        "status", F.lit(None).cast("string").alias("sale_code"), "sale_group", F.lit(1).alias("seq"))
+    return upd.unionByName(new)
+
+
+@register("upsert_customer")
+def q_upsert_customer(spark, d):
+    T = _t(spark, d)
+    return merge.upsert(T.customer, customer_changes(T), ["customer_id"], "seq")
+
+
+def tender_upsert_changes(T):
+    t = T.tender.filter(F.col("tender_id") % 9 == 0)
+    a = t.withColumn("status", F.lit("TrungThau")).withColumn("seq", F.lit(1))
+    b = (t.filter(F.col("tender_id") % 2 == 0).withColumn("status", F.lit("TruotThau"))
+         .withColumn("updated_date", F.lit(P.AS_OF).cast("date")).withColumn("seq", F.lit(2)))
+    return a.unionByName(b)
+
+
+@register("upsert_tender")
+def q_upsert_tender(spark, d):
+    T = _t(spark, d)
+    return merge.upsert(T.tender, tender_upsert_changes(T), ["tender_id"], "seq")
+
+
+def report_changes(T):
+    e = T.raw("events").filter(F.col("event_id") % 5 == 0)
+    return e.select(F.col("ts").cast("date").alias("report_date"), F.col("user_id").alias("employee_id"),
+                    F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("summary"),
+                    F.col("props").alias("kpi_note"), F.col("event_id").alias("seq"))
+
+
+@register("upsert_reports")
+def q_upsert_reports(spark, d):
+    T = _t(spark, d)
+    return merge.upsert(T.daily_report, report_changes(T), ["report_date", "employee_id"], "seq")
+
+
+def employee_changes(T):
+    e = T.employee.filter(F.col("employee_id") % 5 == 0)
+    return e.select("employee_id", F.upper("employee_name").alias("employee_name"),
+                    F.lit(None).cast("string").alias("email"),
+                    F.when(F.col("employee_id") % 10 == 0, "QuanLy").otherwise("NhanVien").alias("role"),
+                    "status",
+                    F.when(F.col("employee_id") % 10 == 0, F.lit(None).cast("string"))
+                     .otherwise(F.concat(F.lit("NEW"), F.col("employee_id").cast("string"))).alias("sale_code"),
+                    F.lit(1).alias("seq"))
+
+
+@register("upsert_partial")
+def q_upsert_partial(spark, d):
+    T = _t(spark, d)
+    return merge.upsert(T.employee, employee_changes(T), ["employee_id"], "seq",
+                        columns=["employee_name", "email", "role"], keep_if_null=["sale_code"])
+
+
+def assignment_changes(T):
+    li = T.raw("lineitem").select("l_orderkey", "l_suppkey")
+    o = T.raw("orders").filter(F.col("o_orderkey") % 5 == 0).select("o_orderkey", "o_custkey")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("l_suppkey").alias("employee_id"), F.col("o_custkey").alias("customer_id"))
+
+
+@register("assign_insert")
+def q_assign_insert(spark, d):
+    T = _t(spark, d)
+    return merge.insert_absent(T.employee_customer, assignment_changes(T), ["employee_id", "customer_id"])
+
+
+def kpi_changes(T):
+    s = T.raw("supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    key = F.col("s_suppkey")
+    base = s.select(key.alias("employee_id"), F.col("s_nationkey").alias("territory_id"),
+                    F.when(key % 2 == 0, F.lit(None).cast("long")).otherwise(key).alias("product_id"),
+                    (F.abs("s_acctbal") * 2).cast(MONEY).alias("target_sales"),
+                    (F.col("s_nationkey") + 1).cast("int").alias("target_prescriptions"))
+    upd = base.withColumn("period", F.lit("2001-07")).withColumn("seq", F.lit(1))
+    again = (base.filter(key % 2 == 0).withColumn("period", F.lit("2001-07"))
+             .withColumn("target_sales", F.lit(1).cast(MONEY)).withColumn("seq", F.lit(2)))
+    new = base.withColumn("period", F.lit("2001-08")).withColumn("seq", F.lit(1))
+    return upd.unionByName(again).unionByName(new)
+
+
+@register("kpi_upsert")
+def q_kpi_upsert(spark, d):
+    T = _t(spark, d)
+    return merge.upsert(T.kpi_target, kpi_changes(T), ["period", "employee_id", "product_id"], "seq",
+                        null_safe=True)
+
+
+@register("latest_per_key")
+def q_latest_per_key(spark, d):
+    T = _t(spark, d)
+    creds = T.raw("events").select(F.col("user_id").alias("employee_id"), F.col("ts").alias("updated_at"),
+                                   F.col("event_type").alias("username"), F.col("event_id"))
+    return latest_per_key(creds, ["employee_id"], ["updated_at", "username", "event_id"])
+
+
+def deactivation_ids(T):
+    s = T.raw("supplier").select("s_suppkey")
+    known = s.filter(F.col("s_suppkey") % 11 == 0).select(F.col("s_suppkey").alias("id"))
+    mgr = s.filter(F.col("s_suppkey") % 20 == 0).select(F.col("s_suppkey").alias("id"))
+    unknown = s.filter(F.col("s_suppkey") % 37 == 1).select((F.col("s_suppkey") + BIG).alias("id"))
+    return known.unionByName(mgr).unionByName(unknown)
+
+
+@register("deactivate")
+def q_deactivate(spark, d):
+    T = _t(spark, d)
+    out, _ = merge.deactivate(T.employee, deactivation_ids(T), "employee_id", actor=P.MANAGER_ID,
+                              guard_managers=True)
+    return out
+
+
+@register("deactivate_refused")
+def q_deactivate_refused(spark, d):
+    T = _t(spark, d)
+    _, refused = merge.deactivate(T.employee, deactivation_ids(T), "employee_id", actor=P.MANAGER_ID,
+                                  guard_managers=True)
+    return refused
+
+
+def removal_pairs(T):
+    ec = T.employee_customer
+    a = ec.filter((F.col("employee_id") + F.col("customer_id")) % 7 == 0)
+    b = ec.filter((F.col("employee_id") + F.col("customer_id")) % 13 == 0).select(
+        "employee_id", (F.col("customer_id") + BIG).alias("customer_id"))
+    return a.unionByName(b)
+
+
+@register("remove_assignments")
+def q_remove_assignments(spark, d):
+    T = _t(spark, d)
+    return merge.remove_pairs(T.employee_customer, removal_pairs(T), ["employee_id", "customer_id"])[0]
+
+
+@register("remove_assignments_missing")
+def q_remove_assignments_missing(spark, d):
+    T = _t(spark, d)
+    return merge.remove_pairs(T.employee_customer, removal_pairs(T), ["employee_id", "customer_id"])[1]
+
+
+PURGED_TABLES = ["daily_report", "kpi_target", "prescription", "manual_sales", "sheet_sales", "tender",
+                 "employee_customer", "employee_territory", "account", "customer", "employee", "product"]
+
+
+@register("purge_cascade")
+def q_purge_cascade(spark, d):
+    T = _t(spark, d)
+    keys = {
+        "employee": T.employee.filter(F.col("employee_id") % 50 == 1).select("employee_id"),
+        "customer": T.customer.filter(F.col("customer_id") % 97 == 5).select("customer_id"),
+        "product": T.product.filter(F.col("product_id") % 89 == 3).select("product_id"),
+    }
+    after = merge.purge({n: getattr(T, n) for n in PURGED_TABLES}, keys)
+    parts = [after[n].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows")
+             for n in PURGED_TABLES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("prescription_append")
+def q_prescription_append(spark, d):
+    T = _t(spark, d)
+    new = changes.prescription_changes(T).filter(F.col("quantity") > 0)
+    rows = changes.price_prescriptions(
+        new.select("prescription_id", F.col("report_date").cast("date").alias("report_date"),
+                   F.lit(P.REP_ID).cast("long").alias("employee_id"), "customer_id", "product_id",
+                   F.col("quantity").cast("int").alias("quantity")), T.product)
+    return merge.append_rows(T.prescription, rows)
+
+
+@register("price_prescriptions")
+def q_price_prescriptions(spark, d):
+    T = _t(spark, d)
+    ch = changes.prescription_changes(T).withColumn("quantity", F.col("quantity").cast("int"))
+    return changes.price_prescriptions(ch, T.product)
+
+
+@register("gate_changes")
+def q_gate_changes(spark, d):
+    return changes.gate_report(_t(spark, d), P.REP_VIEWER)
+
+
+@register("apply_sales")
+def q_apply_sales(spark, d):
+    T = _t(spark, d)
+    return changes.apply_changes("sales", changes.sales_changes(T), T, P.REP_VIEWER)[0]
+
+
+@register("apply_sales_refused")
+def q_apply_sales_refused(spark, d):
+    T = _t(spark, d)
+    return changes.apply_changes("sales", changes.sales_changes(T), T, P.REP_VIEWER)[1].drop("seq")
+
+
+@register("apply_prescriptions")
+def q_apply_prescriptions(spark, d):
+    T = _t(spark, d)
+    return changes.apply_changes("prescriptions", changes.prescription_changes(T), T, P.MANAGER_VIEWER)[0]
+
+
+@register("apply_tenders")
+def q_apply_tenders(spark, d):
+    T = _t(spark, d)
+    return changes.apply_changes("tenders", changes.tender_changes(T), T, P.REP_VIEWER, as_of=P.AS_OF)[0]
+
+
+@register("apply_tenders_refused")
+def q_apply_tenders_refused(spark, d):
+    T = _t(spark, d)
+    return changes.apply_changes("tenders", changes.tender_changes(T), T, P.REP_VIEWER,
+                                 as_of=P.AS_OF)[1].drop("seq")
+
+
+# ----------------------------------------------------------- quality
+@register("orphans")
+def q_orphans(spark, d):
+    return quality.orphans(_t(spark, d))
+
+
+@register("domain_checks")
+def q_domain_checks(spark, d):
+    return quality.domain_checks(_t(spark, d))
+
+
+@register("duplicate_keys")
+def q_duplicate_keys(spark, d):
+    return quality.duplicate_keys(_t(spark, d))
+
+
+@register("role_fold")
+def q_role_fold(spark, d):
+    T = _t(spark, d)
+    from fieldlens.functions.text import normalise_role, normalise_status
+    e = T.employee
+    raw_role = F.when(F.col("employee_id") % 7 == 1, "Admin").when(F.col("employee_id") % 7 == 2, "Manager") \
+        .when(F.col("employee_id") % 7 == 3, "MR").otherwise(F.col("role"))
+    return e.select("employee_id", raw_role.alias("raw_role"), normalise_role(raw_role).alias("role"),
+                    normalise_status(F.when(F.col("employee_id") % 5 == 0, F.lit(None))
+                                     .otherwise(F.col("status"))).alias("status"))

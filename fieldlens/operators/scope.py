@@ -51,12 +51,21 @@ def gate_changes(changes: DataFrame, T, viewer: Viewer, existing: DataFrame | No
     if viewer.is_manager:
         return changes, changes.limit(0).withColumn("reason", F.lit(None).cast("string"))
     active = T.customer.filter(F.col("status") == "Active").select("customer_id")
-    allowed_customers = viewer_assignments(T, viewer).join(active, "customer_id", "left_semi")
-    ok = changes.join(allowed_customers, "customer_id", "left_semi")
+    allowed_customers = viewer_assignments(T, viewer).join(active, "customer_id", "left_semi").distinct()
+    # One flag join instead of a set difference: each change row is kept or refused in one pass.
+    marked = changes.join(allowed_customers.withColumn("_cust_ok", F.lit(True)), "customer_id", "left")
+    ok_cond = F.coalesce(F.col("_cust_ok"), F.lit(False))
     if existing is not None and key is not None:
         prior = existing.select(key, F.col("customer_id").alias("_prior_customer"))
-        prior_bad = prior.join(allowed_customers.withColumnRenamed("customer_id", "_prior_customer"),
-                               "_prior_customer", "left_anti").select(key)
-        ok = ok.join(prior_bad, key, "left_anti")
-    refused = changes.exceptAll(ok).withColumn("reason", F.lit("customer outside scope"))
+        prior_bad = (prior.join(allowed_customers.withColumnRenamed("customer_id", "_prior_customer"),
+                                "_prior_customer", "left_anti")
+                     .select(key).distinct().withColumn("_prior_bad", F.lit(True)))
+        marked = marked.join(prior_bad, key, "left")
+        ok_cond = ok_cond & F.col("_prior_bad").isNull()
+    else:
+        marked = marked.withColumn("_prior_bad", F.lit(None).cast("boolean"))
+    marked = marked.withColumn("_ok", ok_cond)
+    cols = changes.columns
+    ok = marked.filter(F.col("_ok")).select(*cols)
+    refused = marked.filter(~F.col("_ok")).select(*cols).withColumn("reason", F.lit("customer outside scope"))
     return ok, refused

@@ -205,6 +205,8 @@ def build() -> dict[str, str]:
         AND NOT EXISTS (SELECT 1 FROM v_daily_report d WHERE d.employee_id = e.employee_id
                         AND d.report_date = DATE '{P.AS_OF_REMINDERS}')""")
     build_lists()
+    build_maintenance()
+    build_quality()
     return ORACLE
 
 
@@ -323,3 +325,260 @@ def build_lists() -> None:
                                                "status"], "customer#0000001", 3))
     q("admin_search_last", admin_sql("v_employee", ["employee_id", "employee_name", "email", "role", "status"],
                                      "NHANVIEN", 1000))
+
+
+BIG = 1_000_000_000
+MGR_ROLES = "('QuanLy', 'Admin', 'Manager')"
+
+
+def _upsert_sql(target: str, cols: list[str], changes: str, keys: list[str], order: str,
+                null_safe: bool = False) -> str:
+    eq = " AND ".join(f"c.{k} {'IS NOT DISTINCT FROM' if null_safe else '='} t.{k}" for k in keys)
+    c = ", ".join(cols)
+    return f"""
+      WITH ch AS ({changes}),
+      last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {order}) AS rn
+                              FROM ch) WHERE rn = 1)
+      SELECT {c} FROM {target} t WHERE NOT EXISTS (SELECT 1 FROM last c WHERE {eq})
+      UNION ALL SELECT {c} FROM last"""
+
+
+def build_maintenance() -> None:
+    manual_cols = ["period", "customer_id", "product_id", "employee_id", "amount", "source_note"]
+    q("upsert_manual", _upsert_sql("v_manual_sales", manual_cols, """
+        SELECT period, customer_id, product_id, employee_id, CAST(abs(sales) AS DECIMAL(14,2)) AS amount,
+               'Import website' AS source_note, order_key, line_number, sales
+        FROM v_sheet_sales WHERE order_key % 13 = 0""", ["period", "customer_id", "product_id"],
+        "order_key DESC, line_number DESC, sales DESC"))
+    cust_cols = ["customer_id", "customer_name", "customer_type", "territory_id", "status", "sale_code", "sale_group"]
+    q("upsert_customer", _upsert_sql("v_customer", cust_cols, f"""
+        SELECT customer_id, upper(customer_name) AS customer_name, customer_type, territory_id,
+               'Inactive' AS status, sale_code, sale_group, 1 AS seq FROM v_customer WHERE customer_id % 10 = 0
+        UNION ALL
+        SELECT customer_id + {BIG}, customer_name, customer_type, territory_id, status, CAST(NULL AS VARCHAR),
+               sale_group, 1 FROM v_customer WHERE customer_id % 50 = 1""", ["customer_id"], "seq DESC"))
+    tender_cols = ["tender_id", "customer_id", "product_id", "quantity", "bid_price", "status", "employee_id",
+                   "due_date", "updated_date"]
+    q("upsert_tender", _upsert_sql("v_tender", tender_cols, f"""
+        SELECT * REPLACE ('TrungThau' AS status), 1 AS seq FROM v_tender WHERE tender_id % 9 = 0
+        UNION ALL
+        SELECT * REPLACE ('TruotThau' AS status, DATE '{P.AS_OF}' AS updated_date), 2 FROM v_tender
+        WHERE tender_id % 9 = 0 AND tender_id % 2 = 0""", ["tender_id"], "seq DESC"))
+    q("upsert_reports", _upsert_sql("v_daily_report", ["report_date", "employee_id", "summary", "kpi_note"], """
+        SELECT CAST(ts AS DATE) AS report_date, user_id AS employee_id,
+               event_type || ' ' || CAST(event_id AS VARCHAR) AS summary, props AS kpi_note, event_id
+        FROM events WHERE event_id % 5 = 0""", ["report_date", "employee_id"], "event_id DESC"))
+    q("upsert_partial", """
+      WITH ch AS (SELECT employee_id, upper(employee_name) AS employee_name, CAST(NULL AS VARCHAR) AS email,
+                         CASE WHEN employee_id % 10 = 0 THEN 'QuanLy' ELSE 'NhanVien' END AS role,
+                         CASE WHEN employee_id % 10 = 0 THEN NULL ELSE 'NEW' || CAST(employee_id AS VARCHAR) END
+                           AS sale_code
+                  FROM v_employee WHERE employee_id % 5 = 0)
+      SELECT e.employee_id,
+             CASE WHEN c.employee_id IS NULL THEN e.employee_name ELSE c.employee_name END AS employee_name,
+             CASE WHEN c.employee_id IS NULL THEN e.email ELSE c.email END AS email,
+             CASE WHEN c.employee_id IS NULL THEN e.role ELSE c.role END AS role,
+             e.status,
+             CASE WHEN c.employee_id IS NULL THEN e.sale_code ELSE coalesce(c.sale_code, e.sale_code) END AS sale_code
+      FROM v_employee e LEFT JOIN ch c ON c.employee_id = e.employee_id""")
+    q("assign_insert", """
+      WITH ch AS (SELECT DISTINCT l.l_suppkey AS employee_id, o.o_custkey AS customer_id
+                  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderkey % 5 = 0)
+      SELECT employee_id, customer_id FROM v_employee_customer
+      UNION ALL
+      SELECT employee_id, customer_id FROM ch c WHERE NOT EXISTS (
+        SELECT 1 FROM v_employee_customer t WHERE t.employee_id = c.employee_id AND t.customer_id = c.customer_id)""")
+    kpi_cols = ["period", "employee_id", "territory_id", "product_id", "target_sales", "target_prescriptions"]
+    q("kpi_upsert", _upsert_sql("v_kpi_target", kpi_cols, """
+        WITH base AS (
+          SELECT s_suppkey AS employee_id, s_nationkey AS territory_id,
+                 CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE s_suppkey END AS product_id,
+                 CAST(abs(s_acctbal) * 2 AS DECIMAL(14,2)) AS target_sales,
+                 CAST(s_nationkey + 1 AS INTEGER) AS target_prescriptions FROM supplier)
+        SELECT '2001-07' AS period, *, 1 AS seq FROM base
+        UNION ALL
+        SELECT '2001-07', employee_id, territory_id, product_id, CAST(1 AS DECIMAL(14,2)), target_prescriptions, 2
+        FROM base WHERE employee_id % 2 = 0
+        UNION ALL
+        SELECT '2001-08', *, 1 FROM base""", ["period", "employee_id", "product_id"], "seq DESC", null_safe=True))
+    q("latest_per_key", """
+      SELECT employee_id, updated_at, username, event_id FROM (
+        SELECT user_id AS employee_id, ts AS updated_at, event_type AS username, event_id,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, event_id DESC) AS rn
+        FROM events) WHERE rn = 1""")
+    deact = f"""
+      WITH ids AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 11 = 0
+                   UNION SELECT s_suppkey FROM supplier WHERE s_suppkey % 20 = 0
+                   UNION SELECT s_suppkey + {BIG} FROM supplier WHERE s_suppkey % 37 = 1),
+      known AS (SELECT id FROM ids WHERE id IN (SELECT employee_id FROM v_employee) AND id <> {P.MANAGER_ID}),
+      m AS (SELECT count(*) AS m FROM v_employee WHERE status = 'Active' AND role IN {MGR_ROLES}),
+      bm AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rk FROM known
+             WHERE id IN (SELECT employee_id FROM v_employee WHERE status = 'Active' AND role IN {MGR_ROLES})),
+      last AS (SELECT id FROM bm, m WHERE m.m - bm.rk <= 1),
+      refused AS (
+        SELECT id AS employee_id, 'not found' AS reason FROM ids WHERE id NOT IN (SELECT employee_id FROM v_employee)
+        UNION ALL SELECT id, 'acting user' FROM ids
+          WHERE id = {P.MANAGER_ID} AND id IN (SELECT employee_id FROM v_employee)
+        UNION ALL SELECT id, 'last active manager' FROM last)"""
+    q("deactivate_refused", deact + " SELECT * FROM refused")
+    q("deactivate", deact + """
+      SELECT e.* REPLACE (CASE WHEN e.employee_id IN (SELECT id FROM known)
+                                 AND e.employee_id NOT IN (SELECT id FROM last) THEN 'Inactive' ELSE e.status END
+                          AS status)
+      FROM v_employee e""")
+    pairs = f"""
+      WITH pairs AS (SELECT employee_id, customer_id FROM v_employee_customer WHERE (employee_id + customer_id) % 7 = 0
+                     UNION SELECT employee_id, customer_id + {BIG} FROM v_employee_customer
+                     WHERE (employee_id + customer_id) % 13 = 0)"""
+    q("remove_assignments", pairs + """
+      SELECT * FROM v_employee_customer t WHERE NOT EXISTS (
+        SELECT 1 FROM pairs p WHERE p.employee_id = t.employee_id AND p.customer_id = t.customer_id)""")
+    q("remove_assignments_missing", pairs + """
+      SELECT * FROM pairs p WHERE NOT EXISTS (
+        SELECT 1 FROM v_employee_customer t WHERE p.employee_id = t.employee_id AND p.customer_id = t.customer_id)""")
+    refs = {
+        "daily_report": ["employee_id"], "kpi_target": ["employee_id", "product_id"],
+        "prescription": ["employee_id", "customer_id", "product_id"],
+        "manual_sales": ["employee_id", "customer_id", "product_id"],
+        "sheet_sales": ["employee_id", "customer_id", "product_id"],
+        "tender": ["employee_id", "customer_id", "product_id"],
+        "employee_customer": ["employee_id", "customer_id"], "employee_territory": ["employee_id"],
+        "account": ["employee_id"], "customer": ["customer_id"], "employee": ["employee_id"],
+        "product": ["product_id"],
+    }
+    keysets = {"employee_id": "pe", "customer_id": "pc", "product_id": "pp"}
+    parts = []
+    for table, cols in refs.items():
+        conds = " AND ".join(f"NOT EXISTS (SELECT 1 FROM {keysets[c]} k WHERE k.id = t.{c})" for c in cols)
+        parts.append(f"SELECT '{table}' AS table_name, count(*) AS rows FROM v_{table} t WHERE {conds}")
+    q("purge_cascade", """
+      WITH pe AS (SELECT employee_id AS id FROM v_employee WHERE employee_id % 50 = 1),
+      pc AS (SELECT customer_id AS id FROM v_customer WHERE customer_id % 97 = 5),
+      pp AS (SELECT product_id AS id FROM v_product WHERE product_id % 89 = 3)
+      """ + "\nUNION ALL ".join(parts))
+
+    rx_changes = """
+      SELECT 'new-' || CAST(order_key AS VARCHAR) || '-' || CAST(line_number AS VARCHAR) AS prescription_id,
+             strftime(doc_date, '%Y-%m-%d') AS report_date, customer_id, product_id, quantity - 10 AS quantity
+      FROM v_sheet_sales WHERE order_key % 19 = 0"""
+    register("v_rx_changes", rx_changes)
+    rx_cols = "prescription_id, report_date, employee_id, customer_id, product_id, quantity, amount"
+    q("price_prescriptions", """
+      SELECT c.product_id, c.prescription_id, c.report_date, c.customer_id, CAST(c.quantity AS INTEGER) AS quantity,
+             CAST(CAST(CAST(c.quantity AS INTEGER) AS DECIMAL(14,2)) * p.price AS DECIMAL(14,2)) AS amount
+      FROM v_rx_changes c JOIN v_product p ON p.product_id = c.product_id AND p.status = 'Active'""")
+
+    def rx_append(owner):
+        return f"""
+          SELECT {rx_cols} FROM v_prescription
+          UNION ALL
+          SELECT c.prescription_id, CAST(c.report_date AS DATE), CAST({owner} AS BIGINT), c.customer_id, c.product_id,
+                 CAST(c.quantity AS INTEGER),
+                 CAST(CAST(CAST(c.quantity AS INTEGER) AS DECIMAL(14,2)) * p.price AS DECIMAL(14,2))
+          FROM v_rx_changes c JOIN v_product p ON p.product_id = c.product_id AND p.status = 'Active'
+          WHERE c.quantity > 0 AND c.quantity = floor(c.quantity)"""
+    q("prescription_append", rx_append(P.REP_ID))
+    q("apply_prescriptions", rx_append(P.MANAGER_ID))
+
+    allowed = f"""(SELECT ec.customer_id FROM v_employee_customer ec JOIN v_customer k
+                   ON k.customer_id = ec.customer_id AND k.status = 'Active' WHERE ec.employee_id = {P.REP_ID})"""
+    register("v_sales_changes", """
+      SELECT period, customer_id, product_id, CAST(sales AS DECIMAL(14,2)) AS amount, order_key, line_number, sales
+      FROM v_sheet_sales WHERE order_key % 17 = 0""")
+    q("gate_changes", f"""
+      SELECT period, customer_id, product_id, amount, coalesce(customer_id IN {allowed}, false) AS allowed
+      FROM v_sales_changes""")
+    sales_flow = f"""
+      WITH c AS (SELECT *, CASE WHEN NOT (amount >= 0 AND regexp_full_match(period, '\\d{{4}}-\\d{{2}}')) THEN 'invalid'
+                               WHEN customer_id NOT IN {allowed} THEN 'customer outside scope'
+                               WHEN product_id NOT IN (SELECT product_id FROM v_product WHERE status = 'Active')
+                                 THEN 'product inactive' END AS reason FROM v_sales_changes)"""
+    q("apply_sales_refused", sales_flow + """
+      SELECT period, customer_id, product_id, amount, reason FROM c WHERE reason IS NOT NULL""")
+    q("apply_sales", sales_flow + f"""
+      , last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period, customer_id, product_id
+                                ORDER BY order_key DESC, line_number DESC, sales DESC) AS rn
+                                FROM c WHERE reason IS NULL) WHERE rn = 1)
+      SELECT period, customer_id, product_id, employee_id, amount, source_note FROM v_manual_sales t
+      WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.period = t.period AND l.customer_id = t.customer_id
+                        AND l.product_id = t.product_id)
+      UNION ALL
+      SELECT period, customer_id, product_id, CAST({P.REP_ID} AS BIGINT), amount, 'Website' FROM last""")
+    tender_flow = f"""
+      WITH ch AS (
+        SELECT tender_id, customer_id, product_id, quantity, bid_price, 'TrungThau' AS status,
+               strftime(due_date, '%Y-%m-%d') AS due_date, 1 AS seq FROM v_tender WHERE tender_id % 9 = 0
+        UNION ALL
+        SELECT tender_id, customer_id + 1, product_id, quantity - 100, bid_price, 'TruotThau',
+               CAST(NULL AS VARCHAR), 2 FROM v_tender WHERE tender_id % 9 = 0 AND tender_id % 2 = 0),
+      c AS (SELECT ch.*, CASE
+              WHEN NOT (coalesce(quantity, 0) >= 0 AND coalesce(bid_price, 0) >= 0) THEN 'invalid'
+              WHEN customer_id NOT IN {allowed}
+                OR EXISTS (SELECT 1 FROM v_tender t WHERE t.tender_id = ch.tender_id
+                           AND t.customer_id NOT IN {allowed}) THEN 'customer outside scope'
+              WHEN product_id NOT IN (SELECT product_id FROM v_product WHERE status = 'Active')
+                THEN 'product inactive' END AS reason FROM ch)"""
+    q("apply_tenders_refused", tender_flow + """
+      SELECT tender_id, customer_id, product_id, quantity, bid_price, status, due_date, reason
+      FROM c WHERE reason IS NOT NULL""")
+    q("apply_tenders", tender_flow + f"""
+      , last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tender_id ORDER BY seq DESC) AS rn
+                                FROM c WHERE reason IS NULL) WHERE rn = 1)
+      SELECT tender_id, customer_id, product_id, quantity, bid_price, status, employee_id, due_date, updated_date
+      FROM v_tender t WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.tender_id = t.tender_id)
+      UNION ALL
+      SELECT tender_id, customer_id, product_id, CAST(coalesce(quantity, 0) AS BIGINT),
+             CAST(coalesce(bid_price, 0) AS DECIMAL(14,2)), status, CAST({P.REP_ID} AS BIGINT),
+             CAST(due_date AS DATE), DATE '{P.AS_OF}' FROM last""")
+    q("role_fold", """
+      SELECT employee_id, raw_role,
+             CASE WHEN trim(raw_role) IN ('QuanLy', 'Admin', 'Manager') THEN 'QuanLy' ELSE 'NhanVien' END AS role,
+             CASE WHEN trim(raw_status) = 'Inactive' THEN 'Inactive' ELSE 'Active' END AS status
+      FROM (SELECT employee_id,
+                   CASE WHEN employee_id % 7 = 1 THEN 'Admin' WHEN employee_id % 7 = 2 THEN 'Manager'
+                        WHEN employee_id % 7 = 3 THEN 'MR' ELSE role END AS raw_role,
+                   CASE WHEN employee_id % 5 = 0 THEN NULL ELSE status END AS raw_status FROM v_employee)""")
+
+
+def build_quality() -> None:
+    from fieldlens.operators.quality import FOREIGN_KEYS, UNIQUE_KEYS
+    parts = []
+    for child, col, parent, pkey in FOREIGN_KEYS:
+        parts.append(f"""
+          SELECT '{child}' AS table_name, '{col}' AS column_name, CAST(c.{col} AS VARCHAR) AS key_value,
+                 count(*) AS rows
+          FROM v_{child} c WHERE c.{col} IS NOT NULL
+            AND NOT EXISTS (SELECT 1 FROM v_{parent} p WHERE p.{pkey} = c.{col})
+          GROUP BY c.{col}""")
+    q("orphans", " UNION ALL ".join(parts))
+    rules = {
+        "prescription": {"quantity_positive": "NOT (quantity > 0)", "amount_not_negative": "amount < 0"},
+        "manual_sales": {"amount_not_negative": "amount < 0",
+                         "period_shape": "NOT regexp_matches(period, '^\\d{4}-\\d{2}$')"},
+        "product": {"price_not_negative": "price < 0", "status_enum": "status NOT IN ('Active', 'Inactive')"},
+        "tender": {"quantity_not_negative": "quantity < 0", "bid_not_negative": "bid_price < 0",
+                   "status_enum": "status NOT IN ('DangLamHoSo', 'ChoKetQua', 'TrungThau', 'TruotThau')"},
+        "employee": {"role_enum": "role NOT IN ('QuanLy', 'Admin', 'Manager', 'NhanVien', 'MR', 'Supervisor')",
+                     "status_enum": "status NOT IN ('Active', 'Inactive')",
+                     "email_shape": "email IS NOT NULL AND NOT regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')",
+                     "name_length": "length(employee_name) > 150"},
+        "customer": {"type_enum": "customer_type NOT IN ('BenhVien', 'PhongMachTu', 'SoYTe')",
+                     "status_enum": "status NOT IN ('Active', 'Inactive')"},
+        "kpi_target": {"target_not_negative": "target_sales < 0",
+                       "period_shape": "NOT regexp_matches(period, '^\\d{4}-\\d{2}$')"},
+        "sheet_sales": {"month_range": "NOT (month BETWEEN 1 AND 12)", "year_range": "NOT (year BETWEEN 2000 AND 2100)"},
+    }
+    parts = []
+    for table, rs in rules.items():
+        for name, cond in rs.items():
+            parts.append(f"SELECT '{table}' AS table_name, '{name}' AS rule, "
+                         f"count(*) FILTER (WHERE coalesce({cond}, false)) AS violations FROM v_{table}")
+    q("domain_checks", " UNION ALL ".join(parts))
+    parts = []
+    for table, keys, partial in UNIQUE_KEYS:
+        where = ("WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in keys)) if partial else ""
+        kv = "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + ")"
+        parts.append(f"""
+          SELECT '{table}' AS table_name, '{','.join(keys)}' AS key_columns, {kv} AS key_value, count(*) AS rows
+          FROM v_{table} {where} GROUP BY {', '.join(keys)} HAVING count(*) > 1""")
+    q("duplicate_keys", " UNION ALL ".join(parts))
