@@ -517,3 +517,160 @@ def q_role_fold(spark, d):
     return e.select("employee_id", raw_role.alias("raw_role"), normalise_role(raw_role).alias("role"),
                     normalise_status(F.when(F.col("employee_id") % 5 == 0, F.lit(None))
                                      .otherwise(F.col("status"))).alias("status"))
+
+
+# ----------------------------------------------------------- sheet ingest
+from fieldlens.functions.dates import parse_doc_date  # noqa: E402
+from fieldlens.functions.numbers import with_locale_numbers  # noqa: E402
+from fieldlens.functions.text import customer_type, pad_code, slug  # noqa: E402
+from fieldlens.plans import ingest  # noqa: E402
+from fieldlens.schema import SHEET_MONEY  # noqa: E402
+
+RAW = ingest.H  # short key -> sheet header
+
+
+def _numbered(T):
+    return ingest.numbered_sheet(T)
+
+
+def _english(raw):
+    return raw.select("source_row", *[F.col(f"`{h}`").alias(f"raw_{k}") for k, h in RAW.items()])
+
+
+def _accepted(T):
+    return ingest.normalise_sheet(_numbered(T))[0]
+
+
+def _resolved(T):
+    return ingest.with_resolved_ids(_accepted(T), T)
+
+
+def _previous(T, resolved):
+    row = F.col("source_row")
+    base = resolved.filter(row % 10 != 0).withColumn(
+        "sales", F.when(row % 7 == 0, (F.col("sales") + 1).cast(SHEET_MONEY)).otherwise(F.col("sales")))
+    prev = base.unionByName(base.filter(row % 10 == 5).withColumn("source_row", row + BIG))
+    return (prev.withColumn("row_hash", ingest.row_hash())
+            .withColumn("source_id", F.when(F.col("source_row") % 10 == 3, "other").otherwise("sheet")))
+
+
+@register("sheet_row_number")
+def q_sheet_row_number(spark, d):
+    return _english(_numbered(_t(spark, d)))
+
+
+@register("sheet_normalise")
+def q_sheet_normalise(spark, d):
+    return _accepted(_t(spark, d))
+
+
+@register("sheet_rejects")
+def q_sheet_rejects(spark, d):
+    return ingest.normalise_sheet(_numbered(_t(spark, d)))[1]
+
+
+@register("locale_number")
+def q_locale_number(spark, d):
+    raw = _english(_numbered(_t(spark, d)))
+    specs = {"month": ("raw_month", False), "year": ("raw_year", False), "quantity": ("raw_qty", False),
+             "unit_price": ("raw_price", False), "revenue": ("raw_revenue", False),
+             "coefficient": ("raw_coef", True), "sales": ("raw_sales", False)}
+    return with_locale_numbers(raw, specs).select("source_row", *specs)
+
+
+@register("doc_date")
+def q_doc_date(spark, d):
+    raw = _english(_numbered(_t(spark, d)))
+    return raw.select("source_row", "raw_doc_date", parse_doc_date("raw_doc_date").alias("doc_date"))
+
+
+@register("slug")
+def q_slug(spark, d):
+    raw = _english(_numbered(_t(spark, d)))
+    return raw.select("source_row", slug("raw_province").alias("province_slug"),
+                      slug("raw_group").alias("group_slug"), slug("raw_cust_code").alias("customer_slug"))
+
+
+@register("customer_type")
+def q_customer_type(spark, d):
+    raw = _english(_numbered(_t(spark, d)))
+    return raw.select("source_row", "raw_group", customer_type("raw_group").alias("customer_type"))
+
+
+@register("pad_code")
+def q_pad_code(spark, d):
+    raw = _english(_numbered(_t(spark, d)))
+    return raw.select("source_row", "raw_emp_code", pad_code("raw_emp_code").alias("employee_code"))
+
+
+@register("resolve_codes")
+def q_resolve_codes(spark, d):
+    return _resolved(_t(spark, d)).select("source_row", "territory_id", "employee_id", "customer_id", "product_id")
+
+
+def _derived(spark, d, name):
+    T = _t(spark, d)
+    return ingest.derive_masters(_resolved(T), T)[name]
+
+
+@register("derive_territory")
+def q_derive_territory(spark, d):
+    return _derived(spark, d, "territory")
+
+
+@register("derive_employee")
+def q_derive_employee(spark, d):
+    return _derived(spark, d, "employee")
+
+
+@register("derive_customer")
+def q_derive_customer(spark, d):
+    return _derived(spark, d, "customer")
+
+
+@register("derive_product")
+def q_derive_product(spark, d):
+    return _derived(spark, d, "product")
+
+
+@register("derive_assignments")
+def q_derive_assignments(spark, d):
+    return _derived(spark, d, "employee_customer")
+
+
+@register("import_stats")
+def q_import_stats(spark, d):
+    return ingest.import_stats(_resolved(_t(spark, d)))
+
+
+@register("sheet_profile")
+def q_sheet_profile(spark, d):
+    return ingest.sheet_profile(_numbered(_t(spark, d)))
+
+
+@register("reconcile_import")
+def q_reconcile_import(spark, d):
+    T = _t(spark, d)
+    return ingest.reconcile_import(ingest.sheet_profile(_numbered(T)), ingest.import_stats(_resolved(T)))
+
+
+def _snapshot(spark, d):
+    T = _t(spark, d)
+    resolved = _resolved(T)
+    return ingest.replace_snapshot(_previous(T, resolved), resolved, "sheet")
+
+
+@register("snapshot_diff")
+def q_snapshot_diff(spark, d):
+    return _snapshot(spark, d)[1]
+
+
+@register("changed_rows")
+def q_changed_rows(spark, d):
+    return _snapshot(spark, d)[1].filter(F.col("change") == "updated")
+
+
+@register("sheet_import")
+def q_sheet_import(spark, d):
+    return _snapshot(spark, d)[0].select("source_id", "source_row", "employee_id", "customer_id", "product_id",
+                                         "period", "sales", "row_hash")

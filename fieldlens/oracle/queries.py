@@ -207,6 +207,8 @@ def build() -> dict[str, str]:
     build_lists()
     build_maintenance()
     build_quality()
+    from fieldlens.oracle import sheet
+    sheet.build(q)
     return ORACLE
 
 

@@ -7,8 +7,11 @@ splits are read in byte order, for a sorted frame the range partitions are in
 key order, so partition order equals row order. With ``path_col`` numbering
 restarts in every file.
 
-The input must be deterministic (a file scan or a total sort), because the
-counts and the rows are two passes over it.
+Counts and rows are two passes, so both must see the same partitions. A plain
+file scan is stable (``stable=True``). Anything with a shuffle (a sort) is
+tagged once and cut from its lineage with ``checkpoint()`` into the shared
+checkpoint folder, so a lost executor re-reads the tagged rows instead of
+recomputing a different partitioning.
 """
 
 from __future__ import annotations
@@ -16,12 +19,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlens.session import checkpoint_dir
+
 
 def with_source_row_number(df: DataFrame, start: int = 2, path_col: str | None = None,
-                           col: str = "source_row") -> DataFrame:
+                           col: str = "source_row", stable: bool = False) -> DataFrame:
     tagged = (df.withColumn("_pid", F.spark_partition_id().cast("long"))
               .withColumn("_idx", F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    if not stable:
+        checkpoint_dir(df.sparkSession)
+        tagged = tagged.checkpoint(eager=True)
     group = [path_col, "_pid"] if path_col else ["_pid"]
     counts = tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     w = (Window.partitionBy(path_col) if path_col else Window.partitionBy()).orderBy("_pid") \
