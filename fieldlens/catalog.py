@@ -674,3 +674,51 @@ def q_changed_rows(spark, d):
 def q_sheet_import(spark, d):
     return _snapshot(spark, d)[0].select("source_id", "source_row", "employee_id", "customer_id", "product_id",
                                          "period", "sales", "row_hash")
+
+
+# ----------------------------------------------------------- standard imports
+from fieldlens.functions.numbers import strict_number as _strict  # noqa: E402
+from fieldlens.functions.text import parse_bool as _bool, pick as _pick  # noqa: E402
+from fieldlens.schema import RESOURCES  # noqa: E402
+
+
+def _import_query(resource):
+    def q(spark, d):
+        return ingest.import_resource_rows(_t(spark, d), resource)[0]
+    return q
+
+
+for _res in RESOURCES:
+    register(f"import_{_res}")(_import_query(_res))
+
+
+@register("import_rejects")
+def q_import_rejects(spark, d):
+    T = _t(spark, d)
+    parts = [ingest.import_resource_rows(T, r)[1].groupBy("error").agg(F.count(F.lit(1)).alias("rows"))
+             .select(F.lit(r).alias("resource"), "error", "rows") for r in RESOURCES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("alias_pick")
+def q_alias_pick(spark, d):
+    raw = ingest.resource_raw(_t(spark, d), "customers")
+    return raw.select(_pick(raw, ["id_khach_hang", "id"]).alias("customer_id"),
+                      _pick(raw, ["ten_khach_hang", "name"], "unknown").alias("customer_name"))
+
+
+@register("strict_number")
+def q_strict_number(spark, d):
+    raw = ingest.resource_raw(_t(spark, d), "products")
+    return raw.select(_pick(raw, ["id_san_pham", "id"]).alias("product_id"),
+                      _strict(_pick(raw, ["gia_ke_don", "prescriptionPrice"]), 0).alias("price"))
+
+
+@register("parse_bool")
+def q_parse_bool(spark, d):
+    raw = ingest.resource_raw(_t(spark, d), "employeeTerritories")
+    return raw.select(F.col("id_nhan_vien").alias("raw_employee"), F.col("is_primary").alias("raw_primary"),
+                      _bool(_pick(raw, ["is_primary", "isPrimary"])).alias("is_primary"))

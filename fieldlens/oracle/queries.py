@@ -209,6 +209,7 @@ def build() -> dict[str, str]:
     build_quality()
     from fieldlens.oracle import sheet
     sheet.build(q)
+    build_imports()
     return ORACLE
 
 
@@ -584,3 +585,78 @@ def build_quality() -> None:
           SELECT '{table}' AS table_name, '{','.join(keys)}' AS key_columns, {kv} AS key_value, count(*) AS rows
           FROM v_{table} {where} GROUP BY {', '.join(keys)} HAVING count(*) > 1""")
     q("duplicate_keys", " UNION ALL ".join(parts))
+
+
+def build_imports() -> None:
+    from fieldlens.functions.numbers import LITERAL
+    from fieldlens.plans.ingest import ABSENT_FIELDS, FIELD_SOURCE, RESOURCE_SOURCES
+    from fieldlens.schema import MANAGER_ROLES, RESOURCES, TRUE_WORDS
+
+    def raw_sql(resource):
+        table, key_expr = RESOURCE_SOURCES[resource]
+        cols = []
+        for f in RESOURCES[resource].fields:
+            name = FIELD_SOURCE.get(f.name, f.name)
+            value = ("CAST(NULL AS VARCHAR)" if (resource, f.name) in ABSENT_FIELDS
+                     else f"CAST({name} AS VARCHAR)")
+            if f.kind == "bool":
+                value = f"CASE WHEN {name} THEN ' x ' ELSE 'no' END"
+            cols.append(f"CASE WHEN ({key_expr}) % 3 = 0 OR ({key_expr}) % 17 = 0 THEN '  ' ELSE {value} END "
+                        f"AS \"{f.aliases[0]}\"")
+            if len(f.aliases) > 1:
+                cols.append(f"CASE WHEN ({key_expr}) % 17 = 0 THEN '' ELSE ' ' || {value} || ' ' END "
+                            f"AS \"{f.aliases[1]}\"")
+        return f"SELECT {', '.join(cols)} FROM v_{table}"
+
+    def pick(aliases):
+        parts = [f"nullif(trim(\"{a}\"), '')" for a in aliases]
+        return f"coalesce({', '.join(parts)})" if len(parts) > 1 else parts[0]
+
+    def typed(resource):
+        exprs, checks = [], []
+        for f in RESOURCES[resource].fields:
+            v = pick(f.aliases)
+            if f.kind == "text":
+                d = "" if f.default is None else str(f.default)
+                e = f"coalesce({v}, '{d}')"
+            elif f.kind in ("opt_text",):
+                e = v
+            elif f.kind == "number":
+                e = (f"CASE WHEN {v} IS NULL OR trim({v}) = '' THEN CAST({f.default or 0} AS DECIMAL(38,10)) "
+                     f"WHEN regexp_full_match(trim({v}), '{LITERAL[1:-1]}') THEN TRY_CAST(trim({v}) AS DECIMAL(38,10)) END")
+                checks.append(f"CASE WHEN ({e}) IS NULL THEN '{f.aliases[0]} is not a number' END")
+            elif f.kind == "bool":
+                words = ", ".join(f"'{w}'" for w in TRUE_WORDS)
+                e = f"coalesce(lower(trim({v})) IN ({words}), false)"
+            elif f.kind == "role":
+                roles = ", ".join(f"'{r}'" for r in MANAGER_ROLES)
+                e = f"CASE WHEN trim({v}) IN ({roles}) THEN 'QuanLy' ELSE 'NhanVien' END"
+            elif f.kind == "status":
+                e = f"CASE WHEN trim({v}) = 'Inactive' THEN 'Inactive' ELSE 'Active' END"
+            elif f.kind == "date":
+                e = f"coalesce({v}, '')"
+            if f.required:
+                checks.append(f"CASE WHEN {v} IS NULL THEN 'missing {' or '.join(f.aliases)}' END")
+            exprs.append(f"{e} AS {f.name}")
+        errs = f"list_filter([{', '.join(checks)}], lambda x: x IS NOT NULL)"
+        return f"SELECT {', '.join(exprs)}, {errs} AS _errors FROM ({raw_sql(resource)})"
+
+    parts = []
+    for resource in RESOURCES:
+        t = typed(resource)
+        q(f"import_{resource}", f"SELECT * EXCLUDE (_errors) FROM ({t}) WHERE len(_errors) = 0")
+        parts.append(f"""SELECT '{resource}' AS resource, _errors[1] AS error, count(*) AS rows
+                         FROM ({t}) WHERE len(_errors) > 0 GROUP BY _errors[1]""")
+    q("import_rejects", " UNION ALL ".join(parts))
+    q("alias_pick", f"""SELECT {pick(['id_khach_hang', 'id'])} AS customer_id,
+                          coalesce({pick(['ten_khach_hang', 'name'])}, 'unknown') AS customer_name
+                        FROM ({raw_sql('customers')})""")
+    v = pick(["gia_ke_don", "prescriptionPrice"])
+    q("strict_number", f"""SELECT {pick(['id_san_pham', 'id'])} AS product_id,
+        CASE WHEN {v} IS NULL OR trim({v}) = '' THEN CAST(0 AS DECIMAL(38,10))
+             WHEN regexp_full_match(trim({v}), '{LITERAL[1:-1]}') THEN TRY_CAST(trim({v}) AS DECIMAL(38,10)) END AS price
+        FROM ({raw_sql('products')})""")
+    words = ", ".join(f"'{w}'" for w in TRUE_WORDS)
+    q("parse_bool", f"""SELECT id_nhan_vien AS raw_employee, is_primary AS raw_primary,
+        coalesce(lower(trim({pick(['is_primary', 'isPrimary'])})) IN ({words}), false) AS is_primary
+        FROM ({raw_sql('employeeTerritories')})""")
