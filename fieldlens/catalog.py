@@ -722,3 +722,64 @@ def q_parse_bool(spark, d):
     raw = ingest.resource_raw(_t(spark, d), "employeeTerritories")
     return raw.select(F.col("id_nhan_vien").alias("raw_employee"), F.col("is_primary").alias("raw_primary"),
                       _bool(_pick(raw, ["is_primary", "isPrimary"])).alias("is_primary"))
+
+
+# ----------------------------------------------------------- sources, sinks, stream, misc
+from fieldlens.schema import SHEET_HEADERS  # noqa: E402
+from fieldlens.session import scratch_path  # noqa: E402
+from fieldlens.sources import csv as csvio  # noqa: E402
+
+
+@register("reconcile_detail")
+def q_reconcile_detail(spark, d):
+    T = _t(spark, d)
+    return dashboard.reconcile_detail(T, P.MANAGER_VIEWER, P.PERIOD, sheet=T.sheet_sales_nullkey)
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, d):
+    T = _t(spark, d)
+    path = csvio.write_resource_csv(T.customer, scratch_path(spark, "csv-customer") + "/data")
+    return csvio.read_resource_csv(spark, path)
+
+
+@register("csv_scan")
+def q_csv_scan(spark, d):
+    T = _t(spark, d)
+    path = csvio.write_resource_csv(_numbered(T), scratch_path(spark, "csv-sheet") + "/data")
+    raw = csvio.read_resource_csv(spark, path)
+    return raw.select(F.col("source_row").cast("long").alias("source_row"),
+                      *[F.col(f"`{h}`").alias(f"raw_{k}") for k, h in RAW.items()])
+
+
+@register("align_schema")
+def q_align_schema(spark, d):
+    from pyspark.sql import types as TT
+    schema = TT.StructType([TT.StructField("employee_id", TT.LongType()),
+                            TT.StructField("employee_name", TT.StringType()),
+                            TT.StructField("email", TT.StringType()),
+                            TT.StructField("role", TT.StringType()),
+                            TT.StructField("status", TT.StringType()),
+                            TT.StructField("sale_code", TT.StringType()),
+                            TT.StructField("sale_group", TT.StringType())])
+    return merge.align_schema(_t(spark, d).employee, schema, {"sale_group": "NONE", "status": "Active"})
+
+
+@register("import_log")
+def q_import_log(spark, d):
+    return ingest.log_batch(None, "run-1", _resolved(_t(spark, d)), "Completed")
+
+
+@register("sheet_stream")
+def q_sheet_stream(spark, d):
+    from fieldlens.streaming.sheet_stream import read_sheet_table, stream_sheet
+    T = _t(spark, d)
+    root = scratch_path(spark, "sheet-stream")
+    chunks = f"{root}/incoming"
+    sheet = _numbered(T).select(*[F.col(f"`{h}`") for h in SHEET_HEADERS], "source_row")
+    csvio.write_resource_csv(sheet, chunks, mode="append")
+    # The same rows sent again later (a retried chunk): the import must stay idempotent.
+    csvio.write_resource_csv(sheet.filter(F.col("source_row") % 5 == 0), chunks, mode="append")
+    query = stream_sheet(spark, chunks, f"{root}/table", f"{root}/checkpoint")
+    query.awaitTermination()
+    return read_sheet_table(spark, f"{root}/table").select("source_row", "period", "sales", "row_hash")

@@ -210,6 +210,7 @@ def build() -> dict[str, str]:
     from fieldlens.oracle import sheet
     sheet.build(q)
     build_imports()
+    build_misc()
     return ORACLE
 
 
@@ -660,3 +661,58 @@ def build_imports() -> None:
     q("parse_bool", f"""SELECT id_nhan_vien AS raw_employee, is_primary AS raw_primary,
         coalesce(lower(trim({pick(['is_primary', 'isPrimary'])})) IN ({words}), false) AS is_primary
         FROM ({raw_sql('employeeTerritories')})""")
+
+
+def build_misc() -> None:
+    q("reconcile_detail", f"""
+      WITH s AS (SELECT * FROM v_combined_nk WHERE period = '{P.PERIOD}'),
+      d AS (SELECT CAST(coalesce(sum(amount), 0) AS DECIMAL(38,2)) AS dashboard_sales, count(*) AS dashboard_rows
+            FROM s),
+      l AS (SELECT CAST(coalesce(sum(s.amount), 0) AS DECIMAL(38,2)) AS detail_sales, count(*) AS detail_rows
+            FROM s JOIN v_customer k ON k.customer_id = s.customer_id JOIN v_product p ON p.product_id = s.product_id
+            JOIN v_employee e ON e.employee_id = s.employee_id)
+      SELECT '{P.PERIOD}' AS period, dashboard_sales, detail_sales, dashboard_rows, detail_rows,
+             dashboard_sales = detail_sales AS matches FROM d CROSS JOIN l""")
+    cols = ["customer_id", "customer_name", "customer_type", "territory_id", "status", "sale_code", "sale_group"]
+    q("csv_roundtrip", "SELECT " + ", ".join(f"trim(coalesce(CAST({c} AS VARCHAR), '')) AS {c}" for c in cols)
+      + " FROM v_customer")
+    from fieldlens.oracle.sheet import RAW_KEYS
+    q("csv_scan", "SELECT source_row, " + ", ".join(f"trim(coalesce(raw_{k}, '')) AS raw_{k}" for k in RAW_KEYS)
+      + " FROM v_sheet_numbered")
+    q("align_schema", """SELECT employee_id, employee_name, email, role, coalesce(status, 'Active') AS status,
+                           sale_code, 'NONE' AS sale_group FROM v_employee""")
+    q("import_log", "SELECT 'run-1' AS batch_id, count(*) AS row_count, 'Completed' AS status FROM v_sheet_resolved")
+    q("sheet_stream", "SELECT source_row, period, sales, row_hash FROM v_sheet_accepted")
+    start, end = _period_bounds("b.period")
+    q("dashboard_by_rep", f"""
+      WITH sc AS (SELECT s.* FROM v_combined s JOIN v_employee_customer ec
+                  ON ec.employee_id = s.employee_id AND ec.customer_id = s.customer_id),
+      rc AS (SELECT r.* FROM v_rx r JOIN v_employee_customer ec
+             ON ec.employee_id = r.employee_id AND ec.customer_id = r.customer_id),
+      tc AS (SELECT t.* FROM v_tender t JOIN v_employee_customer ec
+             ON ec.employee_id = t.employee_id AND ec.customer_id = t.customer_id),
+      per AS (SELECT e.employee_id, coalesce(
+                (SELECT max(p) FROM (SELECT period AS p FROM sc WHERE sc.employee_id = e.employee_id
+                                     UNION ALL SELECT period FROM rc WHERE rc.employee_id = e.employee_id)),
+                strftime(DATE '{P.AS_OF}', '%Y-%m')) AS period
+              FROM v_employee e),
+      b AS (SELECT employee_id, period, {start} AS start_p, {end} AS end_p FROM per b)
+      SELECT b.employee_id, b.period,
+        CAST(coalesce((SELECT sum(amount) FROM sc WHERE sc.employee_id = b.employee_id AND sc.period = b.period), 0)
+             AS DECIMAL(38,2)) AS sales,
+        CAST(coalesce((SELECT sum(quantity) FROM rc WHERE rc.employee_id = b.employee_id AND rc.period = b.period), 0)
+             AS INTEGER) AS prescription_quantity,
+        CAST(coalesce((SELECT sum(amount) FROM rc WHERE rc.employee_id = b.employee_id AND rc.period = b.period), 0)
+             AS DECIMAL(38,2)) AS prescription_amount,
+        CAST((SELECT count(*) FROM tc WHERE tc.employee_id = b.employee_id
+              AND tc.status IN ('DangLamHoSo', 'ChoKetQua')) AS INTEGER) AS open_tenders,
+        CAST((SELECT count(*) FROM v_customer k
+              WHERE k.customer_type = 'PhongMachTu' AND k.status = 'Active'
+                AND EXISTS (SELECT 1 FROM v_employee_customer ec WHERE ec.employee_id = b.employee_id
+                            AND ec.customer_id = k.customer_id)
+                AND EXISTS (SELECT 1 FROM v_combined o WHERE o.customer_id = k.customer_id AND o.amount > 0
+                            AND o.period < b.start_p AND o.employee_id = b.employee_id)
+                AND NOT EXISTS (SELECT 1 FROM v_combined r WHERE r.customer_id = k.customer_id AND r.amount <> 0
+                            AND r.period >= b.start_p AND r.period < b.end_p AND r.employee_id = b.employee_id))
+             AS INTEGER) AS lost_sales
+      FROM b""")

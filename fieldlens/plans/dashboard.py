@@ -119,3 +119,22 @@ def dashboard_by_rep(T, period=None, as_of=None) -> DataFrame:
         F.coalesce("open_tenders", F.lit(0)).cast("int").alias("open_tenders"),
         F.coalesce("lost_sales", F.lit(0)).cast("int").alias("lost_sales"),
     )
+
+
+def reconcile_detail(T, viewer: Viewer, period: str, sheet: DataFrame | None = None) -> DataFrame:
+    """A10: dashboard total against the sum of the listed detail for one period.
+
+    The list joins names with inner joins, so rows with unresolved ids count in
+    the dashboard but not in the list; the difference reveals them.
+    """
+    from fieldlens.plans.listing import with_names
+    p = check_period(period)
+    combined = combined_sales(T, sheet=sheet)
+    scoped = scope_rows(combined, T, viewer).filter(F.col("period") == F.lit(p))
+    dash = scoped.agg(F.coalesce(F.sum("amount"), F.lit(0)).cast(TOTAL).alias("dashboard_sales"),
+                      F.count(F.lit(1)).alias("dashboard_rows"))
+    detail = with_names(scoped, T).agg(F.coalesce(F.sum("amount"), F.lit(0)).cast(TOTAL).alias("detail_sales"),
+                                       F.count(F.lit(1)).alias("detail_rows"))
+    return dash.crossJoin(detail).select(  # two single rows
+        F.lit(p).alias("period"), "dashboard_sales", "detail_sales", "dashboard_rows", "detail_rows",
+        (F.col("dashboard_sales") == F.col("detail_sales")).alias("matches"))
