@@ -17,7 +17,13 @@ from fieldlens.operators.scope import scope_rows
 from fieldlens.plans.alerts import bounds_from, lost_customers
 from fieldlens.plans.sales import combined_sales
 from fieldlens.schema import OPEN_TENDER_STATUSES, TOTAL
-from fieldlens.session import Viewer
+from fieldlens.session import Viewer, checkpoint_dir
+
+
+def _materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small, bounded intermediate (checkpoint in the shared folder)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def check_period(period) -> str | None:
@@ -53,25 +59,38 @@ def chosen_period(periods: DataFrame, period=None, as_of=None) -> DataFrame:
 
 
 def dashboard(T, viewer: Viewer, period=None, as_of=None) -> DataFrame:
+    """R2: one row for a viewer: period, sales, prescriptions, open tenders, lost customers, periods.
+
+    Facts are aggregated once per period (partial aggregates, a result of one
+    row per month); the chosen period then only picks from those small
+    frames. Only the lost-customer test needs the per-customer pass.
+    """
     combined = combined_sales(T)
-    periods = available_periods(T, viewer, combined)
+    s_by_p = scope_rows(combined, T, viewer).groupBy("period").agg(F.sum("amount").alias("sales"))
+    r_by_p = (scope_rows(prescription_period(T.prescription), T, viewer).groupBy("period")
+              .agg(F.sum("quantity").alias("prescription_quantity"), F.sum("amount").alias("prescription_amount")))
+    # One row per month: materialised so the chosen period, the picked metrics and the
+    # period list all read this small table instead of recomputing the facts.
+    by_p = _materialise(s_by_p.join(r_by_p, "period", "full_outer"))
+    s_by_p = by_p.select("period", "sales")
+    r_by_p = by_p.select("period", "prescription_quantity", "prescription_amount")
+    periods = by_p.select("period")
     chosen = chosen_period(periods, period, as_of)
     bounds = bounds_from(chosen)
-    one = F.broadcast(bounds.select("period"))  # single row
+    one = F.broadcast(chosen)  # single row
 
-    sales = (scope_rows(combined, T, viewer).join(one, "period", "left_semi")
-             .agg(F.coalesce(F.sum("amount"), F.lit(0)).cast(TOTAL).alias("sales")))
-    rx = scope_rows(prescription_period(T.prescription), T, viewer).join(one, "period", "left_semi")
-    rx_agg = rx.agg(F.coalesce(F.sum("quantity"), F.lit(0)).cast("int").alias("prescription_quantity"),
-                    F.coalesce(F.sum("amount"), F.lit(0)).cast(TOTAL).alias("prescription_amount"))
+    picked = one.join(s_by_p, "period", "left").join(r_by_p, "period", "left").select(
+        "period",
+        F.coalesce("sales", F.lit(0)).cast(TOTAL).alias("sales"),
+        F.coalesce("prescription_quantity", F.lit(0)).cast("int").alias("prescription_quantity"),
+        F.coalesce("prescription_amount", F.lit(0)).cast(TOTAL).alias("prescription_amount"))
     tenders = (scope_rows(T.tender, T, viewer).filter(F.col("status").isin(*OPEN_TENDER_STATUSES))
                .agg(F.count(F.lit(1)).cast("int").alias("open_tenders")))
     lost = lost_customers(T, viewer, combined, bounds, owner_scope=True).agg(
         F.count(F.lit(1)).cast("int").alias("lost_sales"))
     plist = periods.agg(F.sort_array(F.collect_set("period"), asc=False).alias("available_periods"))
-    # All inputs below are single rows: the cross joins cost nothing.
-    return (chosen.crossJoin(sales).crossJoin(rx_agg).crossJoin(tenders)
-            .crossJoin(lost).crossJoin(plist))
+    # All inputs below are single rows (periods are months): the cross joins cost nothing.
+    return picked.crossJoin(tenders).crossJoin(lost).crossJoin(plist)
 
 
 def dashboard_by_rep(T, period=None, as_of=None) -> DataFrame:
