@@ -49,14 +49,15 @@ def _vn2(col):
     return F.translate(F.format_number(col, 2), ",.", ".,")
 
 
-def sheet_raw(T) -> DataFrame:
+def sheet_raw(T, detail: DataFrame | None = None) -> DataFrame:
     """The sales sheet as text, rendered from the detailed sheet view (19 headers + order keys).
 
     Numbers use the Vietnamese locale, negatives are '(x)', dates come in
     three forms; some rows carry a bad month or a non-number, some codes do
     not exist in the masters.
     """
-    d = T.sheet_detail
+    d = T.sheet_detail if detail is None else detail
+    keep = [c for c in ("source_row",) if c in d.columns]
     seg = F.col("customer_group")
     group = reduce(lambda acc, kv: acc.when(seg == kv[0], F.lit(kv[1])),
                    list(GROUP_TEXT.items())[1:],
@@ -70,7 +71,7 @@ def sheet_raw(T) -> DataFrame:
                  .otherwise(F.concat(serial, F.when(F.col("order_key") % 2 == 0, F.lit(".5")).otherwise(F.lit("")))))
     sales = F.col("sales")
     return d.select(
-        *RAW_ORDER,
+        *RAW_ORDER, *keep,
         F.col("manager_name").alias(H["manager"]),
         F.when(F.col("employee_id") % 9 == 4, F.concat(F.lit("X"), F.col("employee_id").cast("string")))
          .otherwise(F.col("employee_id").cast("string")).alias(H["emp_code"]),
@@ -97,9 +98,15 @@ def sheet_raw(T) -> DataFrame:
 
 
 def numbered_sheet(T) -> DataFrame:
-    """S3 on the rendered sheet: rows numbered from 2 in sheet order (a total sort here)."""
-    raw = sheet_raw(T).orderBy(*RAW_ORDER)
-    return with_source_row_number(raw, start=2).drop(*RAW_ORDER)
+    """S3 on the rendered sheet: rows numbered from 2 in sheet order (a total sort here).
+
+    The sort and the numbering run on the narrow numeric rows; names are
+    joined and the text rendered afterwards, so only a few numeric columns
+    are shuffled and materialised.
+    """
+    narrow = T.sheet_sales.select(*RAW_ORDER, "doc_date", "year", "month").orderBy(*RAW_ORDER)
+    numbered = with_source_row_number(narrow, start=2)
+    return sheet_raw(T, T.detail_of(numbered)).drop(*RAW_ORDER)
 
 
 def project_headers(df: DataFrame, headers=SHEET_HEADERS) -> DataFrame:

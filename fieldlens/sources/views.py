@@ -154,7 +154,10 @@ class Tables:
     @cached_property
     def sheet_detail(self) -> DataFrame:
         """Sheet rows with the descriptive text columns of the source sheet."""
-        s = self.sheet_sales
+        return self.detail_of(self.sheet_sales)
+
+    def detail_of(self, s: DataFrame) -> DataFrame:
+        """Attach names, codes and unit price to sheet rows (any extra columns of ``s`` are kept)."""
         sup = self.raw("supplier").select("s_suppkey", "s_name", "s_nationkey")
         nat = self.raw("nation").select("n_nationkey", "n_name", "n_regionkey")
         reg = self.raw("region").select("r_regionkey", "r_name")
