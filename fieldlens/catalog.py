@@ -783,3 +783,9 @@ def q_sheet_stream(spark, d):
     query = stream_sheet(spark, chunks, f"{root}/table", f"{root}/checkpoint")
     query.awaitTermination()
     return read_sheet_table(spark, f"{root}/table").select("source_row", "period", "sales", "row_hash")
+
+
+@register("active_managers")
+def q_active_managers(spark, d):
+    from fieldlens.operators.scope import active_manager_count
+    return active_manager_count(_t(spark, d).employee)

@@ -18,7 +18,7 @@ def keep_matching(df: DataFrame, other: DataFrame, keys, null_safe: bool = False
     keys = list(keys)
     other = other.select(*keys)
     if not null_safe:
-        return df.join(other, keys, "left_semi")
+        return df.join(other, keys, "left_semi").select(*df.columns)
     return df.join(other, _cond(df, other, keys, True), "left_semi")
 
 
@@ -27,7 +27,7 @@ def drop_matching(df: DataFrame, other: DataFrame, keys, null_safe: bool = False
     keys = list(keys)
     other = other.select(*keys)
     if not null_safe:
-        return df.join(other, keys, "left_anti")
+        return df.join(other, keys, "left_anti").select(*df.columns)
     return df.join(other, _cond(df, other, keys, True), "left_anti")
 
 

@@ -29,7 +29,8 @@ def scope_rows(df: DataFrame, T, viewer: Viewer) -> DataFrame:
     """own rows whose customer is assigned to the viewer (EXISTS -> semi join)."""
     if viewer.is_manager:
         return df
-    return owned(df, viewer).join(viewer_assignments(T, viewer), "customer_id", "left_semi")
+    kept = owned(df, viewer).join(viewer_assignments(T, viewer), "customer_id", "left_semi")
+    return kept.select(*df.columns)
 
 
 def scope_customers(T, viewer: Viewer, customers: DataFrame | None = None) -> DataFrame:
@@ -37,7 +38,7 @@ def scope_customers(T, viewer: Viewer, customers: DataFrame | None = None) -> Da
     customers = T.customer if customers is None else customers
     if viewer.is_manager:
         return customers
-    return customers.join(viewer_assignments(T, viewer), "customer_id", "left_semi")
+    return customers.join(viewer_assignments(T, viewer), "customer_id", "left_semi").select(*customers.columns)
 
 
 def gate_changes(changes: DataFrame, T, viewer: Viewer, existing: DataFrame | None = None,
@@ -69,3 +70,30 @@ def gate_changes(changes: DataFrame, T, viewer: Viewer, existing: DataFrame | No
     ok = marked.filter(F.col("_ok")).select(*cols)
     refused = marked.filter(~F.col("_ok")).select(*cols).withColumn("reason", F.lit("customer outside scope"))
     return ok, refused
+
+
+def active(df: DataFrame, col: str = "status") -> DataFrame:
+    """F4 (SQL form): rows whose status is exactly 'Active'."""
+    return df.filter(F.col(col) == "Active")
+
+
+def in_window(df: DataFrame, col: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """half-open text-period window start <= p < end (either side may be open)."""
+    cond = F.lit(True)
+    if start is not None:
+        cond = cond & (F.col(col) >= F.lit(start))
+    if end is not None:
+        cond = cond & (F.col(col) < F.lit(end))
+    return df.filter(cond)
+
+
+def resolved(df: DataFrame, id_cols=("customer_id", "product_id", "employee_id")) -> DataFrame:
+    """drop rows with an unresolved (NULL) id."""
+    return df.dropna(subset=list(id_cols))
+
+
+def active_manager_count(employee: DataFrame) -> DataFrame:
+    """One row, the number of active managers (the guard of M6)."""
+    from fieldlens.schema import MANAGER_ROLES
+    return (employee.filter((F.col("status") == "Active") & F.col("role").isin(*MANAGER_ROLES))
+            .agg(F.count(F.lit(1)).alias("active_managers")))

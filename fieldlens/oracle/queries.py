@@ -211,6 +211,7 @@ def build() -> dict[str, str]:
     sheet.build(q)
     build_imports()
     build_misc()
+    build_small()
     return ORACLE
 
 
@@ -716,3 +717,8 @@ def build_misc() -> None:
                             AND r.period >= b.start_p AND r.period < b.end_p AND r.employee_id = b.employee_id))
              AS INTEGER) AS lost_sales
       FROM b""")
+
+
+def build_small() -> None:
+    q("active_managers", """SELECT count(*) AS active_managers FROM v_employee
+                            WHERE status = 'Active' AND role IN ('QuanLy', 'Admin', 'Manager')""")
