@@ -101,7 +101,8 @@ def dashboard_by_rep(T, period=None, as_of=None) -> DataFrame:
     the work is a handful of shuffles regardless of how many reps there are.
     """
     p = check_period(period)
-    combined = combined_sales(T)
+    # The monthly combined frame feeds five aggregates below; materialise it once.
+    combined = _materialise(combined_sales(T))
     ec = T.employee_customer.select("employee_id", "customer_id")
     emp = T.employee.select("employee_id")
 

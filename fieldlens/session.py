@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -56,7 +57,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for written tables."""
     root = checkpoint_dir(spark)
     if "://" in root:
-        return f"{root.rstrip('/')}/{name}"
+        return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     os.makedirs(root, exist_ok=True)
     return tempfile.mkdtemp(prefix=f"{name}-", dir=root)
 
