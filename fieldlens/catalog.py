@@ -789,3 +789,23 @@ def q_sheet_stream(spark, d):
 def q_active_managers(spark, d):
     from fieldlens.operators.scope import active_manager_count
     return active_manager_count(_t(spark, d).employee)
+
+
+EXPORTED = ["territory", "employee", "product", "customer", "employee_territory", "employee_customer",
+            "prescription", "tender", "daily_report", "kpi_target"]
+
+
+@register("export_snapshot")
+def q_export_snapshot(spark, d):
+    """Write every exported table as JSON, read the folders back, count rows per table."""
+    T = _t(spark, d)
+    tables = {n: getattr(T, n) for n in EXPORTED}
+    tables["sales"] = sales.combined_sales(T, variant="export")
+    root = scratch_path(spark, "export")
+    csvio.export_snapshot(tables, root)
+    parts = [spark.read.json(f"{root}/{n}").agg(F.count(F.lit(1)).alias("rows"))
+             .select(F.lit(n).alias("table_name"), "rows") for n in tables]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

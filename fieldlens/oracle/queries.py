@@ -212,6 +212,7 @@ def build() -> dict[str, str]:
     build_imports()
     build_misc()
     build_small()
+    build_export()
     return ORACLE
 
 
@@ -722,3 +723,11 @@ def build_misc() -> None:
 def build_small() -> None:
     q("active_managers", """SELECT count(*) AS active_managers FROM v_employee
                             WHERE status = 'Active' AND role IN ('QuanLy', 'Admin', 'Manager')""")
+
+
+def build_export() -> None:
+    names = ["territory", "employee", "product", "customer", "employee_territory", "employee_customer",
+             "prescription", "tender", "daily_report", "kpi_target"]
+    parts = [f"SELECT '{n}' AS table_name, count(*) AS rows FROM v_{n}" for n in names]
+    parts.append("SELECT 'sales' AS table_name, count(*) AS rows FROM v_combined_b")
+    q("export_snapshot", " UNION ALL ".join(parts))
