@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 # NARROW NBSP, MEDIUM MATHEMATICAL SPACE, IDEOGRAPHIC SPACE, BOM.
 _SPACE_POINTS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
                  0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
-JS_SPACE = "[" + "".join(chr(c) for c in _SPACE_POINTS) + "]"
+JS_SPACE_CHARS = "".join(chr(c) for c in _SPACE_POINTS)
+JS_SPACE = "[" + JS_SPACE_CHARS + "]"
 GROUPED = r"^-?\d{1,3}(?:\.\d{3})+(?:,\d+)?$"
 DECIMAL_COMMA = r"^-?\d+,\d+$"
 LITERAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -22,7 +23,14 @@ def _c(col) -> Column:
 
 
 def _first_comma_to_dot(c: Column) -> Column:
-    return F.regexp_replace(c, "^([^,]*),", "$1.")
+    """Replace the first ',' by '.' (no regex: instr + overlay)."""
+    at = F.instr(c, ",")
+    return F.when(at > 0, F.overlay(c, F.lit("."), at, F.lit(1))).otherwise(c)
+
+
+def _strip_space(c: Column) -> Column:
+    """Delete every JS white-space character (translate with an empty target)."""
+    return F.translate(F.coalesce(c.cast("string"), F.lit("")), JS_SPACE_CHARS, "")
 
 
 def locale_number(col, coefficient: bool = False) -> Column:
@@ -34,7 +42,7 @@ def locale_number(col, coefficient: bool = False) -> Column:
     drops dots and turns the first comma into a point; anything else is read
     as is (exponents allowed; Infinity, NaN and hex rejected).
     """
-    raw = F.regexp_replace(F.coalesce(_c(col).cast("string"), F.lit("")), JS_SPACE, "")
+    raw = _strip_space(_c(col))
     negative = raw.rlike(r"^\(.+\)$")
     body = F.when(negative, raw.substr(F.lit(2), F.length(raw) - 2)).otherwise(raw)
     if coefficient:
@@ -66,8 +74,7 @@ def with_locale_numbers(df, specs: dict) -> "DataFrame":  # noqa: F821
     enough for whole-stage codegen.
     """
     names = list(specs)
-    df = df.select("*", *[F.regexp_replace(F.coalesce(_c(specs[n][0]).cast("string"), F.lit("")), JS_SPACE, "")
-                          .alias(f"_r_{n}") for n in names])
+    df = df.select("*", *[_strip_space(_c(specs[n][0])).alias(f"_r_{n}") for n in names])
     df = df.select("*", *[F.col(f"_r_{n}").rlike(r"^\(.+\)$").alias(f"_g_{n}") for n in names])
     df = df.select("*", *[F.when(F.col(f"_g_{n}"), F.col(f"_r_{n}").substr(F.lit(2), F.length(f"_r_{n}") - 2))
                           .otherwise(F.col(f"_r_{n}")).alias(f"_b_{n}") for n in names])
