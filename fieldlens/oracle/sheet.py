@@ -9,6 +9,7 @@ from __future__ import annotations
 from fieldlens import params as P
 from fieldlens.functions.numbers import _SPACE_POINTS
 from fieldlens.oracle.views import register
+from fieldlens.schema import SHEET_EMAIL_DOMAIN
 
 SPACE = "[" + "".join(chr(c) for c in _SPACE_POINTS) + "]"
 GROUPED = r"-?\d{1,3}(?:\.\d{3})+(?:,\d+)?"
@@ -213,7 +214,7 @@ def build(q) -> None:
     q("derive_employee", first_per(
         "(SELECT * FROM v_sheet_resolved WHERE employee_code NOT IN "
         "(SELECT sale_code FROM v_employee WHERE sale_code IS NOT NULL))", "employee_id",
-        f"employee_id, employee_name, 'sale-' || lower({slug('employee_code')}) || '@cpc1hn.local' AS email, "
+        f"employee_id, employee_name, 'sale-' || lower({slug('employee_code')}) || '{SHEET_EMAIL_DOMAIN}' AS email, "
         "'NhanVien' AS role, 'Active' AS status, employee_code AS sale_code"))
     q("derive_customer", first_per("v_sheet_resolved", "customer_id",
                                    f"customer_id, customer_name, {ctype('customer_group')} AS customer_type, "

@@ -54,8 +54,8 @@ SHEET_REGION = "DATA SALE"
 # Product defaults for products derived from the sheet.
 SHEET_PRODUCT_DOSAGE_CODE = "Khac"
 SHEET_PRODUCT_DOSAGE_FORM = "Chưa phân loại từ DATA SALE"
-# Email domain of employees derived from the sheet.
-SHEET_EMAIL_DOMAIN = "@cpc1hn.local"
+# Email domain of employees derived from the sheet (a local placeholder domain).
+SHEET_EMAIL_DOMAIN = "@sales-sheet.local"
 # Reminder message: "Nhắc {name} gửi báo cáo KPI ngày {date}."
 REMINDER_PREFIX = "Nhắc "
 REMINDER_MIDDLE = " gửi báo cáo KPI ngày "

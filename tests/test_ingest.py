@@ -17,7 +17,7 @@ def _row():
 
 
 def _masters(spark):
-    emp = spark.createDataFrame([("QL-15795", "A", "015795")], "employee_id string, employee_name string, sale_code string")
+    emp = spark.createDataFrame([("M-00001", "A", "015795")], "employee_id string, employee_name string, sale_code string")
     cust = spark.createDataFrame([], "customer_id string, customer_name string, customer_type string, "
                                      "territory_id string, status string, sale_code string, sale_group string")
     prod = spark.createDataFrame([], "product_id string, product_name string, price decimal(14,2), "
@@ -44,7 +44,7 @@ def test_double_import_is_idempotent(spark):
     rows = second.sheet.collect()
     assert len(rows) == 1
     assert rows[0].sales == Decimal("1842856.50")
-    assert rows[0].employee_id == "QL-15795"          # code 15795 pads to 015795 and resolves
+    assert rows[0].employee_id == "M-00001"          # code 15795 pads to 015795 and resolves
     assert rows[0].customer_id == "SALE_KH_KH001"     # unknown code: generated id
     assert rows[0].territory_id == "SALE_DB_DA_NANG"
     assert [r.change for r in second.diff.collect()] == ["unchanged"]

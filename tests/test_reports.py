@@ -17,10 +17,10 @@ def seed(spark):
     def df(rows, schema):
         return spark.createDataFrame(rows, schema)
 
-    cust = df([("KH_PM_DN_01", "Phong mach Hai Chau", "PhongMachTu", "DB_DANANG", "Active"),
-               ("KH_BV_DN_01", "Benh vien Da Nang", "BenhVien", "DB_DANANG", "Active"),
-               ("KH_PM_QNAM_01", "Phong mach Tam Ky", "PhongMachTu", "DB_QUANGNAM", "Active"),
-               ("KH_SYT_QNGAI", "So Y te Quang Ngai", "SoYTe", "DB_QUANGNGAI", "Active")],
+    cust = df([("KH_PM_DN_01", "Clinic 1", "PhongMachTu", "DB_DANANG", "Active"),
+               ("KH_BV_DN_01", "Hospital 1", "BenhVien", "DB_DANANG", "Active"),
+               ("KH_PM_QNAM_01", "Clinic 2", "PhongMachTu", "DB_QUANGNAM", "Active"),
+               ("KH_SYT_QNGAI", "Health dept 1", "SoYTe", "DB_QUANGNGAI", "Active")],
               "customer_id string, customer_name string, customer_type string, territory_id string, status string")
     emp = df([("NV-DN-01", "A", "MR", "Active", None), ("NV-QN-01", "B", "MR", "Active", None),
               ("NV-SV-01", "C", "Supervisor", "Active", None), ("NV-AD-01", "D", "Admin", "Active", None)],
