@@ -809,3 +809,14 @@ def q_export_snapshot(spark, d):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@register("upsert_written")
+def q_upsert_written(spark, d):
+    """M1 written: the manual table stored by period, a change batch rewrites touched periods only."""
+    T = _t(spark, d)
+    path = scratch_path(spark, "manual-table") + "/manual_sales"
+    T.manual_sales.write.mode("overwrite").partitionBy("period").parquet(path)
+    merge.write_upsert(spark, path, manual_changes(T), ["period", "customer_id", "product_id"], "seq", ["period"])
+    stored = spark.read.parquet(path)
+    return stored.select("period", "customer_id", "product_id", "employee_id", "amount", "source_note")

@@ -3,8 +3,9 @@
 A change table replaces the reference's statement-at-a-time writes: the
 last change per key wins (by a sequence column), then
 ``target ANTI changes UNION changes``. Writing the result back touches only
-the partitions that hold changed keys (``write_upsert``), into a new version
-folder, never over the folder being read.
+the partitions that hold changed keys (``write_upsert``: dynamic partition
+overwrite of a checkpointed merge, so no job reads and overwrites the same
+files).
 """
 
 from __future__ import annotations
@@ -179,16 +180,24 @@ def purge(tables: dict[str, DataFrame], keys: dict[str, DataFrame]) -> dict[str,
     return out
 
 
-def write_upsert(spark, result: DataFrame, path: str, partition_cols=()) -> str:
-    """Write an upsert result as a new version folder; only touched partitions are rewritten.
+def write_upsert(spark, path: str, changes: DataFrame, keys, seq, partition_cols, **upsert_args) -> str:
+    """M1 as a sink: rewrite only the partitions a change batch touches.
 
-    With ``partitionOverwriteMode=dynamic`` Spark replaces exactly the
-    partitions present in ``result``; callers pass the rows of touched
-    partitions (old rows of those partitions plus changes).
+    The stored rows of the touched partitions are read, merged with the
+    changes, cut from their lineage (checkpoint in the shared folder, so the
+    job never reads and overwrites the same files) and written back with
+    dynamic partition overwrite: untouched partitions are not rewritten. A
+    change that moves a key to another partition must come with the key's
+    old partition value in ``changes`` (locate it with a key join first).
     """
+    from fieldlens.session import checkpoint_dir
+    partition_cols = list(partition_cols)
+    stored = spark.read.parquet(path)
+    touched = changes.select(*partition_cols).distinct()
+    old = stored.join(touched, partition_cols, "left_semi")
+    merged = upsert(old, changes, keys, seq, **upsert_args)
+    checkpoint_dir(spark)
+    merged = merged.checkpoint(eager=True)
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    w = result.write.mode("overwrite")
-    if partition_cols:
-        w = w.partitionBy(*partition_cols)
-    w.parquet(path)
+    merged.write.mode("overwrite").partitionBy(*partition_cols).parquet(path)
     return path

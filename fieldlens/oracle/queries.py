@@ -357,6 +357,7 @@ def build_maintenance() -> None:
         FROM v_sheet_sales WHERE order_key % 13 = 0""", ["period", "customer_id", "product_id"],
         "order_key DESC, line_number DESC, sales DESC"))
     cust_cols = ["customer_id", "customer_name", "customer_type", "territory_id", "status", "sale_code", "sale_group"]
+    ORACLE["upsert_written"] = ORACLE["upsert_manual"]
     q("upsert_customer", _upsert_sql("v_customer", cust_cols, f"""
         SELECT customer_id, upper(customer_name) AS customer_name, customer_type, territory_id,
                'Inactive' AS status, sale_code, sale_group, 1 AS seq FROM v_customer WHERE customer_id % 10 = 0
