@@ -72,7 +72,7 @@ def lost_sales(T, viewer: Viewer, combined: DataFrame | None = None) -> DataFram
                        F.lit(LOST_REASON).alias("reason"))
 
 
-def lost_pairs(T, combined: DataFrame, bounds: DataFrame) -> DataFrame:
+def lost_pairs(T, combined: DataFrame, bounds: DataFrame, assignments: DataFrame | None = None) -> DataFrame:
     """Lost (employee, customer) pairs, each employee with its own window.
 
     ``bounds`` has one row per employee; AQE broadcasts it when small (it is
@@ -81,7 +81,8 @@ def lost_pairs(T, combined: DataFrame, bounds: DataFrame) -> DataFrame:
     f = combined.select("employee_id", "customer_id", "period", "amount").join(
         bounds.select("employee_id", "start_period", "end_period"), "employee_id")
     lost = _flags(f, ["employee_id", "customer_id"])
-    assigned = lost.join(T.employee_customer, ["employee_id", "customer_id"], "left_semi")
+    ec = T.employee_customer if assignments is None else assignments
+    assigned = lost.join(ec, ["employee_id", "customer_id"], "left_semi")
     clinics = active_clinics(T).select("customer_id", "customer_name")
     return (assigned.join(clinics, "customer_id")
             .join(bounds.select("employee_id", "period"), "employee_id")

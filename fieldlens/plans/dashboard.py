@@ -127,7 +127,7 @@ def dashboard_by_rep(T, period=None, as_of=None) -> DataFrame:
     tenders = (t.filter(F.col("status").isin(*OPEN_TENDER_STATUSES)).groupBy("employee_id")
                .agg(F.count(F.lit(1)).cast("int").alias("open_tenders")))
     from fieldlens.plans.alerts import lost_pairs  # local: avoids an import cycle
-    lost = (lost_pairs(T, combined, bounds_from(per, keys=["employee_id"]))
+    lost = (lost_pairs(T, combined, bounds_from(per, keys=["employee_id"]), assignments=ec)
             .groupBy("employee_id").agg(F.count(F.lit(1)).cast("int").alias("lost_sales")))
     out = (per.join(sales, "employee_id", "left").join(rx, "employee_id", "left")
            .join(tenders, "employee_id", "left").join(lost, "employee_id", "left"))
