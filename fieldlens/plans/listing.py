@@ -184,23 +184,21 @@ ADMIN_TEXT = {
 
 
 def admin_search(T, resource: str, text, page_no=1, size=6) -> DataFrame:
-    """F13 + T3: searched admin page; a page past the end shows the last page."""
+    """F13 + T3: searched admin page; a page past the end shows the last page.
+
+    Clamping needs only the number of hits, a one-row scalar; the page itself
+    is then a top-k (sort within tasks, keep offset + size rows each).
+    """
     df = {"employee": T.employee, "customer": T.customer, "product": T.product,
           "territory": T.territory}[resource]
     cols = ADMIN_TEXT[resource]
-    key = cols[0]
     hits = search_concat(df.select(*cols), cols, text)
-    total = hits.agg(F.count(F.lit(1)).alias("total"))
-    # Clamp the page to the last one: a one-row computation broadcast to the ranks.
-    pages = total.select("total", F.greatest(F.lit(1).cast("long"),
-                                             F.ceil(F.col("total") / F.lit(size)).cast("long")).alias("pages"))
-    shown = pages.select("*", F.least(F.lit(int(page_no)).cast("long"), F.col("pages")).alias("page"))
-    from fieldlens.sources.rownum import with_source_row_number
-    ranked = with_source_row_number(hits.orderBy(F.col(key).asc()), start=0, col="_rank")
-    out = ranked.crossJoin(F.broadcast(shown))  # one row
-    lo = (F.col("page") - 1) * size
-    return (out.filter((F.col("_rank") >= lo) & (F.col("_rank") < lo + size))
-            .drop("_rank").withColumn("page_size", F.lit(size)))
+    total = hits.count()
+    pages = max(1, -(-total // size))
+    shown = min(max(1, int(page_no)), pages)
+    return (hits.orderBy(F.col(cols[0]).asc()).offset((shown - 1) * size).limit(size)
+            .select(*cols, F.lit(total).cast("long").alias("total"), F.lit(pages).cast("long").alias("pages"),
+                    F.lit(shown).cast("long").alias("page"), F.lit(size).alias("page_size")))
 
 
 def clamp(page_no, size):
