@@ -198,6 +198,6 @@ def write_upsert(spark, path: str, changes: DataFrame, keys, seq, partition_cols
     merged = upsert(old, changes, keys, seq, **upsert_args)
     checkpoint_dir(spark)
     merged = merged.checkpoint(eager=True)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    merged.write.mode("overwrite").partitionBy(*partition_cols).parquet(path)
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_cols).parquet(path))
     return path
