@@ -93,3 +93,24 @@ def test_deactivate_guards(spark):
     reasons = {r.employee_id: r.reason for r in refused.collect()}
     assert status == {1: "Inactive", 2: "Active", 3: "Active"}
     assert reasons == {9: "not found", 3: "acting user", 2: "last active manager"}
+
+
+def test_write_upsert_rewrites_touched_partitions_only(spark, tmp_path):
+    import os
+    path = str(tmp_path / "t")
+    base = spark.createDataFrame([("2001-01", "a", 1), ("2001-02", "b", 2), ("2001-03", "c", 3)],
+                                 "period string, k string, v int")
+    base.write.partitionBy("period").parquet(path)
+
+    def files(part):
+        d = os.path.join(path, f"period={part}")
+        return {f: os.path.getmtime(os.path.join(d, f)) for f in os.listdir(d) if f.endswith(".parquet")}
+
+    before = {p: files(p) for p in ("2001-01", "2001-02", "2001-03")}
+    ch = spark.createDataFrame([("2001-02", "b", 20, 1), ("2001-02", "x", 9, 1)], "period string, k string, v int, seq int")
+    merge.write_upsert(spark, path, ch, ["period", "k"], "seq", ["period"])
+    after = {p: files(p) for p in ("2001-01", "2001-02", "2001-03")}
+    assert after["2001-01"] == before["2001-01"] and after["2001-03"] == before["2001-03"]
+    assert after["2001-02"] != before["2001-02"]
+    got = sorted((r.period, r.k, r.v) for r in spark.read.parquet(path).collect())
+    assert got == [("2001-01", "a", 1), ("2001-02", "b", 20), ("2001-02", "x", 9), ("2001-03", "c", 3)]
