@@ -498,3 +498,19 @@ def import_resource_rows(T, resource: str) -> tuple[DataFrame, DataFrame]:
     spec = RESOURCES[resource]
     ok, bad = import_resource(resource_raw(T, resource), spec)
     return ok, bad
+
+
+def import_sheet_files(spark, paths, T, stored: DataFrame | None = None, source_id: str = "sheet",
+                       strict: bool = False, derive: bool = True, run_id: str = "run",
+                       multi_line: bool = False) -> ImportResult:
+    """I1 from files: read the sheet CSVs, number rows from 2 in each file's order, import.
+
+    Numbering uses the scan's own splits (no sort, no checkpoint); the source
+    row key becomes (file, row).
+    """
+    from fieldlens.sources.csv import read_resource_csv
+    path = paths if isinstance(paths, str) else ",".join(paths)
+    raw = read_resource_csv(spark, path, multi_line=multi_line, with_file=True)
+    numbered = with_source_row_number(raw, start=2, path_col="source_file", stable=True)
+    return import_sheet(numbered, T, stored=stored, source_id=source_id, strict=strict, derive=derive,
+                        run_id=run_id)

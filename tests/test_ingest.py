@@ -67,3 +67,19 @@ def test_strict_mode_refuses_bad_batch(spark):
         raise AssertionError("strict import accepted a bad month")
     res = ingest.import_sheet(raw, _masters(spark))
     assert res.rejected.select(F.col("error")).collect()[0].error == "month is not valid"
+
+
+def test_import_sheet_files(spark, tmp_path):
+    import csv
+    row = _row()
+    with open(tmp_path / "sheet.csv", "w", newline="", encoding="utf-8") as fh:
+        w = csv.writer(fh)
+        w.writerow(SHEET_HEADERS)
+        w.writerow(list(row.values()))
+        bad = dict(row)
+        bad["DOANH SỐ"] = "abc"
+        w.writerow(list(bad.values()))
+    res = ingest.import_sheet_files(spark, str(tmp_path / "sheet.csv"), _masters(spark))
+    rows = res.sheet.collect()
+    assert [(r.source_row, r.sales) for r in rows] == [(2, Decimal("1842856.50"))]
+    assert [(r.source_row, r.error) for r in res.rejected.collect()] == [(3, "sales is not a number")]
