@@ -12,9 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens import params as P
+from fieldlens.functions.dates import parse_doc_date
+from fieldlens.functions.numbers import strict_number as _strict
+from fieldlens.functions.numbers import with_locale_numbers
+from fieldlens.functions.text import customer_type, pad_code, slug
+from fieldlens.functions.text import parse_bool as _bool
+from fieldlens.functions.text import pick as _pick
+from fieldlens.operators import merge, quality
+from fieldlens.operators.keys import latest_per_key
 from fieldlens.operators.paging import latest_periods
 from fieldlens.operators.scope import owned, scope_customers, scope_rows
-from fieldlens.plans import alerts, dashboard, sales
+from fieldlens.plans import alerts, changes, dashboard, ingest, listing, sales
+from fieldlens.schema import MONEY, RESOURCES, SHEET_HEADERS, SHEET_MONEY
+from fieldlens.session import scratch_path
+from fieldlens.sources import csv as csvio
 from fieldlens.sources.views import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,7 +150,6 @@ def q_reminders_loose(spark, d):
 
 
 # ----------------------------------------------------------- lists
-from fieldlens.plans import listing  # noqa: E402
 
 
 @register("sales_page")
@@ -247,10 +257,6 @@ def q_admin_search_last(spark, d):
 
 
 # ----------------------------------------------------------- maintenance
-from fieldlens.operators import merge, quality  # noqa: E402
-from fieldlens.operators.keys import latest_per_key  # noqa: E402
-from fieldlens.plans import changes  # noqa: E402
-from fieldlens.schema import MONEY  # noqa: E402
 
 BIG = 1_000_000_000  # offset for ids that do not exist in the masters
 
@@ -520,11 +526,6 @@ def q_role_fold(spark, d):
 
 
 # ----------------------------------------------------------- sheet ingest
-from fieldlens.functions.dates import parse_doc_date  # noqa: E402
-from fieldlens.functions.numbers import with_locale_numbers  # noqa: E402
-from fieldlens.functions.text import customer_type, pad_code, slug  # noqa: E402
-from fieldlens.plans import ingest  # noqa: E402
-from fieldlens.schema import SHEET_MONEY  # noqa: E402
 
 RAW = ingest.H  # short key -> sheet header
 
@@ -677,9 +678,6 @@ def q_sheet_import(spark, d):
 
 
 # ----------------------------------------------------------- standard imports
-from fieldlens.functions.numbers import strict_number as _strict  # noqa: E402
-from fieldlens.functions.text import parse_bool as _bool, pick as _pick  # noqa: E402
-from fieldlens.schema import RESOURCES  # noqa: E402
 
 
 def _import_query(resource):
@@ -725,9 +723,6 @@ def q_parse_bool(spark, d):
 
 
 # ----------------------------------------------------------- sources, sinks, stream, misc
-from fieldlens.schema import SHEET_HEADERS  # noqa: E402
-from fieldlens.session import scratch_path  # noqa: E402
-from fieldlens.sources import csv as csvio  # noqa: E402
 
 
 @register("reconcile_detail")

@@ -6,7 +6,6 @@ try_strptime, strip_accents) over the same rendered sheet.
 
 from __future__ import annotations
 
-from fieldlens import params as P
 from fieldlens.functions.numbers import _SPACE_POINTS
 from fieldlens.oracle.views import register
 from fieldlens.schema import SHEET_EMAIL_DOMAIN
