@@ -49,7 +49,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         configured = tempfile.mkdtemp(prefix="fieldlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
+    try:
+        spark.sparkContext.setCheckpointDir(configured)
+    except Exception:  # a Spark Connect session has no SparkContext; the server's setting applies
+        pass
     return configured
 
 
