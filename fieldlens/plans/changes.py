@@ -66,7 +66,8 @@ def apply_changes(kind: str, changes: DataFrame, T, viewer: Viewer, as_of=None):
     inactive = allowed.join(prod.select("product_id"), "product_id", "left_anti") \
         .withColumn("reason", F.lit("product inactive"))
     refused = bad.unionByName(outside).unionByName(inactive)
-    owner = F.lit(viewer.employee_id).cast("long")
+    target = {"sales": T.manual_sales, "prescriptions": T.prescription, "tenders": T.tender}[kind]
+    owner = F.lit(viewer.employee_id).cast(target.schema["employee_id"].dataType)
 
     if kind == "sales":
         rows = good.select("period", "customer_id", "product_id", owner.alias("employee_id"),

@@ -88,3 +88,25 @@ def test_sum_rule_vs_nonzero_rule(spark, seed):
     by_sum = {r.customer_id for r in alerts.lost_sales_latest(s).collect()}
     by_nonzero = {r.customer_id for r in alerts.lost_sales(s, MANAGER).collect()}
     assert "KH_SYT_QNGAI" in by_sum and "KH_SYT_QNGAI" not in by_nonzero
+
+
+def test_write_as_rep_then_read_back(spark, seed):
+    """A rep's sale goes through the gate into the manual table and shows on the rep's dashboard."""
+    from fieldlens.plans.changes import apply_changes
+    rep = Viewer("NV-DN-01", "MR")
+    product = spark.createDataFrame([("SP_NEB_3", Decimal("56000.00"), "Active"), ("SP_OLD", Decimal("1.00"), "Inactive")],
+                                    "product_id string, price decimal(14,2), status string")
+    T = SimpleNamespace(**vars(seed))
+    T.product = product
+    T.manual_sales = seed.manual_sales.withColumn("source_note", F.lit("seed"))
+    changes = spark.createDataFrame(
+        [("2026-08", "KH_BV_DN_01", "SP_NEB_3", Decimal("250000"), 1),     # assigned, active: applied
+         ("2026-08", "KH_PM_QNAM_01", "SP_NEB_3", Decimal("99"), 2),       # not assigned to this rep
+         ("2026-08", "KH_BV_DN_01", "SP_OLD", Decimal("5"), 3)],           # inactive product
+        "period string, customer_id string, product_id string, amount decimal(14,2), seq int")
+    table, refused = apply_changes("sales", changes, T, rep)
+    assert sorted(r.reason for r in refused.collect()) == ["customer outside scope", "product inactive"]
+    T.manual_sales = table
+    before = dashboard.dashboard(seed, rep, period="2026-08").collect()[0].sales
+    after = dashboard.dashboard(T, rep, period="2026-08").collect()[0].sales
+    assert after - before == Decimal("250000")
