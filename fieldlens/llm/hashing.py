@@ -40,8 +40,9 @@ def powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if lane not in known or len(known[lane][0]) < n:
         base, _ = _lane(lane)
         size = max(n, CHUNK_BYTES * 2)
-        known[lane] = tuple(np.cumprod(np.concatenate(([1], np.full(size - 1, b, dtype=np.uint64))).astype(np.uint64))
-                           for b in (base, pow(base, -1, 1 << 64)))
+        factors = np.ones((2, size), np.uint64)
+        factors[0, 1:], factors[1, 1:] = base, pow(base, -1, 1 << 64)
+        known[lane] = tuple(np.cumprod(factors, axis=1, dtype=np.uint64))
     return known[lane][0][:n], known[lane][1][:n]
 
 

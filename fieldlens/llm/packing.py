@@ -16,7 +16,9 @@ packed each for itself; rows without doc_id are packed too; columns other than d
 
 from __future__ import annotations
 
+import math
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import partitions_for, read_table, stage
+from fieldlens.llm.common import read_table, stage
 from fieldlens.llm.hashing import process_state
 
 WINDOW = 2048
 END_ID = 1
-ROWS_PER_BLOCK = 20_000
-CACHE_WORDS = 1_000_000
+ROWS_PER_BLOCK = 2_000
+CACHE_WORDS = 600_000
 TOKENIZER = "word_bpe_49k.json"
-_TAIL = ".,!?;:%$&*#|"
+_TAIL = b".,!?;:%$&*#|"
 TOKEN_SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -49,36 +51,66 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.model.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # words not seen for a while; dropped when ``recent`` fills again
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        known, parts, need = self.known, {}, set()
+        if len(self.recent) > CACHE_WORDS:
+            self.recent, self.older = {}, self.recent
+        recent, older, parts, need = self.recent, self.older, {}, set()
         for w in words:
-            if w not in known:
-                core = w.rstrip(_TAIL.encode())
-                if not core or not 97 <= core[-1] <= 122 or len(core) == len(w):
-                    need.add(w)
-                else:
-                    parts[w] = core
-                    need.update(x for x in (core, w[len(core):]) if x not in known)
-        todo = list(need)
-        for w, e in zip(todo, self.model.encode_batch_fast([x.decode() for x in todo], add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            if (ids := older.get(w)) is not None:
+                recent[w] = ids
+                continue
+            core = w.rstrip(_TAIL)
+            if len(core) == len(w) or not core or not 97 <= core[-1] <= 122:
+                need.add(w)
+                continue
+            parts[w] = core
+            for x in (core, w[len(core):]):
+                if x not in recent:
+                    if (ids := older.get(x)) is not None:
+                        recent[x] = ids
+                    else:
+                        need.add(x)
+        recent.update(self._ids(need))
         for w, core in parts.items():
-            known[w] = known[core] + known[w[len(core):]]
+            recent[w] = recent[core] + recent[w[len(core):]]
+
+    def _ids(self, words: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of each word. Words of letters only are encoded many in one text: each ends with a closing token."""
+        text = [(w, w.decode()) for w in words]
+        single = [x for x in text if not x[1].isalpha()]
+        letters = [x for x in text if x[1].isalpha()] if self.closes.any() else []
+        runs = [letters[i:i + 100] for i in range(0, len(letters), 100)]
+        for run, e in zip(runs, self.model.encode_batch_fast([" ".join(x[1] for x in r) for r in runs],
+                                                             add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(self.closes[ids])
+            if len(cut) != len(run):  # a sign that Python takes for a letter and the tokenizer doesn't
+                single += run
+                continue
+            whole, at = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()]
+            for (w, _), lo, hi in zip(run, at, at[1:]):
+                yield w, whole[lo:hi]
+        for (w, _), e in zip(single, self.model.encode_batch_fast([x[1] for x in single], add_special_tokens=False)):
+            yield w, array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.encode().lower().split() for t in texts]
-        words = set().union(*split) if split else set()
-        if not words <= self.known.keys():
-            self._learn({w for w in words if w not in self.known})
-            if not words <= self.known.keys():  # the cache was emptied
-                self._learn(words)
-        find = self.known.__getitem__
-        return [b"".join(map(find, s)) for s in split]
+        """Native 32-bit ids of each text."""
+        out = []
+        for t in texts:
+            words = t.encode().lower().split()
+            ids = list(map(self.recent.get, words))
+            if missing := [i for i, x in enumerate(ids) if x is None]:
+                self._learn({words[i] for i in missing})
+                for i in missing:
+                    ids[i] = self.recent[words[i]]
+            out.append(b"".join(ids))
+        return out
 
 
 def tokens(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id",
@@ -204,8 +236,10 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = _places(recipe(histogram, window))
     places = spark.createDataFrame(rows, "length long, lo long, hi long, first_sequence long, uses long, "
                                          "offsets array<long>, sequence_tokens long")
-    blocks = partitions_for(int(histogram.max()), ROWS_PER_BLOCK)
-    cut = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)))
+    blocks = spark.createDataFrame([(v, math.ceil(n / ROWS_PER_BLOCK)) for v, n in enumerate(histogram.tolist()) if n],
+                                   "length long, _blocks long")
+    cut = (pieces.join(F.broadcast(blocks), "length")
+           .withColumn("_block", F.pmod(F.xxhash64("doc_id", "start"), F.col("_blocks"))))
     sizes = cut.groupBy("length", "_block").count()
     before = sizes.withColumn("_before", F.sum("count").over(
         Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from fieldlens.llm import line_dedup, packing, quality
+from fieldlens.llm import line_dedup, ngram_join, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op3_quality": quality.op3,
+    "op6_substring_dedup": substring_dedup.op6,
     "op8_line_dedup": line_dedup.op8,
+    "op10_ngram_join": ngram_join.op10,
 }
 
 ORACLE_SQL = {
+    "op6_substring_dedup": substring_dedup.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op10_ngram_join": ngram_join.SQL,
 }
