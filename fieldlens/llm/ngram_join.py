@@ -6,10 +6,13 @@ has none). Two documents link when ``den * |A & B| >= num * |A | B|``.
 * Sketch. Every shingle flips one bit of a bit sketch, so the Hamming distance of two sketches is at most the size of
   the symmetric difference, which a link bounds by ``d = (den - num) / (den + num) * (|A| + |B|)``.
 * Pigeonhole per size band. In a band of sizes up to T, ``d`` follows from 2T. The sketch has ``d + 1 + spare`` blocks of
-  64 bits, so linked documents agree in at least ``spare + 1`` whole blocks. Only blocks with ``MIN_BITS`` set bits or
-  more become join keys (an empty block is in everybody's sketch); a document with more than ``spare`` poorer blocks
-  also joins on the shingles of its prefix (the ``n - ceil(t n) + 1`` least hashes), on which any two linked documents
-  agree. So no link is missed. A document near the top of its band joins the next one too.
+  2^32 bits, nearly all zero, so a block is held as the exclusive or of the hashes of its set bits. Linked documents
+  agree in at least ``spare + 1`` whole blocks. Only blocks of ``MIN_TOKENS`` shingles or more become join keys (an empty
+  block is in everybody's sketch); a document with more than ``spare`` poorer blocks also joins on the shingles of its
+  prefix (the ``n - ceil(t n) + 1`` least hashes), on which any two linked documents
+  agree. So no link is missed. A document near the top of its band joins the next one too. A document's linked partner
+  shares at least ``spare + 1`` less its poorer blocks of its keys, so documents with fewer shared keys (a common line
+  or passage gives some) can't be linked and leave before their texts are looked at.
 * Copies. Documents of equal sets are one class from the start and one vertex in the join.
 * Verify. The members of a key are compared with one centre at a time: first the member whose keys are the most shared
   (a text that others were edited from), then, only where a key still holds several components, with the next centres,
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from fieldlens.llm.common import components, maybe_broadcast, read_table, stage, unstage
 from fieldlens.llm.hashing import chunks, mix, rolling, utf8, word_hashes
 
-MIN_BITS = 3
+MIN_TOKENS = 2
 GROWTH = 1.5
 
 
@@ -47,33 +50,32 @@ def band_tops(largest: int) -> np.ndarray:
 def blocks_of(top: int, num: int, den: int) -> tuple[int, int]:
     """(number of blocks, spare) for sizes up to ``top``."""
     d = (den - num) * 2 * top // (den + num)
-    spare = d // 4 + 2
+    spare = d // 5 + 2
     return d + 1 + spare, spare
 
 
-def join_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Join keys of a set of shingle hashes (sorted, distinct)."""
+def join_keys(shingles: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """Join keys of a set of shingle hashes (sorted, distinct), and how many of them any linked set has too, at least."""
     n = len(shingles)
     tops = band_tops(n)
     own = tops[np.searchsorted(tops, n)]
     bands = [int(own)]
     if n * den >= own * num:  # a partner of up to n * den / num shingles may be in the next band
         bands.append(max(int(own) + 1, int(own * GROWTH)))
-    out, poor_in_any = [], False
+    out, need = [], n
     for top in bands:
         blocks, spare = blocks_of(top, num, den)
-        block = (shingles >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
-        cell = block.astype(np.int64) * 64 + (shingles & np.uint64(63)).astype(np.int64)
-        flipped = (np.bincount(cell, minlength=blocks * 64) & 1).astype(np.uint8)
-        words = np.packbits(flipped.reshape(blocks, 64), axis=1).view(np.uint64).ravel()
-        rich = np.bitwise_count(words) >= MIN_BITS
-        place = np.arange(blocks, dtype=np.uint64) + np.uint64(top << 24)
+        block = ((shingles >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)  # ascending
+        start = np.flatnonzero(np.diff(block, prepend=-1))
+        rich = np.diff(start, append=n) >= MIN_TOKENS
+        words = np.bitwise_xor.reduceat(mix(shingles & np.uint64(0xFFFFFFFF)), start)
+        place = block[start].astype(np.uint64) + np.uint64(top << 24)
         out.append(mix(words[rich] + mix(place[rich])))
-        poor_in_any |= blocks - int(rich.sum()) > spare
-    if poor_in_any:
+        need = min(need, spare + 1 - (blocks - int(rich.sum())))
+    if need < 1:
         prefix = n - -(-n * num // den) + 1
         out.append(mix(shingles[:prefix] ^ np.uint64(0x5DEECE66D)))
-    return np.concatenate(out)
+    return np.concatenate(out), max(1, need)
 
 
 def _sets(batch: pa.RecordBatch, k: int):
@@ -88,24 +90,24 @@ def _sets(batch: pa.RecordBatch, k: int):
 
 
 def sketches(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc, n, s1, s2, keys): set size, 128-bit hash of the set, join keys."""
-    names = ["doc", "n", "s1", "s2", "keys"]
+    """(doc, n, s1, s2, need, keys): set size, 128-bit hash of the set, join keys and how many a partner shares."""
+    names = ["doc", "n", "s1", "s2", "need", "keys"]
 
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows, size = [], 0
             for i, s in _sets(batch, k):
-                keys = join_keys(s, num, den) if len(s) else s
+                keys, need = join_keys(s, num, den) if len(s) else (s, 0)
                 rows.append((ids[i], len(s), int(mix(s).sum().view(np.int64)),
-                             int(mix(s ^ np.uint64(0xA5A5A5A5)).sum().view(np.int64)), keys.view(np.int64)))
+                             int(mix(s ^ np.uint64(0xA5A5A5A5)).sum().view(np.int64)), need, keys.view(np.int64)))
                 size += len(keys)
                 if size > 200_000:
                     yield _rows(rows, names)
                     rows, size = [], 0
             if rows:
                 yield _rows(rows, names)
-    return docs.mapInArrow(emit, "doc long, n long, s1 long, s2 long, keys array<long>")
+    return docs.mapInArrow(emit, "doc long, n long, s1 long, s2 long, need long, keys array<long>")
 
 
 def _rows(rows, names) -> pa.RecordBatch:
@@ -152,13 +154,14 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     drawn = stage(sketches(narrow, k, num, den), "sketches")
     # One vertex for each distinct set: the smallest document that has it.
     classes = drawn.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"))
-    keyed = drawn.where("n > 0").select(F.explode("keys").alias("key"), "doc", "n", "s1", "s2")
+    keyed = drawn.where("n > 0").select(F.explode("keys").alias("key"), "doc", "n", "s1", "need")
     group = Window.partitionBy("key")
-    shared = stage(keyed.select("key", "doc", "n", "s1", "s2", F.min("s1").over(group).alias("lo"),
-                                F.max("s1").over(group).alias("hi")).where("lo < hi")
-                   .select("key", "doc", "n", "s1", "s2"), "shared")
-    members = stage(shared.join(classes.select("rep"), F.col("doc") == F.col("rep"), "left_semi")
-                    .select("key", "doc", "n").distinct(), "members")
+    shared = stage(keyed.withColumns({"lo": F.min("s1").over(group), "hi": F.max("s1").over(group)})
+                   .where("lo < hi").select("key", "doc", "n", "need"), "shared")
+    reps = classes.select(F.col("rep").alias("doc"))
+    enough = (shared.join(reps, "doc", "left_semi").groupBy("doc", "need").agg(F.count_distinct("key").alias("have"))
+              .where("have >= need").select("doc"))
+    members = stage(shared.join(enough, "doc", "left_semi").select("key", "doc", "n").distinct(), "members")
     unstage(shared)
     comp = _link(narrow, members, k, num, den)
     unstage(members)
@@ -180,8 +183,10 @@ def _link(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> Da
     n_wanted = wanted.count()
     if not n_wanted:
         return None
-    sets = stage(shingle_sets(docs.join(maybe_broadcast(wanted, n_wanted), F.col("doc") == F.col("_w"), "left_semi"), k)
-                 .dropDuplicates(["doc"]), "sets")
+    sets = stage(shingle_sets(docs.join(maybe_broadcast(wanted, n_wanted), F.col("doc") == F.col("_w"), "left_semi"),
+                              k), "sets")
+    if sets.count() > n_wanted:  # rows that repeat a doc_id
+        sets = sets.dropDuplicates(["doc"])
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     scores = (members.join(sizes, "key").groupBy("doc").agg(F.sum("size").alias("score")))
     order = Window.partitionBy("key").orderBy(F.desc("score"), "doc")
