@@ -4,10 +4,10 @@ A word run of ``window`` words in one document is removed when the same run also
 doc_id. Winnowing picks, for every run, the ``seed``-word gram with the least hash (leftmost on ties), so equal runs pick
 equal anchors at equal places, and one anchor stands for a stretch of consecutive runs:
 
-1. Seed: documents emit (anchor hash, 128-bit hash of the stretch around it, place). Equal stretches are pre-aggregated
+1. Seed: documents emit (anchor hash, hash of the stretch around it, place); both hashes, 128 bits, name a stretch. Equal stretches are pre-aggregated
    to their smallest doc_id, so thousands of copies are one row an anchor. Anchors of one document only end here.
 2. Extend: an anchor with one stretch needs no comparison. Where stretches differ, the runs on both sides of the anchor
-   are compared by their 128-bit hashes, taken once for each distinct stretch, and get the smallest doc_id that has them.
+   are compared by their hashes (with the anchor's, 128 bits), taken once for each distinct stretch, and get the smallest doc_id that has them.
 3. Each document unites its runs that an earlier document has into maximal removed intervals.
 
 Groups are never paired: the work is linear in distinct stretches. Joins are on 128-bit hashes or doc_id and left to
@@ -20,7 +20,6 @@ take nothing away; extra columns aren't read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import maybe_broadcast, read_table, stage, unstage
+from fieldlens.llm.common import read_table, stage, unstage
 from fieldlens.llm.hashing import chunks, mix, rolling, spans, utf8, word_hashes
 
 WINDOW = 50
 SEED = 10
-SEPARATORS = "[\\x20\\x09-\\x0D]"
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -48,7 +46,7 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(lanes: list[np.ndarray], window: int, seed: int):
-    """For one document's words: first run, number of runs, anchor hash, two hashes of the stretch; per anchor."""
+    """For one document's words: first run, number of runs, anchor hash, hash of the stretch; per anchor."""
     grams = rolling(lanes[0], seed)
     pick = _least(grams, window - seed + 1)
     edge = np.flatnonzero(np.diff(pick)) + 1
@@ -56,8 +54,8 @@ def _anchors(lanes: list[np.ndarray], window: int, seed: int):
     runs = np.diff(np.concatenate((first, [len(pick)])))
     anchor = pick[first]
     place = (anchor - first).astype(np.uint64) * np.uint64(1 << 20)
-    c = [mix(spans(lane, first, first + runs + window - 1, i) + place) for i, lane in enumerate(lanes)]
-    return first, runs, grams[anchor], c[0], c[1]
+    c = mix(spans(lanes[1], first, first + runs + window - 1, 1) + place)
+    return first, runs, grams[anchor], c
 
 
 def _documents(batch: pa.RecordBatch):
@@ -70,7 +68,7 @@ def _documents(batch: pa.RecordBatch):
 
 
 def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(doc, first, runs, a, c1, c2) of every anchor."""
+    """(doc, first, runs, a, c) of every anchor."""
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -86,39 +84,35 @@ def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
                     found, size = [], 0
             if found:
                 yield _batch(found)
-    return docs.mapInArrow(emit, "doc long, first int, runs int, a long, c1 long, c2 long")
+    return docs.mapInArrow(emit, "doc long, first int, runs int, a long, c long")
 
 
 def _batch(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)],
-                                      ["doc", "first", "runs", "a", "c1", "c2"])
+                                      ["doc", "first", "runs", "a", "c"])
 
 
 def _run_hashes(docs: DataFrame, window: int) -> DataFrame:
-    """(a, c1, c2, run, w1, w2) of every run of the listed stretches; docs has a list ``wanted`` of structs."""
-    names = ["a", "c1", "c2", "run", "w1", "w2"]
+    """(a, c, owner, run, w) of every run of the stretches listed in ``wanted`` (structs), from their document."""
+    names = ["a", "c", "owner", "run", "w"]
 
     def emit(batches):
         for batch in batches:
-            wanted = batch.column(2).to_pylist()
+            ids, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             found, size = [], 0
             for i, lanes in _documents(batch):
-                w = [rolling(lane, window, j).view(np.int64) for j, lane in enumerate(lanes)]
+                w = rolling(lanes[1], window, 1).view(np.int64)
                 for s in wanted[i]:
                     lo, n = s["first"], s["runs"]
-                    found.append((np.full(n, s["a"]), np.full(n, s["c1"]), np.full(n, s["c2"]),
-                                  np.arange(n, dtype=np.int32), w[0][lo:lo + n], w[1][lo:lo + n]))
+                    found.append((np.full(n, s["a"]), np.full(n, s["c"]), np.full(n, ids[i], np.int64),
+                                  np.arange(n, dtype=np.int32), w[lo:lo + n]))
                     size += n
                 if size > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names)
                     found, size = [], 0
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names)
-    return docs.mapInArrow(emit, "a long, c1 long, c2 long, run int, w1 long, w2 long")
-
-
-def _size(df: DataFrame, lists: str) -> int:
-    return df.agg(F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()[0]
+    return docs.mapInArrow(emit, "a long, c long, owner long, run int, w long")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id",
@@ -127,43 +121,43 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str
     narrow = (docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
               .where("doc is not null and text is not null"))
     seeds = stage(_seeds(narrow, window, seed), "seeds")
-    stretch = ["a", "c1", "c2"]
-    # A stretch and its smallest document; where in that document it stands comes along for step 2.
-    grouped = seeds.groupBy(*stretch).agg(
-        F.min(F.struct("doc", "first", "runs")).alias("lead"), F.max("doc").alias("last"))
-    classes = stage(grouped.select(*stretch, "lead.*", "last"), "stretches")
-    shared = classes.groupBy("a").agg(F.count("*").alias("kinds"), F.min("doc").alias("lo"), F.max("last").alias("hi"))
-    shared = shared.where("lo < hi").select("a", "kinds")
-    known = stage(classes.join(shared, "a"), "shared")
-    unstage(classes)
+    shared = seeds.groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a")
+    kept = stage(seeds.join(shared, "a"), "shared")
+    unstage(seeds)
+    # A stretch's smallest document, and where in it the stretch stands.
+    stretch = ["a", "c"]
+    classes = stage(kept.groupBy(*stretch).agg(F.min(F.struct("doc", "first", "runs")).alias("lead"))
+                    .select(*stretch, "lead.*"), "stretches")
+    kinds = classes.groupBy("a").agg(F.count("*").alias("kinds"))
+    known = classes.join(kinds, "a")
 
     # One kind of stretch: all its runs are the smallest document's.
     plain = known.where("kinds = 1").select(*stretch, F.col("doc").alias("owner"))
     plain = plain.withColumn("owners", F.lit(None).cast("array<struct<run:int,owner:long>>"))
-    several = known.where("kinds > 1")
-    wanted = several.groupBy("doc").agg(F.collect_list(F.struct(*stretch, "first", "runs")).alias("wanted"))
-    wanted = stage(wanted, "wanted")
-    texts = narrow.join(maybe_broadcast(wanted, _size(wanted, "wanted")).withColumnRenamed("doc", "_doc"),
-                        F.col("doc") == F.col("_doc")).select("doc", "text", "wanted")
-    lead = several.select(*stretch, F.col("doc").alias("owner"))
+    wanted = (known.where("kinds > 1").groupBy("doc")
+              .agg(F.collect_list(F.struct(*stretch, "first", "runs")).alias("wanted")).withColumnRenamed("doc", "_doc"))
+    texts = narrow.join(wanted, F.col("doc") == F.col("_doc")).select("doc", "text", "wanted")
     runs = stage(_run_hashes(texts, window), "runs")
-    runs = runs.join(lead, stretch)
-    best = runs.groupBy("w1", "w2").agg(F.min("owner").alias("best"), F.max("owner").alias("worst")).where("best < worst")
-    by_run = (runs.join(best.select("w1", "w2", "best"), ["w1", "w2"], "left")
-              .groupBy(*stretch).agg(F.first("owner").alias("owner"), F.collect_list(
-                  F.when(F.col("best") < F.col("owner"), F.struct("run", F.col("best").alias("owner"))))
-                  .alias("owners")))
+    best = (runs.groupBy("a", "w").agg(F.min("owner").alias("best"), F.max("owner").alias("worst"))
+            .where("best < worst").select("a", "w", "best"))
+    earlier = (runs.join(best, ["a", "w"]).where("best < owner").groupBy(*stretch)
+               .agg(F.collect_list(F.struct("run", F.col("best").alias("owner"))).alias("owners")))
+    several = known.where("kinds > 1").select(*stretch, F.col("doc").alias("owner"))
+    by_run = several.join(earlier, stretch, "left").select(*stretch, "owner", "owners")
     owners = stage(plain.unionByName(by_run), "owners")
+    unstage(runs, classes)
 
     # Every anchor of every document against the owners of its runs.
-    hits = (seeds.join(owners, stretch)
+    hits = (kept.join(owners, stretch)
             .withColumn("lost", F.when(F.col("owner") < F.col("doc"), F.array(F.struct(
                 F.col("first").alias("from"), (F.col("first") + F.col("runs") + window - 1).alias("to"))))
                 .otherwise(F.transform(F.col("owners"), lambda r: F.struct(
                     (F.col("first") + r["run"]).alias("from"), (F.col("first") + r["run"] + window).alias("to")))))
             .select("doc", F.explode("lost").alias("s")).select("doc", "s.*"))
     lost = hits.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
-    return stage(lost, "lost")
+    lost = stage(lost, "lost")
+    unstage(kept, owners)
+    return lost
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id",
@@ -171,7 +165,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     """doc_id, kept (the remaining words joined by one space), n_words, n_removed of every document."""
     lost = repeats(docs, window, seed, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(maybe_broadcast(lost, _size(lost, "spans")), rows["doc_id"] == lost["doc"], "left")
+    joined = rows.join(lost, rows["doc_id"] == lost["doc"], "left")
 
     def cut(batches):
         for batch in batches:
