@@ -10,14 +10,15 @@ has none). Two documents link when ``den * |A & B| >= num * |A | B|``.
   agree in at least ``spare + 1`` whole blocks. Only blocks of ``MIN_TOKENS`` shingles or more become join keys (an empty
   block is in everybody's sketch); a document with more than ``spare`` poorer blocks also joins on the shingles of its
   prefix (the ``n - ceil(t n) + 1`` least hashes), on which any two linked documents
-  agree. So no link is missed. A document near the top of its band joins the next one too. A document's linked partner
-  shares at least ``spare + 1`` less its poorer blocks of its keys, so documents with fewer shared keys (a common line
-  or passage gives some) can't be linked and leave before their texts are looked at.
+  agree. A document near the top of its band joins the next one too. As hashes deal the differing shingles to blocks at
+  random, linked documents agree in many more blocks than the guaranteed ones (``agreeing``: all but one pair in a
+  thousand million), so ``need`` of a document's keys must be shared, and documents with fewer (a common line or passage
+  gives some) leave before their texts are looked at.
 * Copies. Documents of equal sets are one class from the start and one vertex in the join.
-* Verify. The members of a key are compared with one centre at a time: first the member whose keys are the most shared
-  (a text that others were edited from), then, only where a key still holds several components, with the next centres,
-  twice as many each round, until no two members in different components are left uncompared. Groups whose members
-  are alike collapse in the first round; all pairs of a group are never emitted at once.
+* Verify. First the members of a key are compared with one centre, the member whose keys are the most shared (a text
+  that others were edited from), so groups of alike documents collapse. Where a key still holds several components,
+  members of different ones are compared in blocks by the number of keys they share, of which linked documents have
+  ``need`` or more; only such pairs go on to the exact test. All pairs of a group are never emitted.
 
 Defined results: null, empty or blank text has an empty set and is its own component; no documents give no rows; rows
 that repeat a doc_id are one document; rows without doc_id have no component; extra columns aren't read.
@@ -25,6 +26,7 @@ that repeat a doc_id are one document; rows without doc_id have no component; ex
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,9 @@ from fieldlens.llm.hashing import chunks, mix, rolling, utf8, word_hashes
 
 MIN_TOKENS = 2
 GROWTH = 1.5
+SIGMAS = 6
+BLOCK = 256
+ROWS_PER_GROUP = 4_000
 
 
 def band_tops(largest: int) -> np.ndarray:
@@ -54,6 +59,14 @@ def blocks_of(top: int, num: int, den: int) -> tuple[int, int]:
     return d + 1 + spare, spare
 
 
+def agreeing(blocks: int, d: int) -> int:
+    """Blocks that ``d`` differing shingles leave alone, at least: mean less ``SIGMAS`` standard deviations of balls
+    thrown into bins (below that with a probability of about 1e-9)."""
+    mean = blocks * (1 - 1 / blocks) ** d if blocks > 1 else 0.0
+    both = blocks * (blocks - 1) * (1 - 2 / blocks) ** d if blocks > 2 else 0.0
+    return math.floor(mean - SIGMAS * math.sqrt(max(0.0, both + mean - mean * mean)))
+
+
 def join_keys(shingles: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
     """Join keys of a set of shingle hashes (sorted, distinct), and how many of them any linked set has too, at least."""
     n = len(shingles)
@@ -71,7 +84,8 @@ def join_keys(shingles: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int
         words = np.bitwise_xor.reduceat(mix(shingles & np.uint64(0xFFFFFFFF)), start)
         place = block[start].astype(np.uint64) + np.uint64(top << 24)
         out.append(mix(words[rich] + mix(place[rich])))
-        need = min(need, spare + 1 - (blocks - int(rich.sum())))
+        untouched = agreeing(blocks, (den - num) * (n + n * den // num) // (den + num))
+        need = min(need, max(spare + 1, untouched) - (blocks - int(rich.sum())))
     if need < 1:
         prefix = n - -(-n * num // den) + 1
         out.append(mix(shingles[:prefix] ^ np.uint64(0x5DEECE66D)))
@@ -161,7 +175,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     reps = classes.select(F.col("rep").alias("doc"))
     enough = (shared.join(reps, "doc", "left_semi").groupBy("doc", "need").agg(F.count_distinct("key").alias("have"))
               .where("have >= need").select("doc"))
-    members = stage(shared.join(enough, "doc", "left_semi").select("key", "doc", "n").distinct(), "members")
+    members = stage(shared.join(enough, "doc", "left_semi").select("key", "doc", "n", "need").distinct(), "members")
     unstage(shared)
     comp = _link(narrow, members, k, num, den)
     unstage(members)
@@ -188,36 +202,113 @@ def _link(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> Da
     if sets.count() > n_wanted:  # rows that repeat a doc_id
         sets = sets.dropDuplicates(["doc"])
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    scores = (members.join(sizes, "key").groupBy("doc").agg(F.sum("size").alias("score")))
-    order = Window.partitionBy("key").orderBy(F.desc("score"), "doc")
-    ranked = stage(members.join(scores, "doc").select("key", "doc", "n", F.row_number().over(order).alias("rank")),
-                   "ranked")
+    # From here on a key begins with its number of members, so that rare keys come first in its order.
+    rarer = F.shiftleft(F.least("size", F.lit((1 << 19) - 1)), 43).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 43) - 1)))
+    sized = stage(members.join(sizes, "key").select(rarer.alias("key"), "doc", "n", "need", "size").distinct(), "sized")
     unstage(wanted)
-    edges, comp, lo, hi = None, None, 1, 2
-    open_groups = ranked
-    while True:
-        centres = open_groups.where(F.col("rank").between(lo, hi - 1)).select(
-            "key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"),
-            *([F.col("component").alias("cb")] if comp is not None else []))
-        pairs = (open_groups.join(centres, "key").where("rank > rb")
-                 .where(F.least("n", "nb") * den >= F.greatest("n", "nb") * num))
-        if comp is not None:
-            pairs = pairs.where("component <> cb")
-        pairs = pairs.select(F.col("doc").alias("a"), "b").distinct()
-        found = stage(verified(pairs, sets, num, den), "edges")
-        if edges is None or not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            comp = components(edges)
-        # Keys that still hold several components and members after the compared centres.
-        named = (ranked.join(comp, ranked["doc"] == comp["id"], "left")
-                 .select("key", "doc", "n", "rank", F.coalesce("component", "doc").alias("component")))
-        still = (named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                          F.max("rank").alias("last"))
-                 .where((F.col("x") < F.col("y")) & (F.col("last") > hi)).select("key"))
-        open_groups = stage(named.join(still, "key", "left_semi"), "open")
-        if open_groups.isEmpty():
-            return comp
-        lo, hi = hi, 2 * hi
+
+    # First every member against one centre of its key: the member whose keys are the most shared.
+    scores = sized.groupBy("doc").agg(F.sum("size").alias("score"))
+    centres = (sized.join(scores, "doc").groupBy("key")
+               .agg(F.max_by(F.struct(F.col("doc").alias("b"), F.col("n").alias("nb")),
+                             F.struct("score", -F.col("doc"))).alias("c")).select("key", "c.*"))
+    pairs = (sized.join(centres, "key").where("doc <> b")
+             .where(F.least("n", "nb") * den >= F.greatest("n", "nb") * num)
+             .select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct())
+    edges = stage(verified(pairs, sets, num, den), "edges")
+    comp = components(edges)
+
+    # Then the members of different components, where a key still holds several.
+    more = stage(_across(sized, comp, sets, num, den), "edges")
+    if not more.isEmpty():
+        comp = components(edges.unionByName(more))
+    unstage(sized)
+    return comp
+
+
+def _across(sized: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members of a key that are in different components.
+
+    A document's keys in order of the number of members: linked documents share ``need`` of them, so also one of the
+    first ``have - need + 1``, and only those rare ones are looked at; each pair once, at its rarest common key. A key's members are compared in blocks of
+    ``BLOCK``: first by counting shared keys, which leaves the members that reach ``need`` with another one, then these
+    by their sets. Both comparisons stay inside a task; only members and links come out.
+    """
+    rare = Window.partitionBy("doc").orderBy("key")
+    whole = Window.partitionBy("doc")
+    named = (sized.join(comp, sized["doc"] == comp["id"], "left")
+             .select("key", "doc", "n", "need", F.coalesce("component", "doc").alias("component"),
+                     F.row_number().over(rare).alias("r"), F.count("*").over(whole).alias("have")))
+    first = stage(named.where(F.col("r") <= F.col("have") - F.col("need") + 1), "rare")
+    still = (first.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
+                                      F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+             .where("x < y").select("key", "parts"))
+    lists = sized.groupBy("doc").agg(F.collect_list("key").alias("keys"))  # one document's own keys
+    dealt = (first.join(still, "key").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("key", "doc", "n", "need", "component", "part", F.least("part", "other").alias("i"),
+                     F.greatest("part", "other").alias("j")))
+    dealt = stage(dealt.join(lists, "doc"), "dealt")
+    groups = max(1, math.ceil(dealt.count() / ROWS_PER_GROUP))
+
+    def compare(pdf):
+        import pandas as pd
+        out = []
+        for (key, i, j), g in pdf.groupby(["key", "i", "j"], sort=False):
+            c, n, need = (g[x].to_numpy() for x in ("component", "n", "need"))
+            if (c == c[0]).all():
+                continue
+            own = g["part"].to_numpy()
+            lists = g["keys"].tolist()
+            whose = np.repeat(np.arange(len(g)), [len(x) for x in lists])
+            known, code, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+            often = count > 1
+            column = np.cumsum(often) - 1
+            hit = often[code]
+            m = np.zeros((len(g), int(often.sum())), np.float32)
+            m[whose[hit], column[code[hit]]] = 1
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            near = m[left] @ m[right].T >= np.maximum(need[left][:, None], need[right][None, :])
+            near &= c[left][:, None] != c[right][None, :]
+            # A pair is looked at where its rarest common key is.
+            before = m[:, :column[np.searchsorted(known, key)]]
+            near &= before[left] @ before[right].T == 0
+            small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+            near &= small * den >= large * num
+            some = np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
+            out.append(g.iloc[some][["key", "doc", "component", "part", "i", "j"]])
+        return pd.concat(out) if out else pd.DataFrame(columns=["key", "doc", "component", "part", "i", "j"])
+
+    def link(pdf):
+        import pandas as pd
+        out = [np.zeros((2, 0), np.int64)]
+        for (_, i, j), g in pdf.groupby(["key", "i", "j"], sort=False):
+            c, own, ids = (g[x].to_numpy() for x in ("component", "part", "doc"))
+            lists = g["s"].tolist()
+            n = np.array([len(x) for x in lists])
+            _, code = np.unique(np.concatenate(lists), return_inverse=True)
+            ends = np.concatenate(([0], np.cumsum(n)))
+            right = np.flatnonzero(own == j)
+            codes = np.concatenate([code[ends[r]:ends[r + 1]] for r in right]) if len(right) else code[:0]
+            starts = np.concatenate(([0], np.cumsum(n[right])))[:-1]
+            mark = np.zeros(int(code.max()) + 1, np.int32)
+            for x in np.flatnonzero(own == i) if len(right) else ():
+                mine = code[ends[x]:ends[x + 1]]
+                mark[mine] = 1
+                both = np.add.reduceat(mark[codes], starts)
+                mark[mine] = 0
+                y = right[(both * den >= (n[x] + n[right] - both) * num) & (c[right] != c[x])]
+                out.append(np.stack((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]))))
+        a, b = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))
+    some = stage(dealt.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(
+        compare, "key long, doc long, component long, part int, i int, j int"), "near")
+    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, math.ceil(some.count() / (ROWS_PER_GROUP // 8)))))
+    out = (some.join(sets, "doc").withColumn("bucket", bucket).groupBy("bucket")
+           .applyInPandas(link, "a long, b long").distinct())
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
