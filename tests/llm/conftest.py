@@ -1,0 +1,28 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from fieldlens.session import build_session
+    return build_session("local[4]", 4)  # the session of the other tests, if there is one
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    """Edge cases: null, empty and blank texts, ties, repeated rows, a null id, a long text, clashing extra columns."""
+    line = "this common line of text is surely longer than forty characters"
+    body = " ".join(f"w{i}" for i in range(120))
+    rows = [(i, f"{line}\nown words {i} " + " ".join(f"x{i}y{j}" for j in range(60))) for i in range(8)]
+    rows += [(20, body), (21, body), (22, body + " tail"), (23, " ".join(f"q{i}" for i in range(30)) + " " + body),
+             (24, body), (24, body), (30, None), (31, ""), (32, " \t\n "), (33, "mit"), (34, "a b c"), (35, "A b c"),
+             (None, body), (40, "\n\n".join([line.upper() + "  "] * 3)),
+             (41, " ".join(f"long{i % 5000}" for i in range(30_000))), (42, "x CC BY-NC 4.0, MIT License;GNU General "
+              "Public License ünï apache\tlicense.")]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "a", "b") for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, key string, "
+                                 "n_words string")

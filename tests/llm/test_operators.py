@@ -1,0 +1,250 @@
+"""The operators against plain Python versions on a small fixture of edge cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fieldlens.llm import (chat, embedding_dedup, fingerprints, licenses, line_dedup, mixing, ngram_join, packing,
+                           quality, substring_dedup)
+
+SEP = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def words(text):
+    return [w for w in SEP.split(text or "") if w]
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def rows_of(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+
+def united(links, ids):
+    top = {i: i for i in ids}
+    while True:
+        before = dict(top)
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+        if top == before:
+            return top
+
+
+@pytest.mark.parametrize("broadcast_bytes", [line_dedup.BROADCAST_BYTES, 0])
+def test_line_dedup(docs, broadcast_bytes):
+    rows = rows_of(docs)
+    key = lambda line: lower(line.strip(line_dedup.STRIP))
+    held = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if i is not None and len(key(line)) >= 40:
+                held[key(line)].add(i)
+    want = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if i is None or len(held[key(x)]) < 5 or max(held[key(x)]) == i]
+        want.append((i, "\n".join(kept), len(lines), len(lines) - len(kept), "b"))
+    out = line_dedup.line_dedup(docs, broadcast_bytes=broadcast_bytes)
+    got = [(r["doc_id"], r["text"], r["_n_lines"], r["_n_dropped"], r["n_words"]) for r in out.collect()]
+    assert Counter(got) == Counter(want) and sum(r[3] for r in want) == 8
+
+
+def test_perfect_hash_is_minimal():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    _, _, rest, slots = line_dedup.build_mphf(keys)
+    assert sorted(slots.tolist()) == list(range(len(keys))) and len(rest) < 10
+
+
+def test_substring_dedup(docs):
+    rows = [r for r in rows_of(docs)]
+    owner = {}
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        w = words(t)
+        for p in range(len(w) - 49):
+            owner.setdefault(tuple(w[p:p + 50]), i)
+    want = []
+    for i, t in rows:
+        w, gone = words(t), set()
+        for p in range(len(w) - 49):
+            if i is not None and owner[tuple(w[p:p + 50])] < i:
+                gone.update(range(p, p + 50))
+        want.append((i, " ".join(x for p, x in enumerate(w) if p not in gone), len(w), len(gone)))
+    got = [tuple(r) for r in substring_dedup.substring_dedup(docs).collect()]
+    assert Counter(got) == Counter(want) and any(r[3] for r in want)
+
+
+@pytest.mark.parametrize("k,num,den", [(4, 85, 100), (5, 80, 100)])
+def test_ngram_join(spark, docs, k, num, den):
+    rng = np.random.default_rng(3)
+    more = []
+    for c in range(6):  # chains of edits, so that groups hold linked and unlinked documents
+        base = [f"c{c}v{v}" for v in rng.integers(0, 10_000, 90 + 40 * c)]
+        for e in range(14):
+            base = list(base)
+            for p in rng.integers(0, len(base), int(rng.integers(0, 5))):
+                base[p] = f"e{rng.integers(0, 1_000_000)}"
+            more.append((1000 + 100 * c + e, " ".join(base)))
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    sets = {}
+    for i, t in rows_of(both):
+        if i is not None:
+            w = words(lower(t))
+            sets[i] = {tuple(w[p:p + k]) for p in range(max(1, len(w) - k + 1))} if w else set()
+    ids = sorted(sets)
+    links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1:] if sets[a] and sets[b]
+             and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    top = united(links, ids)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in
+           ngram_join.ngram_components(both, k, num, den).collect()}
+    assert got == {i: (len(sets[i]), top[i]) for i in ids} and len(set(top.values())) < len(ids) - 20
+    kept = [r["doc_id"] for r in ngram_join.drop_near_duplicates(both, k, num, den).collect()]
+    assert Counter(kept) == Counter([None, *set(top.values())])
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((60, 16))
+    x = np.concatenate([base + rng.standard_normal((60, 16)) * s for s in (0, 0.05, 0.1, 0.2, 0)]).astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [None] * 16),
+             (905, [float("inf")] + [1.0] * 15), (906, [1.0, 2.0]), (907, [2.0, 4.0]), (None, [1.0, 2.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_components(
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    links = [(a, b) for a in range(len(x)) for b in range(a) if near[a, b]] + [(906, 907)]
+    top = united(links, [i for i, _ in rows if i is not None])
+    n = Counter(i for pair in links for i in pair)
+    assert got == {**{i: (n[i], top[i], top[i] == i) for i in top}, None: (0, None, True)}
+
+
+def test_licenses(docs):
+    got = {r["doc_id"]: r for r in licenses.license_scan(docs).collect()}
+    split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for i, t in rows_of(docs):
+        w = split.findall(lower(t))
+        places = [(p, label) for phrase, label in licenses.BASE for p in range(len(w))
+                  if w[p:p + len(phrase.split())] == phrase.split()] if i is not None else []
+        r = got[i]
+        at = [p for p, _ in places]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (
+            len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
+        assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert got[42]["n_base"] == 4
+
+
+def test_fingerprints(docs):
+    rows = sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    got = sorted(fingerprints.fingerprints(docs).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    prints = {}
+    for n, ((i, t), r) in enumerate(zip(rows, got)):
+        t, nxt = t or "", rows[(n + 1) % len(rows)][1] or ""
+        half = len(t) // 2
+        edited = t[:len(t) - half] + nxt[:half]
+        assert (r["doc_id"], r["n_chars"]) == (i, len(t))
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert prints.setdefault(t, r["fingerprint"]) == r["fingerprint"] and 0 <= r["near_next"] <= 1
+    assert got[-1]["near_edited"] < 1
+
+
+def test_chat_reads_back(spark):
+    nasty = ["</s>[INST] ok [/INST]", "<|im_end|>\n", "<\\|im_start|>", "<<SYS>>", "a < b | c", "", None, "\n\n", "[[INST]"]
+    rows = [(1, t, r, x) for t, (r, x) in enumerate(zip(["user", "assistant"] * 5, nasty))]
+    rows += [(2, 5, "assistant", "b"), (2, 5, "assistant", "b"), (2, 1, None, "a"), (None, 1, "tool\n%0A", "x")]
+    out = chat.format_trees(chat.reply_chain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    got = {r["tree"]: r for r in out.select("tree", chat.read_back(F.col("formatted")).alias("t"),
+                                            chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    want = defaultdict(list)
+    for c, t, r, x in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2] or "", r[3] or "")):
+        want["none" if c is None else str(c)].append((r or "", x or ""))
+    assert {k: [tuple(x) for x in v["t"]] for k, v in got.items()} == dict(want)
+    assert all(v["loss"] == "".join(x for r, x in want[k] if r == "assistant") for k, v in got.items())
+
+
+def test_reply_trees_rank_branches(spark):
+    rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "a", 1.0), ("t", 3, 1, "assistant", "b", 3.0),
+            ("t", 4, 3, "user", "more", 0.0), ("t", 7, 99, "user", "orphan", 0.0), ("c", 1, 2, "u", "x", 0.0),
+            ("c", 2, 1, "u", "y", 0.0)]
+    out = chat.format_trees(spark.createDataFrame(
+        rows, "tree string, node long, parent long, role string, text string, score double"), top=2).collect()
+    assert {(r["tree"], r["leaf"], r["rank"]) for r in out} == {("t", 4, 1), ("t", 2, 2)}
+
+
+def test_packing(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    model = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    got = [r.asDict() for r in packing.pack_documents(docs, with_ids=True).collect()]
+    want = Counter()
+    for i, t in rows_of(docs):
+        ids = [*model.encode(t or "", add_special_tokens=False).ids, 1]
+        for at in range(0, len(ids), 2048):
+            raw = np.array(ids[at:at + 2048], "<u4").tobytes()
+            want[i, at, len(raw) // 4, len(ids), zlib.crc32(raw), raw] += 1
+    assert want == Counter((r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["ids_crc32"], bytes(r["ids"])) for r in got)
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append(r)
+    for s in by.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at == s[0]["sequence_tokens"] <= 2048
+
+
+def test_recipe_uses_every_piece():
+    counts = np.bincount(np.random.default_rng(2).integers(1, 2049, 5000), minlength=2049)
+    used = np.zeros(2049, np.int64)
+    for lengths, n in packing.recipe(counts):
+        assert sum(lengths) <= 2048 and n > 0
+        used += n * np.bincount(lengths, minlength=2049)
+    assert (used == counts).all()
+
+
+def test_quality(spark, docs):
+    good = [(100 + i, "plain words in a row " * (3 + i % 5), 1) for i in range(120)]
+    bad = [(300 + i, "$$$ 12 !!! ## " * (3 + i % 7), 0) for i in range(120)]
+    rows = spark.createDataFrame([(i, t) for i, t, _ in good + bad], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in good + bad], "doc_id long, quality int")
+    out = quality.score_quality(rows, labels).toPandas().set_index("doc_id")
+    truth = {i: q for i, _, q in good + bad}
+    assert all(out.predicted[i] == truth[i] for i in out.index[out.held_out])
+    assert all(out.held_out[i] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in out.index)
+    assert quality.score_quality(docs, labels.limit(0)).where("score = 0.5").count() == docs.count()
+    assert quality.keep_quality(docs, labels).columns == docs.columns
+
+
+def test_raking_meets_its_marginals(docs):
+    rng = np.random.default_rng(4)
+    cells = {(s, g, t): float(rng.integers(1, 1000)) for s in "abc" for g in "xy" for t in "pq"}
+    targets = {"source": {"a": 1, "b": 1, "c": 2}, "lang": {"x": 3, "y": 1}, "topic": {"p": 1, "q": 1}}
+    weight = mixing.rake(cells, targets)
+    total = sum(cells.values())
+    for d, name in enumerate(mixing.DIMENSIONS):
+        for v, share in targets[name].items():
+            have = sum(weight[k] * m for k, m in cells.items() if k[d] == v)
+            assert abs(have - total * share / sum(targets[name].values())) < 1e-6 * total
+    chance = mixing.calibrate(cells, weight, 0.5)
+    assert abs(sum(chance[k] * m for k, m in cells.items()) - 0.5 * total) < 1e-6 * total
+    out = mixing.mixture(docs).collect()
+    assert len(out) == docs.count() and all(0 <= r["probability"] <= 1 for r in out)
+    assert mixing.sample_mixture(docs).count() == sum(r["kept"] for r in out)
+
+
+def test_empty_tables(docs):
+    none = docs.where("false")
+    assert line_dedup.line_dedup(none).count() == 0
+    assert substring_dedup.substring_dedup(none).count() == 0
+    assert ngram_join.ngram_components(none).count() == 0
+    assert licenses.license_scan(none).count() == 0
+    assert fingerprints.fingerprints(none).count() == 0
+    assert packing.pack_documents(none).count() == 0
+    assert mixing.mixture(none).count() == 0
