@@ -13,10 +13,13 @@ CHUNK_BYTES = 1 << 20
 
 
 def process_state(name: str) -> dict:
-    """A dict that lives as long as the Python process; a reused worker finds it again in its next task."""
+    """A dict that a reused worker finds again in its next task. One is kept: asking for another frees it."""
     import sys
     import types
-    return vars(sys.modules.setdefault("fieldlens_state", types.ModuleType("fieldlens_state"))).setdefault(name, {})
+    kept = vars(sys.modules.setdefault("fieldlens_state", types.ModuleType("fieldlens_state")))
+    if kept.get("name") != name:
+        kept.update(name=name, state={})
+    return kept["state"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ from fieldlens.llm.hashing import chunks, mix, rolling, utf8, word_hashes
 MIN_TOKENS = 2
 GROWTH = 1.5
 SIGMAS = 6
-BLOCK = 256
+BLOCK = 128
 ROWS_PER_GROUP = 4_000
 
 
