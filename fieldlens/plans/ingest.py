@@ -509,7 +509,7 @@ def import_sheet_files(spark, paths, T, stored: DataFrame | None = None, source_
     row key becomes (file, row).
     """
     from fieldlens.sources.csv import read_resource_csv
-    path = paths if isinstance(paths, str) else ",".join(paths)
+    path = paths if isinstance(paths, str) else list(paths)
     raw = read_resource_csv(spark, path, multi_line=multi_line, with_file=True)
     numbered = with_source_row_number(raw, start=2, path_col="source_file", stable=True)
     return import_sheet(numbered, T, stored=stored, source_id=source_id, strict=strict, derive=derive,

@@ -24,12 +24,15 @@ SCALE_CONF = {
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
+def build_session(master: str = "local[8]", shuffle_partitions: int | None = None,
                   app_name: str = "fieldlens", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
     for key, value in SCALE_CONF.items():
         builder = builder.config(key, value)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shuffle_partitions is None and master.startswith("local"):
+        shuffle_partitions = 8
+    if shuffle_partitions is not None:  # else the cluster's own setting holds
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", "8g")
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
@@ -47,6 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="fieldlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     try:
