@@ -28,8 +28,9 @@ def valid_change(kind: str):
     if kind == "prescriptions":
         q = F.col("quantity")
         return (F.coalesce(F.col("report_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+                & F.col("report_date").try_cast("date").isNotNull()  # the calendar's dates only
                 & present("customer_id") & present("product_id")
-                & q.isNotNull() & (q == F.floor(q)) & (q > 0))
+                & q.isNotNull() & (q == F.floor(q)) & (q > 0) & (q <= 2**31 - 1))
     if kind == "tenders":
         return (present("tender_id") & present("customer_id") & present("product_id") & present("status")
                 & (F.coalesce(F.col("quantity"), F.lit(0)) >= 0)
