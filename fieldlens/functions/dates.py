@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldlens.functions.numbers import js_trim
 from fieldlens.schema import SERIAL_EPOCH
 
 SERIAL = r"^\d{5}(\.\d+)?$"
@@ -21,7 +22,7 @@ def parse_doc_date(col) -> Column:
 
     Returns a DATE; NULL means the text is not a date or the day does not exist.
     """
-    raw = F.trim(F.coalesce(_c(col).cast("string"), F.lit("")))
+    raw = js_trim(F.coalesce(_c(col).cast("string"), F.lit("")))
     serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), F.floor(raw.try_cast("double")).cast("int"))
     a = F.regexp_extract(raw, SLASHED, 1).try_cast("int")
     b = F.regexp_extract(raw, SLASHED, 2).try_cast("int")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as JavaScript's \s sees it (Java's \s is ASCII-only): tab..CR,
+# White space as JavaScript's \s sees it (Java's \s is ASCII-only): tab..CR,
 # space, NBSP, OGHAM SPACE, EN QUAD..HAIR SPACE, LINE/PARAGRAPH SEPARATOR,
 # NARROW NBSP, MEDIUM MATHEMATICAL SPACE, IDEOGRAPHIC SPACE, BOM.
 _SPACE_POINTS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
                  0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 JS_SPACE_CHARS = "".join(chr(c) for c in _SPACE_POINTS)
 JS_SPACE = "[" + JS_SPACE_CHARS + "]"
+# Shapes of numbers.
 GROUPED = r"^-?\d{1,3}(?:\.\d{3})+(?:,\d+)?$"
 DECIMAL_COMMA = r"^-?\d+,\d+$"
 LITERAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -22,6 +23,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def js_trim(col) -> Column:
+    """Text without the white space (as JavaScript sees it) at both ends."""
+    return F.btrim(_c(col), F.lit(JS_SPACE_CHARS))
+
+
 def _first_comma_to_dot(c: Column) -> Column:
     """Replace the first ',' by '.' (no regex: instr + overlay)."""
     at = F.instr(c, ",")
@@ -60,7 +66,7 @@ def locale_number(col, coefficient: bool = False) -> Column:
 
 def strict_number(col, default=0) -> Column:
     """Blank -> default; otherwise a number or NULL (reject)."""
-    c = F.trim(_c(col).cast("string"))
+    c = js_trim(_c(col).cast("string"))
     return (F.when(c.isNull() | (c == ""), F.lit(default).cast(PARSED))
             .otherwise(F.when(c.rlike(LITERAL), c.try_cast(PARSED))))
 

@@ -13,6 +13,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldlens.functions.numbers import js_trim
 from fieldlens.schema import CLINIC, HEALTH_DEPT, HOSPITAL, MANAGER_ROLES, TRUE_WORDS
 
 
@@ -60,7 +61,7 @@ def customer_type(group) -> Column:
 
 def pad_code(col) -> Column:
     """All-digit codes of at most six digits are zero-padded to six; others unchanged."""
-    c = F.trim(F.coalesce(_c(col), F.lit("")))
+    c = js_trim(F.coalesce(_c(col), F.lit("")))
     return F.when(c.rlike(r"^\d{1,6}$"), F.lpad(c, 6, "0")).otherwise(c)
 
 
@@ -71,7 +72,7 @@ def surrogate(prefix: str, col) -> Column:
 
 def blank_to_null(col) -> Column:
     """Trimmed text, NULL when blank."""
-    return F.nullif(F.trim(_c(col)), F.lit(""))
+    return F.nullif(js_trim(_c(col)), F.lit(""))
 
 
 def pick(df, aliases, default=None) -> Column:
@@ -87,17 +88,17 @@ def pick(df, aliases, default=None) -> Column:
 
 def parse_bool(col) -> Column:
     """True for a known yes-word (trimmed, lower-cased), else false."""
-    return F.coalesce(F.lower(F.trim(_c(col))).isin(*TRUE_WORDS), F.lit(False))
+    return F.coalesce(F.lower(js_trim(_c(col))).isin(*TRUE_WORDS), F.lit(False))
 
 
 def normalise_role(col) -> Column:
     """Manager roles fold to QuanLy, all else NhanVien."""
-    return F.when(F.trim(_c(col)).isin(*MANAGER_ROLES), F.lit("QuanLy")).otherwise(F.lit("NhanVien"))
+    return F.when(js_trim(_c(col)).isin(*MANAGER_ROLES), F.lit("QuanLy")).otherwise(F.lit("NhanVien"))
 
 
 def normalise_status(col) -> Column:
     """P5: only 'Inactive' stays; everything else (blank included) is Active."""
-    return F.when(F.trim(_c(col)) == "Inactive", F.lit("Inactive")).otherwise(F.lit("Active"))
+    return F.when(js_trim(_c(col)) == "Inactive", F.lit("Inactive")).otherwise(F.lit("Active"))
 
 
 def email_ok(col) -> Column:

@@ -148,17 +148,19 @@ def remove_pairs(df: DataFrame, pairs: DataFrame, keys) -> tuple[DataFrame, Data
 # Which columns of which domain table point at a purged master.
 PURGE_REFS = {
     "daily_report": {"employee": ["employee_id"]},
-    "kpi_target": {"employee": ["employee_id"], "product": ["product_id"]},
+    "kpi_target": {"employee": ["employee_id"], "product": ["product_id"], "territory": ["territory_id"]},
     "prescription": {"employee": ["employee_id"], "customer": ["customer_id"], "product": ["product_id"]},
     "manual_sales": {"employee": ["employee_id"], "customer": ["customer_id"], "product": ["product_id"]},
     "sheet_sales": {"employee": ["employee_id"], "customer": ["customer_id"], "product": ["product_id"]},
-    "tender": {"employee": ["employee_id"], "customer": ["customer_id"], "product": ["product_id"]},
+    "tender": {"employee": ["employee_id"], "customer": ["customer_id"], "product": ["product_id"],
+               "tender": ["tender_id"]},
     "employee_customer": {"employee": ["employee_id"], "customer": ["customer_id"]},
-    "employee_territory": {"employee": ["employee_id"]},
+    "employee_territory": {"employee": ["employee_id"], "territory": ["territory_id"]},
     "account": {"employee": ["employee_id"]},
     "customer": {"customer": ["customer_id"]},
     "employee": {"employee": ["employee_id"]},
     "product": {"product": ["product_id"]},
+    "territory": {"territory": ["territory_id"]},
 }
 
 
@@ -166,8 +168,12 @@ def purge(tables: dict[str, DataFrame], keys: dict[str, DataFrame]) -> dict[str,
     """M8: cascaded purge; a row goes when ANY referencing column holds a purged key.
 
     Each key list is a one-column DataFrame; every reference is an anti join
-    (NULL references never match, so such rows stay).
+    (NULL references never match, so such rows stay). A kind that no table
+    refers to is an error.
     """
+    unknown = set(keys) - {kind for refs in PURGE_REFS.values() for kind in refs}
+    if unknown:
+        raise ValueError(f"unknown kinds of keys to purge: {sorted(unknown)}")
     out = {}
     for name, df in tables.items():
         for kind, cols in PURGE_REFS.get(name, {}).items():

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.functions.dates import parse_doc_date
-from fieldlens.functions.numbers import locale_number, strict_number, with_locale_numbers
+from fieldlens.functions.numbers import js_trim, locale_number, strict_number, with_locale_numbers
 from fieldlens.functions.text import (customer_type, normalise_role, normalise_status, pad_code, parse_bool,
                                       pick, slug, surrogate)
 from fieldlens.operators.keys import first_per_key
@@ -126,6 +126,8 @@ NUMBER_FIELDS = [("quantity", "qty", SHEET_QTY, False), ("unit_price", "price",
 HASHED = ["manager_name", "employee_code", "employee_name", "province", "customer_group", "month", "year",
           "customer_code", "customer_name", "doc_date", "external_doc", "product_code", "product_name", "unit",
           "quantity", "unit_price", "revenue", "coefficient", "sales"]
+#: What names a row of a source: its file, when the sheet comes from files, and its number there.
+ROW_IDENTITY = ["source_file", "source_row"]
 
 
 def row_hash(cols=HASHED):
@@ -141,7 +143,7 @@ def normalise_sheet(raw: DataFrame, materialize: bool = True) -> tuple[DataFrame
     reference would report).
     """
     def text(key):
-        return F.trim(F.coalesce(F.col(f"`{H[key]}`"), F.lit("")))
+        return js_trim(F.coalesce(F.col(f"`{H[key]}`"), F.lit("")))
 
     cols = {
         "manager_name": text("manager"),
@@ -159,8 +161,9 @@ def normalise_sheet(raw: DataFrame, materialize: bool = True) -> tuple[DataFrame
     specs = {"_month": (F.col(f"`{H['month']}`"), False), "_year": (F.col(f"`{H['year']}`"), False)}
     specs.update({f"_{name}": (F.col(f"`{H[key]}`"), coef) for name, key, _, coef in NUMBER_FIELDS})
     numbers = with_locale_numbers(raw, specs)
+    identity = [c for c in ROW_IDENTITY if c in raw.columns]
     df = numbers.select(
-        "source_row", "_month", "_year",
+        *identity, "_month", "_year",
         parse_doc_date(F.col(f"`{H['doc_date']}`")).alias("doc_date"),
         *[c.alias(n) for n, c in cols.items()],
         *[f"_{n}" for n, _, _, _ in NUMBER_FIELDS],
@@ -182,7 +185,7 @@ def normalise_sheet(raw: DataFrame, materialize: bool = True) -> tuple[DataFrame
         errors.append(F.when(F.col(name) == "", F.lit(f"{name} is blank")))
     df = df.withColumn("errors", F.filter(F.array(*errors), lambda e: e.isNotNull()))
     out = df.select(
-        "source_row", *TEXT_FIELDS[:5],
+        *identity, *TEXT_FIELDS[:5],
         F.col("_month").try_cast("int").alias("month"), F.col("_year").try_cast("int").alias("year"),
         *TEXT_FIELDS[5:], "doc_date",
         *[F.col(f"_{n}").try_cast(t).alias(n) for n, _, t, _ in NUMBER_FIELDS],
@@ -197,7 +200,7 @@ def normalise_sheet(raw: DataFrame, materialize: bool = True) -> tuple[DataFrame
                                                F.lpad(F.col("month").cast("string"), 2, "0")))
                 .withColumn("row_hash", row_hash()))
     rejected = out.filter(F.size("errors") > 0).select(
-        "source_row", F.col("errors")[0].alias("error"), F.size("errors").alias("error_count"))
+        *identity, F.col("errors")[0].alias("error"), F.size("errors").alias("error_count"))
     return accepted, rejected
 
 
@@ -245,25 +248,26 @@ def derive_masters(sheet: DataFrame, T) -> dict[str, DataFrame]:
     rows to upsert/insert per master, not the merged masters.
     """
     m = _masters_as_text(T)
-    s = sheet
-    territory = first_per_key(s.select("territory_id", F.col("province").alias("territory_name"), "source_row"),
-                              ["territory_id"], "source_row") \
+    seq = F.struct(*ROW_IDENTITY) if "source_file" in sheet.columns else F.col("source_row")
+    s = sheet.withColumn("_seq", seq)
+    territory = first_per_key(s.select("territory_id", F.col("province").alias("territory_name"), "_seq"),
+                              ["territory_id"], "_seq") \
         .select("territory_id", "territory_name", F.lit(SHEET_REGION).alias("region"), F.lit("Active").alias("status"))
     # Employees are created only for codes no master holds; existing ones are never renamed.
     known_codes = m["employee"].filter(F.col("sale_code").isNotNull()).select(F.col("sale_code").alias("employee_code"))
     new_emp = s.join(known_codes.distinct(), "employee_code", "left_anti")
-    employee = first_per_key(new_emp.select("employee_id", "employee_name", "employee_code", "source_row"),
-                             ["employee_id"], "source_row").select(
+    employee = first_per_key(new_emp.select("employee_id", "employee_name", "employee_code", "_seq"),
+                             ["employee_id"], "_seq").select(
         "employee_id", "employee_name",
         F.concat(F.lit("sale-"), F.lower(slug(F.col("employee_code"))), F.lit(SHEET_EMAIL_DOMAIN)).alias("email"),
         F.lit("NhanVien").alias("role"), F.lit("Active").alias("status"),
         F.col("employee_code").alias("sale_code"))
     customer = first_per_key(s.select("customer_id", "customer_name", "customer_group", "territory_id",
-                                      "customer_code", "source_row"), ["customer_id"], "source_row").select(
+                                      "customer_code", "_seq"), ["customer_id"], "_seq").select(
         "customer_id", "customer_name", customer_type(F.col("customer_group")).alias("customer_type"),
         "territory_id", F.col("customer_code").alias("sale_code"), F.col("customer_group").alias("sale_group"))
     product = first_per_key(s.select("product_id", "product_name", "unit_price", "unit", "product_code",
-                                     "source_row"), ["product_id"], "source_row").select(
+                                     "_seq"), ["product_id"], "_seq").select(
         "product_id", "product_name", F.lit(SHEET_PRODUCT_DOSAGE_CODE).alias("dosage_code"),
         F.lit(SHEET_PRODUCT_DOSAGE_FORM).alias("dosage_form"),
         F.greatest(F.col("unit_price"), F.lit(0).cast(SHEET_QTY)).cast("decimal(14,2)").alias("price"),
@@ -295,22 +299,23 @@ def merge_masters(derived: dict[str, DataFrame], T) -> dict[str, DataFrame]:
 
 # ------------------------------------------------------------------ M3
 def replace_snapshot(stored: DataFrame, batch: DataFrame, source_id: str,
-                     key: str = "source_row") -> tuple[DataFrame, DataFrame]:
+                     key: str | list[str] = "source_row") -> tuple[DataFrame, DataFrame]:
     """M3: the batch replaces this source's rows; other sources stay.
 
     Returns (new table, diff) where diff has the key and one of inserted /
     updated / unchanged / deleted, decided by the row hash. One full outer
-    join on (source, key).
+    join on (source, key); rows of several files need the file in ``key``.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     mine = stored.filter(F.col("source_id") == F.lit(source_id))
     others = stored.filter(F.col("source_id") != F.lit(source_id))
     new_rows = batch.withColumn("source_id", F.lit(source_id))
-    old = mine.select(F.col(key).alias("_k"), F.col("row_hash").alias("_old"))
-    new = new_rows.select(F.col(key).alias("_k"), F.col("row_hash").alias("_new"))
-    d = old.join(new, "_k", "full_outer")
+    old = mine.select(*keys, F.col("row_hash").alias("_old"))
+    new = new_rows.select(*keys, F.col("row_hash").alias("_new"))
+    d = old.join(new, keys, "full_outer")
     change = (F.when(F.col("_old").isNull(), "inserted").when(F.col("_new").isNull(), "deleted")
               .when(F.col("_old") == F.col("_new"), "unchanged").otherwise("updated"))
-    diff = d.select(F.col("_k").alias(key), change.alias("change"))
+    diff = d.select(*keys, change.alias("change"))
     return others.unionByName(new_rows.select(*stored.columns)), diff
 
 
@@ -330,7 +335,7 @@ def import_stats(sheet: DataFrame) -> DataFrame:
 
 def sheet_profile(raw: DataFrame) -> DataFrame:
     """Blanks per column, unparsable numbers, expected sales total, in one pass."""
-    blank = lambda h: F.count_if(F.trim(F.coalesce(F.col(f"`{h}`"), F.lit(""))) == "")
+    blank = lambda h: F.count_if(js_trim(F.coalesce(F.col(f"`{h}`"), F.lit(""))) == "")
     aggs = [F.count(F.lit(1)).alias("rows")]
     for name, key in [("manager", "manager"), ("employee_code", "emp_code"), ("customer_code", "cust_code"),
                       ("customer_name", "cust_name"), ("product_code", "prod_code"), ("doc_date", "doc_date")]:
@@ -393,7 +398,7 @@ def import_sheet(raw: DataFrame, T, stored: DataFrame | None = None, source_id:
     rows = rows.withColumn("batch_id", F.lit(run_id))
     if stored is None:
         stored = rows.limit(0).withColumn("source_id", F.lit(source_id))
-    sheet, diff = replace_snapshot(stored, rows, source_id)
+    sheet, diff = replace_snapshot(stored, rows, source_id, [c for c in ROW_IDENTITY if c in rows.columns])
     return ImportResult(sheet, rejected, diff, masters, log_batch(None, run_id, rows, "Completed"))
 
 
@@ -434,13 +439,19 @@ def import_resource(raw: DataFrame, spec: ResourceSpec) -> tuple[DataFrame, Data
 
 
 def apply_resource(target: DataFrame, rows: DataFrame, spec: ResourceSpec, seq: str = "source_row") -> DataFrame:
-    """Merge imported rows by the spec's mode: upsert (last row wins), insert-if-absent, append."""
-    cols = target.columns
+    """Merge imported rows by the spec's mode: upsert (last row wins), insert-if-absent, append.
+
+    A resource lists only some of its table's columns: an update leaves the
+    others as stored, an insert leaves them NULL.
+    """
+    given = [c for c in target.columns if c in rows.columns]
     if spec.mode == "append":
-        return target.unionByName(rows.select(*cols))
+        return target.unionByName(rows.select(*given), allowMissingColumns=True)
     if spec.mode == "insert_absent":
-        return insert_absent(target, rows.select(*cols, seq), list(spec.keys), seq=seq)
-    return upsert(target, rows.select(*cols, seq), list(spec.keys), seq,
+        whole = rows.select(seq, *[(F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name)
+                                   for f in target.schema.fields])
+        return insert_absent(target, whole, list(spec.keys), seq=seq)
+    return upsert(target, rows.select(*given, seq), list(spec.keys), seq, columns=given,
                   null_safe=spec.mode == "upsert_null_safe")
 
 
@@ -505,12 +516,13 @@ def import_sheet_files(spark, paths, T, stored: DataFrame | None = None, source_
                        multi_line: bool = False) -> ImportResult:
     """I1 from files: read the sheet CSVs, number rows from 2 in each file's order, import.
 
-    Numbering uses the scan's own splits (no sort, no checkpoint); the source
-    row key becomes (file, row).
+    Numbering uses the scan's own splits (no sort); the source row key becomes
+    (file, row). The numbered text is staged before the parse: over the scan itself
+    the optimizer would merge the trimming into every stage of the parse.
     """
     from fieldlens.sources.csv import read_resource_csv
     path = paths if isinstance(paths, str) else list(paths)
     raw = read_resource_csv(spark, path, multi_line=multi_line, with_file=True)
-    numbered = with_source_row_number(raw, start=2, path_col="source_file", stable=True)
+    numbered = with_source_row_number(raw, start=2, path_col="source_file")
     return import_sheet(numbered, T, stored=stored, source_id=source_id, strict=strict, derive=derive,
                         run_id=run_id)

@@ -1,11 +1,15 @@
 """Stable row numbers in file (or sort) order without a one-partition window (S3).
 
 Each task numbers its own rows (``monotonically_increasing_id`` keeps the
-index in the low 33 bits); per-partition counts - one row per partition - are
-turned into prefix offsets and broadcast back. For a single CSV file the
-splits are read in byte order, for a sorted frame the range partitions are in
-key order, so partition order equals row order. With ``path_col`` numbering
-restarts in every file.
+index in the low 33 bits); counts - one row per partition, or per block of a
+file - are turned into prefix offsets and joined back.
+
+* A sorted frame: the range partitions are in key order, so partition order
+  equals row order.
+* Files (``path_col``): numbering restarts in every file. A partition may hold
+  blocks of several files in any order, so rows are counted per (file, block)
+  and blocks are taken in the order of their place in the file
+  (``BLOCK_COL``, the byte where the block starts; see ``read_resource_csv``).
 
 Counts and rows are two passes, so both must see the same partitions. A plain
 file scan is stable (``stable=True``). Anything with a shuffle (a sort) is
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 
 from fieldlens.session import checkpoint_dir
 
+BLOCK_COL = "source_block"
+
 
 def with_source_row_number(df: DataFrame, start: int = 2, path_col: str | None = None,
                            col: str = "source_row", stable: bool = False) -> DataFrame:
@@ -30,12 +36,13 @@ def with_source_row_number(df: DataFrame, start: int = 2, path_col: str | None =
     if not stable:
         checkpoint_dir(df.sparkSession)
         tagged = tagged.checkpoint(eager=True)
-    group = [path_col, "_pid"] if path_col else ["_pid"]
-    counts = tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(path_col) if path_col else Window.partitionBy()).orderBy("_pid") \
+    place = BLOCK_COL if path_col and BLOCK_COL in df.columns else "_pid"
+    group = [path_col, place] if path_col else [place]
+    counts = tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min("_idx").alias("_first"))
+    w = (Window.partitionBy(path_col) if path_col else Window.partitionBy()).orderBy(place) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    # One row per (file, partition): tiny, so the window and the broadcast are bounded.
-    offsets = counts.select(*group, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    numbered = tagged.join(F.broadcast(offsets), group)
-    return numbered.withColumn(col, (F.col("_off") + F.col("_idx") + F.lit(start)).cast("long")) \
-        .drop("_pid", "_idx", "_off")
+    # One row per block: Spark broadcasts the offsets when their measured size allows.
+    offsets = counts.select(*group, (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_off"))
+    return tagged.join(offsets, group) \
+        .withColumn(col, (F.col("_off") + F.col("_idx") + F.lit(start)).cast("long")) \
+        .drop("_pid", "_idx", "_off", *([BLOCK_COL] if place == BLOCK_COL else []))

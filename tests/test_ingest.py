@@ -83,3 +83,27 @@ def test_import_sheet_files(spark, tmp_path):
     rows = res.sheet.collect()
     assert [(r.source_row, r.sales) for r in rows] == [(2, Decimal("1842856.50"))]
     assert [(r.source_row, r.error) for r in res.rejected.collect()] == [(3, "sales is not a number")]
+
+
+def test_snapshot_keeps_files_apart(spark):
+    schema = "source_file string, source_row long, row_hash string"
+    stored = spark.createDataFrame([("a", 2, "x"), ("a", 3, "y"), ("b", 2, "x")], schema).withColumn("source_id", F.lit("s"))
+    batch = spark.createDataFrame([("a", 2, "x"), ("a", 3, "z"), ("c", 2, "x")], schema)
+    table, diff = ingest.replace_snapshot(stored, batch, "s", ["source_file", "source_row"])
+    assert sorted(map(tuple, diff.collect())) == [("a", 2, "unchanged"), ("a", 3, "updated"), ("b", 2, "deleted"),
+                                                  ("c", 2, "inserted")]
+    assert table.count() == 3
+
+
+def test_apply_resource_updates_listed_columns_only(spark):
+    target = spark.createDataFrame([("c1", "old", "S1"), ("c2", "two", "S2")],
+                                   "customer_id string, customer_name string, sale_code string")
+    rows = spark.createDataFrame([("c1", "new", 2), ("c3", "three", 3)],
+                                 "customer_id string, customer_name string, source_row long")
+    done = {}
+    for mode in ("upsert", "insert_absent", "append"):
+        spec = SimpleNamespace(mode=mode, keys=["customer_id"])
+        done[mode] = sorted(map(tuple, ingest.apply_resource(target, rows, spec).collect()))
+    assert done["upsert"] == [("c1", "new", "S1"), ("c2", "two", "S2"), ("c3", "three", None)]
+    assert done["insert_absent"] == [("c1", "old", "S1"), ("c2", "two", "S2"), ("c3", "three", None)]
+    assert done["append"] == [("c1", "new", None), ("c1", "old", "S1"), ("c2", "two", "S2"), ("c3", "three", None)]

@@ -114,3 +114,18 @@ def test_write_upsert_rewrites_touched_partitions_only(spark, tmp_path):
     assert after["2001-02"] != before["2001-02"]
     got = sorted((r.period, r.k, r.v) for r in spark.read.parquet(path).collect())
     assert got == [("2001-01", "a", 1), ("2001-02", "b", 20), ("2001-02", "x", 9), ("2001-03", "c", 3)]
+
+
+def test_purge_by_territory_and_tender(spark):
+    import pytest
+    tables = {"territory": spark.createDataFrame([(1,), (2,)], "territory_id long"),
+              "employee_territory": spark.createDataFrame([(7, 1), (7, 2)], "employee_id long, territory_id long"),
+              "kpi_target": spark.createDataFrame([(7, 5, 1), (7, 5, None)], "employee_id long, product_id long, territory_id long"),
+              "tender": spark.createDataFrame([(3, 1, 1, 1), (4, 1, 1, 1)],
+                                              "tender_id long, employee_id long, customer_id long, product_id long")}
+    keys = {"territory": spark.createDataFrame([(1,)], "id long"), "tender": spark.createDataFrame([(4,)], "id long")}
+    out = {n: [tuple(r) for r in df.collect()] for n, df in merge.purge(tables, keys).items()}
+    assert out == {"territory": [(2,)], "employee_territory": [(7, 2)], "kpi_target": [(7, 5, None)],
+                   "tender": [(3, 1, 1, 1)]}
+    with pytest.raises(ValueError, match="unknown kinds"):
+        merge.purge(tables, {"region": keys["tender"]})
