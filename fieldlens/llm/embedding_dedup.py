@@ -7,7 +7,8 @@
    ``spill`` of the median go to both sides.
 3. Leaves are compared in blocks: a leaf of more than ``BLOCK`` rows is dealt into parts and every pair of parts is a
    group of its own, so no group grows with the data and no pair of the leaf is left out. Cosines are in double
-   precision; pairs found at several leaves count once.
+   precision. Pairs stay inside the task: each vector leaves with the number of its partners (a pair found at several
+   leaves counts at the first of them) and with the smallest vector that the block's links reach.
 4. Links are united by connected components.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components has no links and is its own
@@ -32,6 +33,7 @@ TREES = 10
 LEAF = 200
 BLOCK = 1024
 SAMPLE_ROWS = 20_000
+MAX_NODES = 1 << 24  # of a tree; far above what a sample of that size grows
 SPILL = 0.5  # of the standard deviation of a projected difference between two vectors just at the threshold
 
 
@@ -84,7 +86,8 @@ def route(x: np.ndarray, tree: int, cut: np.ndarray, left: np.ndarray, spill: fl
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
-    """Staged pairs (a, b, na, nb) of classes (rep, n, dim, x) whose cosine reaches the threshold."""
+    """Staged (rep, root, others) of the classes (rep, n, dim, x) whose cosine with another one reaches the threshold:
+    the sum of ``others`` over a class's rows is the number of vectors linked with it, its roots tie the components."""
     spark = vectors.sparkSession
     sizes = {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}  # one row per vector length
     forests = {}
@@ -104,48 +107,84 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES)
                     at = np.flatnonzero(dims == dim)
                     x = unit(part.column(2).take(pa.array(at)).to_pylist())
                     spill, forest = sent.value[int(dim)]
-                    ids = part.column(0).to_numpy()[at]
+                    own, code = [], []
                     for t, (cut, left) in enumerate(forest):
-                        own, leaf = route(x, t, cut, left, spill)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[own]), pa.array(np.full(len(own), dim, np.int32)),
-                             pa.array(np.full(len(own), t, np.int32)), pa.array(leaf.astype(np.int32))],
-                            ["rep", "dim", "tree", "leaf"])
-    leaf = ["dim", "tree", "leaf"]
-    places = stage(vectors.select("rep", "dim", "x").mapInArrow(place, "rep long, dim int, tree int, leaf int"),
-                   "places")
-    parts = places.groupBy(*leaf).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("size"))
-    dealt = (places.join(parts.where("size > 1").drop("size"), leaf)
+                        rows, leaf = route(x, t, cut, left, spill)
+                        own.append(rows)
+                        code.append(leaf + t * MAX_NODES)
+                    own, code = np.concatenate(own), np.concatenate(code)
+                    order = np.lexsort((code, own))
+                    ends = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=len(at)))))
+                    places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(code[order], pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), places],
+                        ["rep", "dim", "places"])
+    placed = stage(vectors.select("rep", "dim", "x").mapInArrow(place, "rep long, dim int, places array<long>"), "places")
+    leaf = ["dim", "place"]
+    each = placed.select("rep", "dim", F.explode("places").alias("place"))
+    parts = each.groupBy(*leaf).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("size"))
+    dealt = (each.join(parts.where("size > 1").drop("size"), leaf)
              .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .select(*leaf, "rep", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-             .join(vectors.select("rep", "n", "x"), "rep"))
+             .join(vectors.select("rep", "n", "x"), "rep").join(placed.select("rep", "places"), "rep"))
 
     def compare(key, pdf):
         import pandas as pd
-        x = unit(pdf["x"])
-        own = pdf["part"].to_numpy()
-        i, j = key[3], key[4]
+        _, place, i, j = key
+        own, ids, n = (pdf[c].to_numpy() for c in ("part", "rep", "n"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = np.nonzero(x[left] @ x[right].T >= threshold - 1e-9)
-        a, b = left[a], right[b]
-        ids, n = pdf["rep"].to_numpy(), pdf["n"].to_numpy()
-        swap = ids[a] > ids[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        ok = ids[a] < ids[b]
-        a, b = a[ok], b[ok]
-        raw = np.array(list(pdf["x"]), np.float64) if len(a) else x
-        top = np.einsum("ij,ij->i", raw[a], raw[b])
-        norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
-        near = top / (norm[a] * norm[b]) >= threshold
-        a, b = a[near], b[near]
-        return pd.DataFrame({"a": ids[a], "b": ids[b], "na": n[a], "nb": n[b]})
-    found = dealt.groupBy(*leaf, "i", "j").applyInPandas(compare, "a long, b long, na long, nb long")
-    out = stage(found.distinct(), "links")
-    unstage(places)
+        near = _near(pdf["x"], left, right, threshold)
+        some, other = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        near, left, right = near[np.ix_(some, other)], left[some], right[other]
+        # A pair counts at the first place that both are in.
+        new = near & ~_met(pdf["places"].iloc[left], pdf["places"].iloc[right], place)
+        others, root = np.zeros(len(pdf), np.int64), ids.copy()
+        others[left] += new @ n[right]
+        if i != j:
+            others[right] += new.T @ n[left]
+        while len(left):
+            low = root.copy()
+            low[left] = np.minimum(low[left], np.where(near, root[right], root.max()).min(axis=1))
+            low[right] = np.minimum(low[right], np.where(near, root[left][:, None], root.max()).min(axis=0))
+            if (low == root).all():
+                break
+            root = low
+        rows = np.union1d(left, right)
+        return pd.DataFrame({"rep": ids[rows], "root": root[rows], "others": others[rows]})
+    found = dealt.groupBy(*leaf, "i", "j").applyInPandas(compare, "rep long, root long, others long")
+    out = stage(found.groupBy("rep", "root").agg(F.sum("others").alias("others")), "links")
+    unstage(placed)
     return out
 
 
+def _near(vectors, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which vectors of ``left`` and ``right`` (row numbers) reach the threshold; a row isn't its own partner."""
+    raw = np.array(list(vectors), np.float64)
+    norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
+    x = raw / norm[:, None]
+    cosine = x[left] @ x[right].T
+    near = cosine >= threshold + 1e-9
+    for row in np.flatnonzero((np.abs(cosine - threshold) < 1e-9).any(axis=1)):  # too close for the rounded units
+        at = np.flatnonzero(np.abs(cosine[row] - threshold) < 1e-9)
+        a, b = left[row], right[at]
+        near[row, at] = np.einsum("j,ij->i", raw[a], raw[b]) / (norm[a] * norm[b]) >= threshold
+    return near & (left[:, None] != right[None, :])
+
+
+def _met(left, right, place: int) -> np.ndarray:
+    """Which members of ``left`` and ``right`` (lists of places) are together in a place before this one."""
+    sizes = [len(x) for x in (*left, *right)]
+    if not sizes:
+        return np.zeros((0, 0), bool)
+    whose, places = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([*left, *right])
+    whose, places = whose[places < place], places[places < place]
+    _, code = np.unique(places, return_inverse=True)
+    m = np.zeros((len(sizes), int(code.max(initial=-1)) + 1), np.float32)
+    m[whose, code] = 1
+    return m[:len(left)] @ m[len(left):].T > 0
+
+
 def embedding_components(embeddings: DataFrame, threshold: float = THRESHOLD, trees: int = TREES,
                          id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
@@ -162,10 +201,9 @@ def embedding_components(embeddings: DataFrame, threshold: float = THRESHOLD, tr
                     .groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("n"),
                                              F.first("x").alias("x"))
                     .withColumn("dim", F.size("x")), "vectors")
-    pairs = links(classes.select("rep", "n", "dim", "x"), threshold, trees)
-    both = pairs.select("a", F.col("nb").alias("n")).unionAll(pairs.select("b", F.col("na").alias("n")))
-    linked = both.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
-    comp = components(pairs)
+    found = links(classes.select("rep", "n", "dim", "x"), threshold, trees)
+    linked = found.groupBy(F.col("rep").alias("id")).agg(F.sum("others").alias("others"))
+    comp = components(found, "rep", "root")
     known = (classes.select("h1", "h2", "rep", "n").join(linked, F.col("rep") == linked["id"], "left").drop("id")
              .join(comp, F.col("rep") == comp["id"], "left")
              .select("h1", "h2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
