@@ -31,7 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that source, language and topic meet their target shares of tokens."""
+    """Documents drawn so that source, language and topic meet their target shares of tokens, or all of a value's
+    documents where it is short of its target (see mixing)."""
     return mixing.sample_mixture(docs)
 
 

@@ -1,8 +1,13 @@
 """Mixing sources to target weights (7): iterative proportional fitting of source, language and topic marginals.
 
-Documents are counted in cells (source, language, topic) by tokens; the cells are raked until each marginal has its
-target share; documents are then sampled by calibrated probabilities: ``min(1, c * weight)``, with ``c`` such that the
-expected tokens are the wanted share of all tokens. The draw is a hash of doc_id, so a rerun keeps the same documents.
+Documents are counted in cells (source, language, topic) by tokens. The expected kept tokens are raked with each
+probability held at 1 or less, until every marginal of the sample has its target share and the expected tokens are the
+wanted share of all tokens. The draw is a hash of doc_id, so a rerun keeps the same documents.
+
+A sample can't hold more tokens of a value than there are: where a target asks for more at the wanted share, the value
+keeps all it has and the others divide the rest by their targets. ``mixture`` gives the target and the reached (expected)
+share of each row's source, language and topic, so such values show; a smaller ``share`` brings them nearer. ``weight`` is
+the weight that would meet all targets without the bound.
 
 Only cells reach the driver. Their number is bounded by ``MAX_VALUES``: in each dimension the values with the most
 tokens keep their names and all others are pooled as ``(other)`` (no document is left out).
@@ -30,6 +35,7 @@ KEEP_SHARE = 0.9
 ROUNDS = 200
 TOLERANCE = 1e-9
 SEED = 20_240_601
+REPORTED = [f"{d}_{kind}" for d in DIMENSIONS for kind in ("target", "reached")]
 
 
 def topic_of(text: Column) -> Column:
@@ -85,15 +91,86 @@ def calibrate(cells: dict[tuple, float], weight: dict[tuple, float], share: floa
     """Probability of each cell: min(1, c * weight) with the expected tokens at ``share`` of all."""
     keys = sorted(cells)
     mass, w = np.array([float(cells[k]) for k in keys]), np.array([weight[k] for k in keys])
+    wanted = min(share * mass.sum(), mass[w > 0].sum())
     lo, hi = 0.0, 1.0
-    while (np.minimum(1, hi * w) * mass).sum() < share * mass[w > 0].sum() - 1e-9 and hi < 1e12:
+    while (np.minimum(1, hi * w) * mass).sum() < wanted - 1e-9 and hi < 1e12:
         hi *= 2
     for _ in range(100):
         c = (lo + hi) / 2
-        lo, hi = (c, hi) if (np.minimum(1, c * w) * mass).sum() < share * mass.sum() else (lo, c)
+        lo, hi = (c, hi) if (np.minimum(1, c * w) * mass).sum() < wanted else (lo, c)
     return dict(zip(keys, np.minimum(1, hi * w).tolist()))
 
 
+def capped(have: np.ndarray, target: np.ndarray, kept: float) -> np.ndarray:
+    """Tokens to keep of each value: its target of ``kept``, at most all it has; the others divide the rest."""
+    full = np.zeros(len(have), bool)
+    while True:
+        free = (target > 0) & ~full
+        goal = np.where(full, have, 0.0)
+        if free.any():
+            goal[free] = max(0.0, kept - goal.sum()) * target[free] / target[free].sum()
+        over = free & (goal > have)
+        if not over.any():
+            return goal
+        full |= over
+
+
+def _bounded_factor(code: np.ndarray, goal: np.ndarray, mass: np.ndarray, w: np.ndarray, least: float) -> np.ndarray:
+    """Factor f of each value with sum(mass * min(1, f * w)) = goal: Newton's steps from below (the sum is concave)."""
+    raw = np.bincount(code, weights=mass * w, minlength=len(goal))
+    f = np.divide(goal, raw, out=np.ones_like(goal), where=raw > 0)
+    for _ in range(100):
+        x = f[code] * w
+        gap = goal - np.bincount(code, weights=mass * np.minimum(1, x), minlength=len(goal))
+        slope = np.bincount(code, weights=np.where(x < 1, mass * w, 0), minlength=len(goal))
+        step = np.divide(gap, slope, out=np.zeros_like(goal), where=(gap > least) & (slope > 0))
+        if not step.any():
+            break
+        f += step
+    return f
+
+
+def rake_bounded(cells: dict[tuple, float], targets: dict[str, dict[str, float]], share: float,
+                 rounds: int = ROUNDS) -> dict[tuple, float]:
+    """Probability of each cell: the expected kept tokens meet the (capped) targets at ``share`` of all tokens."""
+    keys = sorted(cells)
+    mass = np.array([float(cells[k]) for k in keys])
+    total = mass.sum()
+    if total <= 0:
+        return {k: share for k in keys}
+    margins = []
+    for d, name in enumerate(DIMENSIONS):
+        values = {v: i for i, v in enumerate(sorted({k[d] for k in keys}))}
+        code = np.array([values[k[d]] for k in keys])
+        have = np.bincount(code, weights=mass)
+        goal = np.array([max(0.0, targets[name].get(v, 0.0)) for v in values]) * (have > 0)
+        margins.append((code, have, goal if goal.sum() else have))
+    kept = min([share * total] + [have[goal > 0].sum() for _, have, goal in margins])
+    margins = [(code, capped(have, goal, kept)) for code, have, goal in margins]
+    w = np.full(len(keys), kept / total)
+    for _ in range(rounds):
+        gap = 0.0
+        for code, goal in margins:
+            now = np.bincount(code, weights=mass * np.minimum(1, w), minlength=len(goal))
+            gap = max(gap, float(np.abs(now - goal).max()))
+            w = w * _bounded_factor(code, goal, mass, w, TOLERANCE * TOLERANCE * total)[code]
+            w = np.where(w > 0, np.clip(w, 1e-200, 1e200), 0)
+        if gap < TOLERANCE * total:
+            break
+    return calibrate(cells, dict(zip(keys, w.tolist())), kept / total)
+
+
+def shares(cells: dict[tuple, float], chance: dict[tuple, float]) -> list[dict[str, float]]:
+    """The share of each value in the expected kept tokens, a dict per dimension."""
+    kept = {k: cells[k] * chance[k] for k in sorted(cells)}
+    total = sum(kept.values())
+    out: list[dict[str, float]] = [{} for _ in DIMENSIONS]
+    for k, t in kept.items():
+        for d, v in enumerate(k):
+            out[d][v] = out[d].get(v, 0.0) + (t / total if total else 0.0)
+    return out
+
+
 def _plan(cells: DataFrame, targets, share: float) -> DataFrame:
     """The broadcast-sized table (source, lang, topic, named_*, weight, probability) of a frame of cells with tokens."""
     spark = cells.sparkSession
@@ -115,10 +192,17 @@ def _plan(cells: DataFrame, targets, share: float) -> DataFrame:
                 have[k[i]] = have.get(k[i], 0) + counts[k]
             goals[name] = {v: t ** TEMPERING[name] for v, t in have.items()}
     weight = rake(counts, goals)
-    chance = calibrate(counts, weight, share)
-    rows = [(*k, float(weight[k]), float(chance[k])) for k in sorted(counts)]
+    chance = rake_bounded(counts, goals, share)
+    reached = shares(counts, chance)
+    aims = []
+    for i, name in enumerate(DIMENSIONS):
+        there = {v: max(0.0, goals[name].get(v, 0.0)) if any(counts[k] for k in counts if k[i] == v) else 0.0
+                 for v in reached[i]}
+        aims.append({v: g / (sum(there.values()) or 1.0) for v, g in there.items()})
+    rows = [(*k, float(weight[k]), float(chance[k]), *[x for i, v in enumerate(k) for x in (aims[i][v], reached[i][v])])
+            for k in sorted(counts)]
     return named, spark.createDataFrame(rows, "_source string, _lang string, _topic string, weight double, "
-                                              "probability double")
+                                              "probability double, " + ", ".join(f"{c} double" for c in REPORTED))
 
 
 def _with_chance(rows: DataFrame, named, plan: DataFrame) -> DataFrame:
@@ -130,14 +214,15 @@ def _with_chance(rows: DataFrame, named, plan: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = KEEP_SHARE,
             **cols) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, weight, probability, kept) of every document."""
+    """(doc_id, source, lang, topic, n_tokens, weight, probability, kept) of every document, with the target and the
+    reached share of its source, language and topic in the expected sample."""
     columns, draw = described(docs, **cols)
     rows = stage(docs.select(docs[cols.get("id_col", "doc_id")].cast("long").alias("doc_id"), *columns,
                              draw.alias("draw")), "mixture")
     cells = stage(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     out = _with_chance(rows, *_plan(cells, targets, share))
     return out.select("doc_id", *DIMENSIONS, F.col("tokens").alias("n_tokens"), "weight", "probability",
-                      (F.col("draw") < F.col("probability")).alias("kept"))
+                      (F.col("draw") < F.col("probability")).alias("kept"), *REPORTED)
 
 
 def sample_mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = KEEP_SHARE,

@@ -239,6 +239,49 @@ def test_raking_meets_its_marginals(docs):
     assert mixing.sample_mixture(docs).count() == sum(r["kept"] for r in out)
 
 
+def test_bounded_raking_meets_targets_or_keeps_all():
+    rng = np.random.default_rng(5)
+    cells = {(s, g, t): float(rng.integers(1, 1000)) for s in "abc" for g in "xy" for t in "pq"}
+    cells |= {("big", g, t): 4000.0 for g in "xy" for t in "pq"}
+    total = sum(cells.values())
+    even = {"source": dict.fromkeys(["a", "b", "c", "big"], 1), "lang": {"x": 3, "y": 2}, "topic": {"p": 1, "q": 1}}
+    have = {v: sum(m for k, m in cells.items() if k[0] == v) for v in even["source"]}
+    for share in (0.3, 0.6):
+        chance = mixing.rake_bounded(cells, even, share)
+        assert all(0 <= p <= 1 for p in chance.values())
+        assert abs(sum(chance[k] * m for k, m in cells.items()) - share * total) < 1e-6 * total
+        got = mixing.shares(cells, chance)
+        full = {v for v in "abc" if have[v] < share * total / 4}
+        if share == 0.3:
+            assert not full and max(chance.values()) == 1  # the targets are within reach, but only under the bound
+        else:
+            assert full
+        for d, name in enumerate(mixing.DIMENSIONS):
+            for v, t in even[name].items():
+                want = t / sum(even[name].values())
+                if full and name == "source":
+                    want = have[v] / (share * total) if v in full else None
+                assert want is None or abs(got[d][v] - want) < 1e-3, (share, name, v)
+
+
+def test_sample_has_the_target_shares(spark):
+    rows = [(i, "w " * (120 + i % 7) + ("1 " * 40 if i % 3 else ""), "es" if i % 11 == 0 else "en",
+             "big" if i % 3 == 1 else f"s{i % 4}") for i in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mixture(frame, share=0.4).toPandas()
+    kept = out[out.kept]
+    for d in mixing.DIMENSIONS:
+        got = kept.groupby(d).n_tokens.sum() / kept.n_tokens.sum()
+        for v, row in out.groupby(d).first().iterrows():
+            assert abs(row[f"{d}_reached"] - row[f"{d}_target"]) < 1e-6
+            assert abs(got[v] - row[f"{d}_target"]) < 0.03
+    short = mixing.mixture(frame, {"lang": {"es": 1, "en": 1}}, share=0.9).toPandas()
+    assert (short[short.lang == "es"].probability > 0.999).all()
+    es = short[short.lang == "es"].iloc[0]
+    assert es.lang_target == 0.5 and abs(es.lang_reached - short[short.lang == "es"].n_tokens.sum()
+                                         / (0.9 * short.n_tokens.sum())) < 1e-3
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     assert line_dedup.line_dedup(none).count() == 0
