@@ -9,13 +9,14 @@ keeps all it has and the others divide the rest by their targets. ``mixture`` gi
 share of each row's source, language and topic, so such values show; a smaller ``share`` brings them nearer. ``weight`` is
 the weight that would meet all targets without the bound.
 
-Only cells reach the driver. Their number is bounded by ``MAX_VALUES``: in each dimension the values with the most
-tokens keep their names and all others are pooled as ``(other)`` (no document is left out).
+Every value keeps its own cells and target, however many there are. Up to ``MAX_CELLS`` cells are raked on the driver;
+above that the cells stay a table and each step of the raking is a groupBy and a join, to ``FRAME_TOLERANCE``.
 
 Without given targets, a dimension's shares are its observed token shares to the power ``TEMPERING``, normalised.
 
 Defined results: a null or empty text has 0 tokens and its cell's probability; a null source or language is the value
-``(none)``; targets of values that don't occur are left out and the rest scaled; no documents give no rows; rows that
+``(none)``; targets of values that don't occur are left out and the rest scaled; a value that the given targets of its
+dimension don't name has the target 0; no documents give no rows; rows that
 repeat a doc_id share its fate; rows without doc_id are drawn by a hash of their text; extra columns are kept by
 ``sample_mixture`` and not read otherwise.
 """
@@ -26,14 +27,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import read_table, stage
+from fieldlens.llm.common import maybe_broadcast, read_table, stage, unstage
 
 DIMENSIONS = ("source", "lang", "topic")
-MAX_VALUES = {"source": 500, "lang": 50, "topic": 10}
+#: Cells that the driver holds (some numbers and three short texts each: under 100 MB).
+MAX_CELLS = 100_000
 TEMPERING = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 KEEP_SHARE = 0.9
 ROUNDS = 200
 TOLERANCE = 1e-9
+FRAME_TOLERANCE = 1e-4
 SEED = 20_240_601
 REPORTED = [f"{d}_{kind}" for d in DIMENSIONS for kind in ("target", "reached")]
 
@@ -171,45 +174,121 @@ def shares(cells: dict[tuple, float], chance: dict[tuple, float]) -> list[dict[s
     return out
 
 
-def _plan(cells: DataFrame, targets, share: float) -> DataFrame:
-    """The broadcast-sized table (source, lang, topic, named_*, weight, probability) of a frame of cells with tokens."""
-    spark = cells.sparkSession
-    named = {}
-    for name in DIMENSIONS:
-        top = (cells.groupBy(name).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), name)
-               .limit(MAX_VALUES[name]).collect())
-        named[name] = [r[0] for r in top]
-    pooled = cells.groupBy(*[F.when(F.col(d).isin(named[d]) if named[d] else F.lit(False), F.col(d))
-                             .otherwise("(other)").alias(d) for d in DIMENSIONS]).agg(F.sum("tokens").alias("tokens"))
-    counts = {tuple(r[:3]): int(r[3]) for r in pooled.collect()}  # bounded by the product of MAX_VALUES
-    goals = {}
-    for i, name in enumerate(DIMENSIONS):
-        if targets and name in targets:
-            goals[name] = targets[name]
-        else:
-            have: dict[str, float] = {}
-            for k in sorted(counts):
-                have[k[i]] = have.get(k[i], 0) + counts[k]
-            goals[name] = {v: t ** TEMPERING[name] for v, t in have.items()}
+def _goals(margin: DataFrame, name: str, targets) -> DataFrame:
+    """(value, have, target): the tokens of each value and its target share, from its tokens (value, have)."""
+    if targets and name in targets:
+        given = margin.sparkSession.createDataFrame([(v, max(0.0, float(t))) for v, t in targets[name].items()],
+                                                    f"{name} string, target double")
+        aim = margin.join(given, name, "left")
+    else:
+        aim = margin.withColumn("target", F.pow("have", F.lit(TEMPERING[name])))
+    aim = stage(aim.select(name, "have", F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0))).otherwise(0.0)
+                           .alias("target")), "goals")
+    whole = aim.agg(F.sum("target")).first()[0]
+    return aim.withColumn("target", F.col("target") / whole if whole
+                          else F.col("have") / aim.agg(F.sum("have")).first()[0])
+
+
+def _frame_rake(cells: DataFrame, goals: dict[str, DataFrame], start: float, bounded: bool) -> DataFrame:
+    """``cells`` with the factor w of each: rake and rake_bounded as groupBy and join rounds, one Newton step a round."""
+    total = cells.agg(F.sum("tokens")).first()[0]
+    cells = stage(cells.withColumn("w", F.lit(start)), "raked")
+    for _ in range(ROUNDS):
+        gap = 0.0
+        for name in DIMENSIONS:
+            sums = cells.groupBy(name).agg(
+                F.sum(F.col("tokens") * F.col("w")).alias("raw"),
+                F.sum(F.col("tokens") * F.least("w", F.lit(1.0))).alias("now"),
+                F.sum(F.when(F.col("w") < 1, F.col("tokens") * F.col("w")).otherwise(0.0)).alias("slope"))
+            plain = F.when(F.col("raw") > 0, F.col("goal") / F.col("raw")).otherwise(1.0)
+            newton = F.when(F.col("slope") > 0, 1 + (F.col("goal") - F.col("now")) / F.col("slope"))
+            factor = stage(sums.join(goals[name].select(name, "goal"), name).select(
+                name, (F.greatest(plain, newton) if bounded else plain).alias("factor"),
+                F.abs(F.col("goal") - F.col("now" if bounded else "raw")).alias("gap")), "factors")
+            off, values = factor.agg(F.max("gap"), F.count("*")).first()
+            gap = max(gap, off or 0.0)
+            nxt = stage(cells.join(maybe_broadcast(factor.drop("gap"), values), name).withColumn(
+                "w", F.when(F.col("w") * F.col("factor") > 0,
+                            F.least(F.greatest(F.col("w") * F.col("factor"), F.lit(1e-200)), F.lit(1e200))).otherwise(0.0))
+                .select(*DIMENSIONS, "tokens", "w"), "raked")
+            unstage(cells, factor)
+            cells = nxt
+        if gap < FRAME_TOLERANCE * total:
+            break
+    return cells
+
+
+def _frame_plan(cells: DataFrame, targets, share: float) -> DataFrame:
+    """The plan of any number of cells; the driver holds sums over a dimension only."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    if total <= 0:
+        return cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.lit(1.0).alias("weight"),
+                            F.lit(share).alias("probability"), *[F.lit(0.0).alias(c) for c in REPORTED])
+    goals = {d: _goals(cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("have")), d, targets)
+             for d in DIMENSIONS}
+    kept = min([share * total] + [g.where("target > 0").agg(F.sum("have")).first()[0] for g in goals.values()])
+    bounded = {}
+    for d, g in goals.items():
+        level = kept  # tokens a unit of target; those that have less keep all, the others divide the rest
+        while True:
+            full = F.col("have") <= level * F.col("target")
+            filled, free = g.where("target > 0").agg(F.sum(F.when(full, F.col("have")).otherwise(0.0)),
+                                                     F.sum(F.when(full, 0.0).otherwise(F.col("target")))).first()
+            if not free or (kept - filled) / free <= level * (1 + 1e-12):
+                break
+            level = (kept - filled) / free
+        goal = F.least("have", level * F.col("target")) if free else F.col("have")
+        bounded[d] = stage(g.withColumn("goal", F.when(F.col("target") > 0, goal).otherwise(0.0)), "bounded")
+    free_weight = _frame_rake(cells, {d: g.withColumn("goal", F.col("target") * total) for d, g in goals.items()}, 1.0, False)
+    raked = _frame_rake(cells, bounded, kept / total, True)
+    c = kept / (raked.agg(F.sum(F.col("tokens") * F.col("w"))).first()[0] or 1.0)
+    for _ in range(100):
+        x = c * F.col("w")
+        now, slope = raked.agg(F.sum(F.col("tokens") * F.least(x, F.lit(1.0))),
+                               F.sum(F.when(x < 1, F.col("tokens") * F.col("w")).otherwise(0.0))).first()
+        if not slope or kept - now <= TOLERANCE * total:
+            break
+        c += (kept - now) / slope
+    plan = stage(raked.withColumn("probability", F.least(c * F.col("w"), F.lit(1.0))).drop("w").join(
+        free_weight.select(*DIMENSIONS, F.col("w").alias("weight")), list(DIMENSIONS)), "plan")
+    in_all = plan.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0] or 1.0
+    out = plan
+    for d in DIMENSIONS:
+        reached = plan.groupBy(d).agg((F.sum(F.col("tokens") * F.col("probability")) / in_all).alias(f"{d}_reached"))
+        out = out.join(reached.join(bounded[d].select(d, F.col("target").alias(f"{d}_target")), d), d)
+    return stage(out.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "weight", "probability", *REPORTED), "plan")
+
+
+def _plan(cells: DataFrame, targets, share: float) -> tuple[DataFrame, bool]:
+    """The table (_source, _lang, _topic, weight, probability, reported shares) of a staged frame of cells with tokens,
+    and whether it is small enough to broadcast."""
+    if cells.count() > MAX_CELLS:
+        return _frame_plan(cells, targets, share), False
+    counts = {tuple(r[:3]): int(r[3]) for r in cells.collect()}
+    have: list[dict[str, int]] = [{} for _ in DIMENSIONS]
+    for k in sorted(counts):
+        for i, v in enumerate(k):
+            have[i][v] = have[i].get(v, 0) + counts[k]
+    goals = {name: targets[name] if targets and name in targets else {v: t ** TEMPERING[name] for v, t in have[i].items()}
+             for i, name in enumerate(DIMENSIONS)}
     weight = rake(counts, goals)
     chance = rake_bounded(counts, goals, share)
     reached = shares(counts, chance)
     aims = []
     for i, name in enumerate(DIMENSIONS):
-        there = {v: max(0.0, goals[name].get(v, 0.0)) if any(counts[k] for k in counts if k[i] == v) else 0.0
-                 for v in reached[i]}
+        there = {v: max(0.0, goals[name].get(v, 0.0)) if t else 0.0 for v, t in have[i].items()}
+        there = there if sum(there.values()) else have[i]
         aims.append({v: g / (sum(there.values()) or 1.0) for v, g in there.items()})
     rows = [(*k, float(weight[k]), float(chance[k]), *[x for i, v in enumerate(k) for x in (aims[i][v], reached[i][v])])
             for k in sorted(counts)]
-    return named, spark.createDataFrame(rows, "_source string, _lang string, _topic string, weight double, "
-                                              "probability double, " + ", ".join(f"{c} double" for c in REPORTED))
+    return cells.sparkSession.createDataFrame(
+        rows, "_source string, _lang string, _topic string, weight double, probability double, "
+        + ", ".join(f"{c} double" for c in REPORTED)), True
 
 
-def _with_chance(rows: DataFrame, named, plan: DataFrame) -> DataFrame:
-    pool = [F.when(F.col(d).isin(named[d]) if named[d] else F.lit(False), F.col(d)).otherwise("(other)")
-            for d in DIMENSIONS]
-    on = [p == F.col(f"_{d}") for p, d in zip(pool, DIMENSIONS)]
-    return rows.join(F.broadcast(plan), on, "left").drop("_source", "_lang", "_topic")
+def _with_chance(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
+    on = [F.col(d) == F.col(f"_{d}") for d in DIMENSIONS]
+    return rows.join(F.broadcast(plan) if small else plan, on, "left").drop("_source", "_lang", "_topic")
 
 
 def mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = KEEP_SHARE,
@@ -230,9 +309,8 @@ def sample_mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None
     """The drawn rows of ``docs`` with all their columns."""
     columns, draw = described(docs, **cols)
     cells = stage(docs.select(*columns).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
-    named, plan = _plan(cells, targets, share)
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    drawn = _with_chance(docs.select(whole, *columns[:3], draw.alias("_draw")), named, plan)
+    drawn = _with_chance(docs.select(whole, *columns[:3], draw.alias("_draw")), *_plan(cells, targets, share))
     return drawn.where(F.col("_draw") < F.col("probability")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 

@@ -282,6 +282,37 @@ def test_sample_has_the_target_shares(spark):
                                          / (0.9 * short.n_tokens.sum())) < 1e-3
 
 
+def many_sources(spark, sources):
+    # A third of all rows in one source, the others with one to four documents each.
+    rows = [(i, "w " * (10 + i % 5), "es" if i % 7 == 0 else "en", "big") for i in range(sources)]
+    rows += [(sources + 4 * i + j, "w " * (10 + i % 9), "es" if (i + j) % 3 == 0 else "en", f"site{i}.example")
+             for i in range(sources) for j in range(1 + i % 4)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_every_source_keeps_its_target(spark):
+    frame = many_sources(spark, 700)
+    out = mixing.mixture(frame, {"source": {"big": 3, "site3.example": 1}}, share=0.005).toPandas()
+    assert set(out[out.probability > 0].source) == {"big", "site3.example"}
+    assert abs(out[out.source == "site3.example"].source_reached.iloc[0] - 0.25) < 1e-6
+    out = mixing.mixture(frame, share=0.05).toPandas().groupby("source").agg({"n_tokens": "sum", "source_target": "first"})
+    tempered = out.n_tokens ** mixing.TEMPERING["source"]
+    assert len(out) == 701 and (abs(out.source_target - tempered / tempered.sum()) < 1e-9).all()
+
+
+def test_raking_as_a_table_equals_raking_on_the_driver(spark, monkeypatch):
+    frame = many_sources(spark, 60)
+    targets = {"source": {"big": 30, **{f"site{i}.example": 1 + i % 2 for i in range(50)}}, "lang": {"en": 3, "es": 2}}
+    plain = mixing.mixture(frame, targets, share=0.4).toPandas().set_index("doc_id")
+    kept = {r.doc_id for r in mixing.sample_mixture(frame, targets, share=0.4).collect()}
+    monkeypatch.setattr(mixing, "MAX_CELLS", 10)
+    table = mixing.mixture(frame, targets, share=0.4).toPandas().set_index("doc_id").loc[plain.index]
+    assert kept == set(plain.index[plain.kept]) and (table.source == plain.source).all()
+    for c in ["probability", *mixing.REPORTED]:
+        assert abs(table[c] - plain[c]).max() < 5e-3, c
+    assert (abs(table.weight - plain.weight) < 5e-3 * (1 + plain.weight)).all()
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     assert line_dedup.line_dedup(none).count() == 0
