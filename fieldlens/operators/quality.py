@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.functions.text import slug
 from fieldlens.schema import MANAGER_ROLES, REP_ROLES_LOOSE, TENDER_STATUSES
 
 EMAIL_SHAPE = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
@@ -118,8 +119,14 @@ UNIQUE_KEYS = [
 ]
 
 
+def surrogate_collisions(codes: DataFrame, id_col: str, code_col: str) -> DataFrame:
+    """Ids that more than one code holds, as (id, codes)."""
+    return (codes.filter(F.col(code_col).isNotNull()).groupBy(id_col)
+            .agg(F.count_distinct(code_col).alias("codes")).filter(F.col("codes") > 1))
+
+
 def duplicate_keys(T) -> DataFrame:
-    """Q4: keys held by more than one row (partial unique keys skip NULLs)."""
+    """Q4: keys held by more than one row (partial unique keys skip NULLs), and sale codes with one generated id."""
     parts = []
     for table, keys, partial in UNIQUE_KEYS:
         df = getattr(T, table)
@@ -129,4 +136,9 @@ def duplicate_keys(T) -> DataFrame:
         parts.append(dup.select(F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
                                 F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key_value"),
                                 "rows"))
+    for table in ("employee", "customer", "product"):
+        codes = getattr(T, table).select(slug(F.col("sale_code")).alias("_id"), "sale_code")
+        parts.append(surrogate_collisions(codes, "_id", "sale_code").select(
+            F.lit(table).alias("table_name"), F.lit("slug(sale_code)").alias("key_columns"),
+            F.col("_id").alias("key_value"), F.col("codes").alias("rows")))
     return reduce(DataFrame.unionByName, parts)

@@ -21,6 +21,7 @@ from fieldlens.functions.text import (customer_type, normalise_role, normalise_s
                                       pick, slug, surrogate)
 from fieldlens.operators.keys import first_per_key
 from fieldlens.operators.merge import insert_absent, upsert
+from fieldlens.operators.quality import surrogate_collisions
 from fieldlens.schema import (COEFFICIENT, PREFIX_CUSTOMER, PREFIX_EMPLOYEE, PREFIX_PRODUCT, PREFIX_TERRITORY,
                               RESOURCES, SHEET_EMAIL_DOMAIN, SHEET_HEADERS, SHEET_MONEY,
                               SHEET_PRODUCT_DOSAGE_CODE, SHEET_PRODUCT_DOSAGE_FORM, SHEET_QTY, SHEET_REGION,
@@ -241,6 +242,28 @@ def with_resolved_ids(sheet: DataFrame, T) -> DataFrame:
     return s
 
 
+def split_collisions(sheet: DataFrame, T) -> tuple[DataFrame, DataFrame]:
+    """(rows, refused rows) of a resolved sheet: ids are cut slugs, and codes that share one would merge masters.
+
+    A code is compared with the sheet's and the masters' other codes of its id. Provinces are compared by their whole
+    slug and within the sheet only: other spellings of one name are one territory.
+    """
+    m = _masters_as_text(T)
+    s = sheet.withColumn("_whole", slug(F.col("province"), 1 << 30))
+    bad = F.lit(False)
+    for table, code in (("territory", "_whole"), ("employee", "employee_code"), ("customer", "customer_code"),
+                        ("product", "product_code")):
+        key = f"{table}_id"
+        codes = s.select(key, F.col(code).alias("_code"))
+        if table != "territory":
+            codes = codes.unionByName(m[table].select(key, F.col("sale_code").alias("_code")))
+        shared = surrogate_collisions(codes.distinct(), key, "_code").select(key, F.lit(True).alias(f"_{table}"))
+        s = s.join(shared, key, "left")
+        bad = bad | F.coalesce(F.col(f"_{table}"), F.lit(False))
+    s = s.withColumn("_bad", bad)
+    return s.filter(~F.col("_bad")).select(*sheet.columns), s.filter("_bad").select(*sheet.columns)
+
+
 def derive_masters(sheet: DataFrame, T) -> dict[str, DataFrame]:
     """Dimension rows implied by the sheet; the first row of the batch wins per key.
 
@@ -387,7 +410,12 @@ def import_sheet(raw: DataFrame, T, stored: DataFrame | None = None, source_id:
     if strict and rejected.limit(1).count() > 0:
         raise ValueError("sheet has rejected rows; run with strict=False to quarantine them")
     if derive:
-        rows = with_resolved_ids(accepted, T)
+        rows, refused = split_collisions(with_resolved_ids(accepted, T), T)
+        if strict and refused.limit(1).count() > 0:
+            raise ValueError("sheet has codes that share a generated id; run with strict=False to quarantine them")
+        rejected = rejected.unionByName(refused.select(
+            *[c for c in rejected.columns if c not in ("error", "error_count")],
+            F.lit("code shares its generated id with another code").alias("error"), F.lit(1).alias("error_count")))
         masters = merge_masters(derive_masters(rows, T), T)
     else:
         rows = (accepted.withColumn("territory_id", F.lit(None).cast("string"))

@@ -107,3 +107,14 @@ def test_apply_resource_updates_listed_columns_only(spark):
     assert done["upsert"] == [("c1", "new", "S1"), ("c2", "two", "S2"), ("c3", "three", None)]
     assert done["insert_absent"] == [("c1", "old", "S1"), ("c2", "two", "S2"), ("c3", "three", None)]
     assert done["append"] == [("c1", "new", None), ("c1", "old", "S1"), ("c2", "two", "S2"), ("c3", "three", None)]
+
+
+def test_codes_that_share_a_generated_id_are_refused(spark):
+    long = "BENH-VIEN-DA-KHOA-TRUNG-UONG"
+    rows = spark.createDataFrame(
+        [(2, "Ha Noi", "E1", long + "-1", "P1"), (3, "Hà Nội", "E1", long + "-2", "P1"), (4, "Hue", "E1", "C3", "P1")],
+        "source_row long, province string, employee_code string, customer_code string, product_code string")
+    T = _masters(spark)
+    kept, refused = ingest.split_collisions(ingest.with_resolved_ids(rows, T), T)
+    assert [r.source_row for r in kept.collect()] == [4]
+    assert sorted(r.source_row for r in refused.collect()) == [2, 3]
