@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fieldlens.llm import (chat, embedding_dedup, fingerprints, licenses, line_dedup, mixing, ngram_join, packing, quality,
-                           substring_dedup)
+from fieldlens.llm import (chat, embedding_dedup, fingerprints, licenses, line_dedup, mixing, ngram_join, packing, pieces,
+                           quality, substring_dedup)
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8,
     "op9_fingerprints": fingerprints.op9,
     "op10_ngram_join": ngram_join.op10,
+    "op11_pieces": pieces.op11,
 }
 
 ORACLE_SQL = {
