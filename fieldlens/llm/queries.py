@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fieldlens.llm import (chat, embedding_dedup, fingerprints, licenses, line_dedup, mixing, ngram_join, packing, pieces,
-                           quality, substring_dedup)
+                           quality, substring_dedup, whitening)
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_fingerprints": fingerprints.op9,
     "op10_ngram_join": ngram_join.op10,
     "op11_pieces": pieces.op11,
+    "op12_whitening": whitening.op12,
 }
 
 ORACLE_SQL = {
