@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fieldlens.llm import (chat, embedding_dedup, fingerprints, licenses, line_dedup, mixing, ngram_join, packing, pieces,
-                           quality, substring_dedup, whitening)
+from fieldlens.llm import (chat, embedding_dedup, fingerprints, hard_negatives, licenses, line_dedup, mixing, ngram_join,
+                           packing, pieces, quality, substring_dedup, whitening)
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_ngram_join": ngram_join.op10,
     "op11_pieces": pieces.op11,
     "op12_whitening": whitening.op12,
+    "op13_hard_negatives": hard_negatives.op13,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op6_substring_dedup": substring_dedup.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op10_ngram_join": ngram_join.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
