@@ -2,10 +2,11 @@
 
 1. The model file is read on the driver (its few thousand pieces, scores and flags) and broadcast; no executor opens it.
 2. A text is put in the model's form (spaces become U+2581, one is put in front) and cut where no piece of the vocabulary
-   reaches across: before a run of U+2581, if no piece holds one after another sign, and around signs that occur in no
-   longer piece. So the parts' merges don't touch each other, and a part's ids may be remembered (``CACHE_PARTS``).
+   reaches across: before a run of U+2581, if no piece holds one after another sign, around signs that occur in no longer
+   piece, and between a letter and a sign that follows a letter in no piece. So the parts' merges don't touch each other, and a part's ids may be remembered (``CACHE_PARTS``).
 3. Within a part, an agenda holds the adjacent pairs of symbols that are a piece, highest score first, ties by the place
-   further left. Its top is merged, and the new symbol's two pairs come in. Pieces marked unused are taken apart again as they were merged. Symbols outside the vocabulary
+   further left. Its top is merged, and the new symbol's two pairs come in. The new short parts of a batch go side by
+   side, a row of ranks each; a long part has a heap. Pieces marked unused are taken apart again as they were merged. Symbols outside the vocabulary
    become bytes, or the unknown id (one for a run of them) where the model has no bytes.
 4. Every Arrow batch is encoded and decoded by the sentencepiece library too; ``agrees`` says whether both are equal.
 
@@ -31,12 +32,13 @@ from fieldlens.llm.common import read_table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Parts whose ids a worker remembers (twice as many at most), and the longest of them in signs.
-CACHE_PARTS, CACHE_SIGNS = 150_000, 48
-#: Signs up to which a part's agenda is a list.
-SHORT = 40
+#: Parts whose ids a worker remembers: about twice as many at most, besides those of one slice of ``CHECK_SIGNS``.
+CACHE_PARTS = 150_000
+#: Signs up to which parts are merged side by side, in groups of so many, and remembered; longer ones have a heap.
+SHORT, ROWS = 40, 20_000
+NONE = 1 << 40
 #: Signs of text that go to the library at once.
-CHECK_SIGNS = 2_000_000
+CHECK_SIGNS = 4_000_000
 
 # Fixed values of the model file's format: field numbers of the message and the kinds of pieces and models.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -110,29 +112,41 @@ class Vocabulary:
         self.bytes = [packed(i) for i, k in enumerate(kinds) if k == BYTE] if trainer.get(35) else []
         self.bos, self.eos = packed(trainer.get(41, 1)), packed(trainer.get(42, 2))
         surface = trainer.get(44, b" \xe2\x81\x87 ")
-        self.surface = [b"" if k == CONTROL else surface if k == UNKNOWN else bytes([int(n[3:5], 16)]) if k == BYTE
-                        else n.replace(SPACE, " ").encode() for n, k in zip(names, kinds)]
-        self.control = {i for i, k in enumerate(kinds) if k == CONTROL}
-        self.spaced = {i for i, n in enumerate(names) if n.startswith(SPACE) and kinds[i] not in (CONTROL, BYTE)}
+        texts = [b"" if k == CONTROL else surface if k == UNKNOWN else bytes([int(n[3:5], 16)]) if k == BYTE
+                 else n.replace(SPACE, " ").encode() for n, k in zip(names, kinds)]
+        self.n_bytes = np.array([len(t) for t in texts])
+        self.first_byte = np.cumsum(self.n_bytes) - self.n_bytes
+        self.all_bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.control = np.array([k == CONTROL for k in kinds])
+        self.spaced = np.array([n.startswith(SPACE) and k not in (CONTROL, BYTE) for n, k in zip(names, kinds)])
         self.parts = self._cuts()
+        self._tables()
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _cuts(self) -> re.Pattern:
         long = [n for n in self.ids if len(n) > 1]
         joined = set("".join(long))
-        signs = "".join(re.escape(c) for c in sorted(joined - {SPACE}))
+        signs = joined - {SPACE}
+
+        def one_of(some):
+            return "[" + "".join(re.escape(c) for c in sorted(some)) + "]"
         if not signs:
             return re.compile(f"{SPACE}+|.", re.S)
         if any(SPACE in n.lstrip(SPACE) for n in long):
-            return re.compile(f"[{signs}{SPACE}]+|.", re.S)
-        return re.compile(f"{SPACE}*[{signs}]+|{SPACE}+|.", re.S)
+            return re.compile(f"{one_of(joined)}+|.", re.S)
+        letters = {c for c in signs if c.isalpha()}
+        after_letter = {b for n in long for a, b in zip(n, n[1:]) if a in letters}
+        # Letters end a part before a sign that no piece has right after a letter.
+        words = [f"{SPACE}*{one_of(signs - letters)}*+{one_of(letters)}++(?={one_of(signs - after_letter)})"] \
+            if letters and signs - letters and signs - after_letter else []
+        return re.compile("|".join([*words, f"{SPACE}*{one_of(signs)}+", f"{SPACE}+", "."]), re.S)
 
     def merge(self, part: str) -> list[str]:
         """The symbols of a part after all merges, in order."""
         symbols, apart = list(part), {}
         if len(symbols) > 1:
-            (self._merge_short if len(symbols) <= SHORT else self._merge_long)(symbols, apart)
+            self._merge(symbols, apart)
         if not apart:
             return [s for s in symbols if s]
         out = []
@@ -146,28 +160,8 @@ class Vocabulary:
                     out.append(s)
         return out
 
-    def _merge_short(self, symbols: list[str], apart: dict):
-        """The agenda of a short part is a list with the cost (score negated) of each adjacent pair, searched for its
-        least and first entry."""
-        cost, none = self.costs.get, float("inf")
-        agenda = [cost(a + b, none) for a, b in zip(symbols, symbols[1:])]
-        while agenda:
-            least = min(agenda)
-            if least == none:
-                break
-            p = agenda.index(least)
-            both = symbols[p] + symbols[p + 1]
-            if self.unused and both in self.unused:
-                apart[both] = symbols[p], symbols[p + 1]
-            symbols[p:p + 2] = [both]
-            del agenda[p]
-            if p:
-                agenda[p - 1] = cost(symbols[p - 1] + both, none)
-            if p < len(agenda):
-                agenda[p] = cost(both + symbols[p + 1], none)
-
-    def _merge_long(self, symbols: list[str], apart: dict):
-        """The agenda of a long part is a heap; merged symbols leave an empty one behind, stale entries are passed over."""
+    def _merge(self, symbols: list[str], apart: dict):
+        """The agenda is a heap; merged symbols leave an empty one behind, stale entries are passed over."""
         n, costs = len(symbols), self.costs
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = []
@@ -192,55 +186,153 @@ class Vocabulary:
             if before[left] >= 0:
                 add(before[left], left)
 
+    def _tables(self):
+        """Arrays for ``merge_many``: a number for each symbol, the pairs of symbols that make a piece, sorted."""
+        signs = sorted(set("".join(self.ids)))
+        names = [*self.ids, *(c for c in signs if c not in self.ids)]
+        number = {n: k for k, n in enumerate(names)}
+        self.n_symbols = len(names)
+        self.sign = np.full(0x110000, -1, np.int64)
+        for c in signs:
+            self.sign[ord(c)] = number[c]
+        rank = {c: k for k, c in enumerate(sorted(set(self.costs.values())))}
+        pairs = sorted((number[n[:k]] * self.n_symbols + number[n[k:]], number[n], rank[self.costs[n]])
+                       for n in self.ids for k in range(1, len(n)) if n[:k] in number and n[k:] in number)
+        none = (1 << 62, -1, NONE)  # what a pair outside the table finds
+        self.pair, self.made, self.rank = (np.array(c, np.int64) for c in zip(*pairs, none))
+        out = [self.packed.get(n) or self._outside(n) for n in names]
+        self.n_ids = np.array([len(o) // 4 for o in out])
+        self.first_id = np.cumsum(self.n_ids) - self.n_ids
+        self.symbol_ids = np.frombuffer(b"".join(out), "<u4")
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank of the score, symbol made) of adjacent symbols; NONE where they are no piece."""
+        key = np.where((left >= 0) & (right >= 0), left * self.n_symbols + right, -1)
+        at = np.searchsorted(self.pair, key)
+        at[self.pair[at] != key] = len(self.pair) - 1
+        return self.rank[at], self.made[at]
+
+    def merge_many(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of parts whose signs all occur in pieces. Every row has its own agenda, the ranks of its adjacent
+        pairs in order; a round merges the first of the best ranked pairs of every row that has one."""
+        n = len(parts)
+        sizes = np.fromiter(map(len, parts), np.int64, n)
+        width = int(sizes.max()) + 1  # a column of none at the end
+        symbols = np.full((n, width), -1, np.int64)
+        inside = np.arange(width) < sizes[:, None]
+        symbols[inside] = self.sign[np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")]
+        agenda, _ = self._rank(symbols[:, :-1], symbols[:, 1:])
+        rows = np.arange(n)  # that may still have a pair
+        while len(rows):
+            at = agenda.argmin(axis=1)
+            own = np.arange(len(rows))
+            some = agenda[own, at] < NONE
+            if not some.all():
+                rows, at, agenda = rows[some], at[some], agenda[some]
+                own = np.arange(len(rows))
+                if not len(rows):
+                    break
+            now = symbols[rows]
+            _, made = self._rank(now[own, at], now[own, at + 1])
+            place = np.arange(width)
+            source = np.minimum(place + (place > at[:, None]), width - 1)
+            now = np.take_along_axis(now, source, axis=1)
+            now[own, at] = made
+            now[:, -1] = -1
+            symbols[rows] = now
+            place = np.arange(width - 1)
+            source = np.minimum(place + (place > at[:, None]), width - 2)
+            agenda = np.take_along_axis(agenda, source, axis=1)
+            agenda[:, -1] = NONE
+            agenda[own, at] = self._rank(now[own, at], now[own, at + 1])[0]
+            before = at > 0
+            agenda[own[before], at[before] - 1] = self._rank(now[own[before], at[before] - 1], now[own[before], at[before]])[0]
+        flat = symbols[symbols >= 0]
+        many = self.n_ids[flat]
+        starts = np.repeat(self.first_id[flat] - (np.cumsum(many) - many), many)
+        data = self.symbol_ids[starts + np.arange(len(starts))].tobytes()
+        held = np.add.reduceat(many, np.concatenate(([0], np.cumsum((symbols >= 0).sum(axis=1))[:-1])))
+        ends = (4 * np.cumsum(held)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
     def part_ids(self, part: str) -> bytes:
-        """Packed ids of a part. Remembered parts are in two generations: the older one goes when the newer is full."""
-        known = self.older.get(part)
-        if known is not None:
-            self._remember(part, known)
-            return known
-        ids = b"".join([self.packed.get(s) or self._outside(s) for s in self.merge(part)])
-        if len(part) <= CACHE_SIGNS:
-            self._remember(part, ids)
-        return ids
+        """Packed ids of one part."""
+        return b"".join([self.packed.get(s) or self._outside(s) for s in self.merge(part)])
+
+    def learn(self, parts: set[str]):
+        """Have the ids of all parts in ``newer``. Parts remembered are in two generations: the older one goes when the
+        newer is full."""
+        if len(self.newer) > CACHE_PARTS:
+            self.older, self.newer = self.newer, {}
+        newer, older = self.newer, self.older
+        short: dict[int, list[str]] = {}
+        for p in parts.difference(newer):
+            if p in older:
+                newer[p] = older[p]
+            elif 1 < len(p) <= SHORT and not self.unused:
+                short.setdefault((len(p) + 3) // 4, []).append(p)
+            else:
+                newer[p] = self.part_ids(p)
+        for some in short.values():
+            for lo in range(0, len(some), ROWS):
+                newer.update(zip(some[lo:lo + ROWS], self.merge_many(some[lo:lo + ROWS])))
 
     def _outside(self, sign: str) -> bytes:
         return b"".join([self.bytes[b] for b in sign.encode()]) if self.bytes else self.unknown
 
-    def _remember(self, part: str, ids: bytes):
-        if len(self.newer) >= CACHE_PARTS:
-            self.older = dict(self.newer)
-            self.newer.clear()
-        self.newer[part] = ids
-
-    def encode(self, text: str, bos: bool = True, eos: bool = True) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text."""
-        form = text.replace(" ", SPACE)
-        if form and self.prefix:
-            form = SPACE + form
-        known, new = self.newer.get, self.part_ids
-        body = b"".join([known(m) or new(m) for m in self.parts.findall(form)])
-        if not self.bytes:
-            ids = np.frombuffer(body, "<u4")
-            unknown = ids == np.frombuffer(self.unknown, "<u4")
-            again = unknown[1:] & unknown[:-1]
-            body = ids[np.concatenate(([True], ~again))[:len(ids)]].tobytes()
-        return (self.bos if bos else b"") + body + (self.eos if eos else b"")
-
-    def decode(self, ids: bytes) -> str:
-        ids = np.frombuffer(ids, "<u4").tolist()
-        if ids and max(ids) >= len(self.surface):
-            raise ValueError(f"id {max(ids)} is outside the vocabulary")
-        runs = [[]]  # of ids between control ids, over which no sign's bytes reach
-        for i in ids:
-            if i in self.control:
-                runs.append([])
-            else:
-                runs[-1].append(i)
-        runs = [r for r in runs if r]
-        texts = [b"".join([self.surface[i] for i in r]) for r in runs]
-        if runs and self.prefix and runs[0][0] in self.spaced:
-            texts[0] = texts[0][1:]
-        return "".join(t.decode("utf-8", "each_byte") for t in texts)
+    def encode(self, texts: list[str], bos: bool = True, eos: bool = True) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of texts."""
+        forms = [t.replace(" ", SPACE) for t in texts]
+        cut = [self.parts.findall(SPACE + f if f and self.prefix else f) for f in forms]
+        parts = set().union(*cut)
+        self.learn(parts)
+        known, out = self.newer.__getitem__, []
+        for c in cut:
+            body = b"".join(map(known, c))
+            if not self.bytes:
+                ids = np.frombuffer(body, "<u4")
+                unknown = ids == np.frombuffer(self.unknown, "<u4")
+                body = ids[np.concatenate(([True], ~(unknown[1:] & unknown[:-1])))[:len(ids)]].tobytes()
+            out.append((self.bos if bos else b"") + body + (self.eos if eos else b""))
+        for p in parts:
+            if len(p) > SHORT:
+                self.newer.pop(p, None)
+        return out
+
+    def decode(self, packed_ids: list[bytes]) -> list[str]:
+        """The texts of packed ids: the bytes of all pieces are gathered at once and split by text."""
+        sizes = np.array([len(p) // 4 for p in packed_ids], np.int64)
+        ids = np.frombuffer(b"".join(packed_ids), "<u4").astype(np.int64)
+        if not len(ids):
+            return [""] * len(packed_ids)
+        if ids.max() >= len(self.control):
+            raise ValueError(f"id {ids.max()} is outside the vocabulary")
+        control = self.control[ids]
+        many = self.n_bytes[ids]
+        at = np.cumsum(sizes) - sizes
+        if self.prefix:  # the space in front of a text's first piece
+            first = np.minimum.reduceat(np.where(control, len(ids), np.arange(len(ids))), at[sizes > 0])
+            first = first[first < len(ids)]
+            first = first[self.spaced[ids[first]]]
+            many[first] -= 1
+        else:
+            first = ids[:0]
+        skip = np.zeros(len(ids), np.int64)
+        skip[first] = 1
+        ends = np.cumsum(many)
+        source = np.repeat(self.first_byte[ids] + skip - (ends - many), many)
+        data = self.all_bytes[source + np.arange(len(source))].tobytes()
+        ends = np.concatenate(([0], ends))
+        inner = control.copy()
+        inner[at[sizes > 0]] = inner[(at + sizes - 1)[sizes > 0]] = False
+        split = set((np.searchsorted(at, np.flatnonzero(inner), side="right") - 1).tolist())
+        out = []
+        for k, (a, b) in enumerate(zip(ends[at].tolist(), ends[at + sizes].tolist())):
+            cuts = [a, b]
+            if k in split:  # no sign's bytes reach over a control id
+                cuts[1:1] = ends[at[k] + np.flatnonzero(inner[at[k]:at[k] + sizes[k]])].tolist()
+            out.append("".join([data[x:y].decode("utf-8", "each_byte") for x, y in zip(cuts, cuts[1:])]))
+        return out
 
 
 _VOCABULARIES: dict[int, tuple] = {}
@@ -291,10 +383,10 @@ def encode_texts(docs: DataFrame, text_col: str = "text", model: str = MODEL, bo
         texts = ["" if t is None else t for t in column.to_pylist()]
         for lo, hi in _slices([len(t) for t in texts]):
             some = texts[lo:hi]
-            ids = [own.encode(t, bos, eos) for t in some]
-            decoded = [own.decode(i) for i in ids]
-            theirs = library.encode(some, add_bos=bos, add_eos=eos, num_threads=1)
-            same = [np.array(a, "<u4").tobytes() == b and d == e for a, b, d, e in
+            ids = own.encode(some, bos, eos)
+            decoded = own.decode(ids)
+            theirs = library.encode(some, out_type="numpy", add_bos=bos, add_eos=eos, num_threads=1)
+            same = [a.astype("<u4").tobytes() == b and d == e for a, b, d, e in
                     zip(theirs, ids, decoded, library.decode(theirs, num_threads=1))]
             parts.append(pa.StructArray.from_arrays(
                 [pa.array(ids, pa.binary()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())],
@@ -311,7 +403,12 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", model: str = MODEL, out: s
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
         own, _ = _loaded(sent)
-        return pa.array([None if i is None else own.decode(i) for i in column.to_pylist()], pa.string())
+        values = column.to_pylist()
+        parts = []
+        for lo, hi in _slices([len(i or b"") for i in values]):
+            texts = own.decode([i or b"" for i in values[lo:hi]])
+            parts += [None if i is None else t for i, t in zip(values[lo:hi], texts)]
+        return pa.array(parts, pa.string())
     return rows.withColumn(out, decoded(F.col(ids_col)))
 
 

@@ -66,12 +66,12 @@ def test_random_texts_and_ids(model, library):
         else:
             text = "".join(chr(rng.choice([rng.randrange(1, 0x250), rng.randrange(0xe000, 0x20000)])) for _ in range(20))
         ids = library.encode(text)
-        assert model.encode(text, bos=False, eos=False) == packed(ids), text
-        assert model.decode(packed(ids)) == library.decode(ids), text
+        assert model.encode([text], bos=False, eos=False) == [packed(ids)], text
+        assert model.decode([packed(ids), b""]) == [library.decode(ids), ""], text
         ids = [rng.choice([rng.randrange(32000), rng.randrange(300), 1, 2]) for _ in range(rng.randrange(8))]
-        assert model.decode(packed(ids)) == library.decode(ids), ids
+        assert model.decode([b"", packed(ids), packed(ids)]) == ["", library.decode(ids), library.decode(ids)], ids
     with pytest.raises(ValueError, match="outside the vocabulary"):
-        model.decode(packed([32000]))
+        model.decode([packed([32000])])
 
 
 def brute(model, text):
@@ -88,20 +88,23 @@ def brute(model, text):
 def test_agenda_equals_brute_force(model, monkeypatch):
     text = "an agenda of  pairs, merged\nby score; antidisestablishmentarianism über   alles"
     want = brute(model, text)
-    for short in (0, 40, 1000):
+    parts = model.parts.findall("▁" + text.replace(" ", "▁"))
+    assert [s for part in parts for s in model.merge(part)] == want
+    some = [p for p in parts if len(p) > 1]
+    assert model.merge_many(some) == [b"".join(model.packed[s] for s in model.merge(p)) for p in some]
+    ids = b"".join(model.packed[s] if s in model.packed else b"".join(model.bytes[b] for b in s.encode()) for s in want)
+    for short, parts_kept in ((0, 3), (5, 0), (40, 100_000)):
         monkeypatch.setattr(pieces, "SHORT", short)
-        got = [s for part in model.parts.findall("▁" + text.replace(" ", "▁")) for s in model.merge(part)]
-        assert got == want
+        monkeypatch.setattr(pieces, "CACHE_PARTS", parts_kept)
+        assert model.encode([text, "", text], bos=False, eos=False) == [ids, b"", ids]
 
 
-def test_unused_pieces_are_taken_apart(monkeypatch):
+def test_unused_pieces_are_taken_apart():
     model = pieces.Vocabulary(pieces.model_bytes())
-    whole = model.merge("▁the")
-    assert whole == ["▁the"]
+    assert model.merge("▁the") == ["▁the"]
     model.unused = {"▁the"}
-    for short in (0, 40):
-        monkeypatch.setattr(pieces, "SHORT", short)
-        assert model.merge("▁the") == ["▁t", "he"]
+    assert model.merge("▁the") == ["▁t", "he"]
+    assert model.encode(["the the"], bos=False, eos=False) == [2 * (model.packed["▁t"] + model.packed["he"])]
 
 
 def test_other_models_are_refused():
