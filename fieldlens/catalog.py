@@ -26,6 +26,7 @@ from fieldlens.plans import alerts, changes, dashboard, ingest, listing, sales
 from fieldlens.schema import MONEY, RESOURCES, SHEET_HEADERS, SHEET_MONEY
 from fieldlens.session import scratch_path
 from fieldlens.sources import csv as csvio
+from fieldlens.sources.versions import VersionedTable
 from fieldlens.sources.views import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -671,10 +672,35 @@ def q_changed_rows(spark, d):
     return _snapshot(spark, d)[1].filter(F.col("change") == "updated")
 
 
+#: Rows of the test sheet that go into one CSV file.
+SHEET_FILE_ROWS = 10_000
+
+
+def _sheet_files(spark, T):
+    """The test sheet as CSV files of consecutive rows; (paths, expression for the row's number in the whole sheet)."""
+    folder = scratch_path(spark, "sheet-files") + "/data"
+    row = F.col("source_row") - 2
+    sheet = _numbered(T).withColumn("chunk", F.floor(row / SHEET_FILE_ROWS))
+    (sheet.repartition("chunk").sortWithinPartitions("chunk", "source_row")
+     .select("chunk", *[F.col(f"`{h}`") for h in SHEET_HEADERS]).write.partitionBy("chunk")
+     .option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(folder))
+    chunk = F.regexp_extract("source_file", "chunk=(\\d+)", 1).try_cast("long")
+    return f"{folder}/*/*.csv", (F.coalesce(chunk, F.lit(0)) * SHEET_FILE_ROWS + F.col("source_row")).alias("source_row")
+
+
 @register("sheet_import")
 def q_sheet_import(spark, d):
-    return _snapshot(spark, d)[0].select("source_id", "source_row", "employee_id", "customer_id", "product_id",
-                                         "period", "sales", "row_hash")
+    """A stored sheet of two sources; the files of one are imported and swapped in, the pointer is read."""
+    T = _t(spark, d)
+    table = VersionedTable(spark, scratch_path(spark, "sheet-table") + "/sheet")
+    previous = _previous(T, _resolved(T)).withColumn("batch_id", F.lit("run-0"))
+    for source in ("other", "sheet"):
+        table.replace(ingest.stored_sheet(previous.filter(F.col("source_id") == source).drop("source_id"), source),
+                      source, ["period"])
+    paths, row = _sheet_files(spark, T)
+    ingest.import_files_to_table(table, paths, T, "sheet", "run-1")
+    return VersionedTable(spark, table.root).read().select("source_id", row, "employee_id", "customer_id", "product_id",
+                                                           "period", "sales", "row_hash")
 
 
 # ----------------------------------------------------------- standard imports
@@ -808,10 +834,21 @@ def q_export_snapshot(spark, d):
 
 @register("upsert_written")
 def q_upsert_written(spark, d):
-    """M1 written: the manual table stored by period, a change batch rewrites touched periods only."""
+    """M1 written: the manual table stored by period; a change batch rewrites the files that hold its keys."""
+    T = _t(spark, d)
+    table = VersionedTable(spark, scratch_path(spark, "manual-table") + "/manual_sales")
+    table.replace(T.manual_sales, partition_cols=["period"])
+    table.upsert(manual_changes(T), ["period", "customer_id", "product_id"], "seq", ["period"])
+    return table.read().select("period", "customer_id", "product_id", "employee_id", "amount", "source_note")
+
+
+@register("upsert_moved")
+def q_upsert_moved(spark, d):
+    """M1 written: the latest manual sale of each customer and product, stored by period; changes move it on."""
     T = _t(spark, d)
-    path = scratch_path(spark, "manual-table") + "/manual_sales"
-    T.manual_sales.write.mode("overwrite").partitionBy("period").parquet(path)
-    merge.write_upsert(spark, path, manual_changes(T), ["period", "customer_id", "product_id"], "seq", ["period"])
-    stored = spark.read.parquet(path)
-    return stored.select("period", "customer_id", "product_id", "employee_id", "amount", "source_note")
+    keys = ["customer_id", "product_id"]
+    table = VersionedTable(spark, scratch_path(spark, "latest-table") + "/latest_sales")
+    table.replace(latest_per_key(T.manual_sales, keys, ["period"]), partition_cols=["period"])
+    changes = manual_changes(T).withColumn("seq", F.struct("period", "seq"))
+    table.upsert(changes, keys, "seq", ["period"])
+    return table.read().select("period", "customer_id", "product_id", "employee_id", "amount", "source_note")

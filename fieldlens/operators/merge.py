@@ -192,12 +192,15 @@ def write_upsert(spark, path: str, changes: DataFrame, keys, seq, partition_cols
     The stored rows of the touched partitions are read, merged with the
     changes, cut from their lineage (checkpoint in the shared folder, so the
     job never reads and overwrites the same files) and written back with
-    dynamic partition overwrite: untouched partitions are not rewritten. A
-    change that moves a key to another partition must come with the key's
-    old partition value in ``changes`` (locate it with a key join first).
+    dynamic partition overwrite: untouched partitions are not rewritten. The
+    partition columns must be among ``keys``: a change can't move a key, and a
+    reader may meet the folder half overwritten. ``sources.versions`` has
+    neither limit.
     """
     from fieldlens.session import checkpoint_dir
     partition_cols = list(partition_cols)
+    if not set(partition_cols) <= set(keys):
+        raise ValueError("a key could move between partitions: use VersionedTable.upsert")
     stored = spark.read.parquet(path)
     touched = changes.select(*partition_cols).distinct()
     old = stored.join(touched, partition_cols, "left_semi")

@@ -358,6 +358,12 @@ def build_maintenance() -> None:
         "order_key DESC, line_number DESC, sales DESC"))
     cust_cols = ["customer_id", "customer_name", "customer_type", "territory_id", "status", "sale_code", "sale_group"]
     ORACLE["upsert_written"] = ORACLE["upsert_manual"]
+    q("upsert_moved", _upsert_sql("""(SELECT * FROM v_manual_sales
+        QUALIFY row_number() OVER (PARTITION BY customer_id, product_id ORDER BY period DESC) = 1)""", manual_cols, """
+        SELECT period, customer_id, product_id, employee_id, CAST(abs(sales) AS DECIMAL(14,2)) AS amount,
+               'Import website' AS source_note, order_key, line_number, sales
+        FROM v_sheet_sales WHERE order_key % 13 = 0""", ["customer_id", "product_id"],
+        "period DESC, order_key DESC, line_number DESC, sales DESC"))
     q("upsert_customer", _upsert_sql("v_customer", cust_cols, f"""
         SELECT customer_id, upper(customer_name) AS customer_name, customer_type, territory_id,
                'Inactive' AS status, sale_code, sale_group, 1 AS seq FROM v_customer WHERE customer_id % 10 = 0

@@ -545,8 +545,7 @@ def import_sheet_files(spark, paths, T, stored: DataFrame | None = None, source_
     """I1 from files: read the sheet CSVs, number rows from 2 in each file's order, import.
 
     Numbering uses the scan's own splits (no sort); the source row key becomes
-    (file, row). The numbered text is staged before the parse: over the scan itself
-    the optimizer would merge the trimming into every stage of the parse.
+    (file, row). The numbered text is staged before the parse.
     """
     from fieldlens.sources.csv import read_resource_csv
     path = paths if isinstance(paths, str) else list(paths)
@@ -554,3 +553,36 @@ def import_sheet_files(spark, paths, T, stored: DataFrame | None = None, source_
     numbered = with_source_row_number(raw, start=2, path_col="source_file")
     return import_sheet(numbered, T, stored=stored, source_id=source_id, strict=strict, derive=derive,
                         run_id=run_id)
+
+
+#: Columns of the stored sheet: the source and its rows with their resolved ids.
+STORED_SHEET = ["source_id", "source_file", "source_row", *HASHED, "period", "territory_id", "employee_id", "customer_id",
+                "product_id", "row_hash", "batch_id"]
+
+
+def stored_sheet(rows: DataFrame, source_id: str) -> DataFrame:
+    """Imported rows in the columns of the stored sheet table."""
+    given = rows.columns
+    return rows.select(F.lit(source_id).alias("source_id"),
+                       *[F.col(c) if c in given else F.lit(None).cast("string").alias(c) for c in STORED_SHEET[1:]])
+
+
+def import_files_to_table(table, paths, T, source_id: str, run_id: str, strict: bool = False, derive: bool = True,
+                          multi_line: bool = False) -> ImportResult:
+    """I1 and M3 written: import the sheet CSVs and swap them in for all rows of their source in a versioned table.
+
+    ``table`` is a ``VersionedTable``. The new rows are written once; the diff against the version before and the log
+    read what is written. The table changes by the commit alone, so a failure on the way leaves the old version.
+    """
+    spark = table.spark
+    base = table.current()
+    result = import_sheet_files(spark, paths, T, source_id=source_id, strict=strict, derive=derive, run_id=run_id,
+                                multi_line=multi_line)
+    manifest = table.replace(stored_sheet(result.sheet, source_id), source_id, ["period"],
+                             note={"run": run_id})
+    mine = [p for p, g in manifest.files.items() if g == source_id]
+    rows = table.read(manifest.version, mine)
+    before = table.read(base.version, [p for p, g in base.files.items() if g == source_id]) if base else rows.limit(0)
+    _, diff = replace_snapshot(before, rows.drop("source_id"), source_id, ROW_IDENTITY)
+    return ImportResult(table.read(manifest.version), result.rejected, diff, result.masters,
+                        log_batch(None, run_id, rows, "Completed"))
