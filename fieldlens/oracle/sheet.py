@@ -34,9 +34,22 @@ def vn2(x: str) -> str:
     return f"translate(format('{{:,.2f}}', {x}), ',.', '.,')"
 
 
-def slug(x: str) -> str:
+def whole_slug(x: str) -> str:
     s = f"upper(replace(replace(strip_accents(coalesce({x}, '')), 'đ', 'd'), 'Đ', 'd'))"
-    return f"left(regexp_replace(regexp_replace({s}, '[^A-Z0-9]+', '_', 'g'), '^_|_$', '', 'g'), 28)"
+    return f"regexp_replace(regexp_replace({s}, '[^A-Z0-9]+', '_', 'g'), '^_|_$', '', 'g')"
+
+
+def slug(x: str) -> str:
+    return f"left({whole_slug(x)}, 28)"
+
+
+def own_ids(prefix: str, code: str, known: str | None) -> str:
+    """(code, id) of the sheet's codes that ``known`` (a table with sale_code) lacks; every code has an id of its own."""
+    absent = "" if known is None else f"WHERE NOT EXISTS (SELECT 1 FROM {known} k WHERE k.sale_code = c.code)"
+    return f"""(SELECT code, CASE WHEN code = min(code) OVER (PARTITION BY base) THEN base
+                ELSE base || '_' || upper(left(sha256(code), 16)) END AS id
+                FROM (SELECT code, '{prefix}' || {slug('code')} AS base
+                      FROM (SELECT DISTINCT {code} AS code FROM v_sheet_accepted) c {absent}))"""
 
 
 def pad(x: str) -> str:
@@ -113,7 +126,9 @@ def register_views() -> None:
           AS raw_emp_code,
         employee_name AS raw_emp_name, province AS raw_province, {group} AS raw_group,
         CASE WHEN order_key % 97 = 0 THEN '13' ELSE CAST(month AS VARCHAR) END AS raw_month,
-        CAST(year AS VARCHAR) AS raw_year, customer_code AS raw_cust_code,
+        CAST(year AS VARCHAR) AS raw_year,
+        CASE WHEN customer_id % 41 = 0 THEN 'Nhà thuốc Trung Tâm - chi nhánh số ' || CAST(customer_id AS VARCHAR)
+             ELSE customer_code END AS raw_cust_code,
         CASE WHEN customer_id % 31 = 0 THEN '' ELSE customer_name END AS raw_cust_name,
         {date_text} AS raw_doc_date, external_doc AS raw_ext_doc, product_code AS raw_prod_code,
         product_name AS raw_prod_name, unit AS raw_unit,
@@ -168,14 +183,16 @@ def register_views() -> None:
         f"(SELECT sale_code, min(CAST({view[2:]}_id AS VARCHAR)) AS mid FROM {view} "
         f"WHERE sale_code IS NOT NULL GROUP BY sale_code)")
     register("v_sheet_resolved", f"""
-      SELECT a.*, 'SALE_DB_' || {slug('a.province')} AS territory_id,
-             coalesce(e.mid, 'SALE_NV_' || {slug('a.employee_code')}) AS employee_id,
-             coalesce(c.mid, 'SALE_KH_' || {slug('a.customer_code')}) AS customer_id,
-             coalesce(p.mid, 'SALE_SP_' || {slug('a.product_code')}) AS product_id
+      SELECT a.*, t.id AS territory_id, coalesce(e.mid, ge.id) AS employee_id, coalesce(c.mid, gc.id) AS customer_id,
+             coalesce(p.mid, gp.id) AS product_id
       FROM v_sheet_accepted a
       LEFT JOIN {ids('v_employee', '', '')} e ON e.sale_code = a.employee_code
       LEFT JOIN {ids('v_customer', '', '')} c ON c.sale_code = a.customer_code
-      LEFT JOIN {ids('v_product', '', '')} p ON p.sale_code = a.product_code""")
+      LEFT JOIN {ids('v_product', '', '')} p ON p.sale_code = a.product_code
+      LEFT JOIN {own_ids('SALE_DB_', whole_slug('province'), None)} t ON t.code = {whole_slug('a.province')}
+      LEFT JOIN {own_ids('SALE_NV_', 'employee_code', 'v_employee')} ge ON ge.code = a.employee_code
+      LEFT JOIN {own_ids('SALE_KH_', 'customer_code', 'v_customer')} gc ON gc.code = a.customer_code
+      LEFT JOIN {own_ids('SALE_SP_', 'product_code', 'v_product')} gp ON gp.code = a.product_code""")
     # Previous version of the stored sheet: most rows, some with other sales, some gone since, one other source.
     register("v_sheet_prev", f"""
       WITH base AS (

@@ -18,16 +18,17 @@ from pyspark.sql import functions as F
 from fieldlens.functions.dates import parse_doc_date
 from fieldlens.functions.numbers import js_trim, locale_number, strict_number, with_locale_numbers
 from fieldlens.functions.text import (customer_type, normalise_role, normalise_status, pad_code, parse_bool,
-                                      pick, slug, surrogate)
+                                      pick, slug)
+from fieldlens.operators.codebook import assign_ids, record, stored_book
 from fieldlens.operators.keys import first_per_key
 from fieldlens.operators.merge import insert_absent, upsert
-from fieldlens.operators.quality import surrogate_collisions
 from fieldlens.schema import (COEFFICIENT, PREFIX_CUSTOMER, PREFIX_EMPLOYEE, PREFIX_PRODUCT, PREFIX_TERRITORY,
                               RESOURCES, SHEET_EMAIL_DOMAIN, SHEET_HEADERS, SHEET_MONEY,
                               SHEET_PRODUCT_DOSAGE_CODE, SHEET_PRODUCT_DOSAGE_FORM, SHEET_QTY, SHEET_REGION,
                               ResourceSpec)
 from fieldlens.session import checkpoint_dir
 from fieldlens.sources.rownum import with_source_row_number
+from fieldlens.sources.versions import VersionedTable
 
 H = dict(zip(["manager", "emp_code", "emp_name", "province", "group", "month", "year", "cust_code",
               "cust_name", "doc_date", "ext_doc", "prod_code", "prod_name", "unit", "qty", "price",
@@ -41,6 +42,8 @@ GROUP_TEXT = {
     "AUTOMOBILE": "Bệnh viện tỉnh",
     "FURNITURE": "Nhà thuốc & Quầy thuốc tư nhân, Phòng khám",
 }
+# Codes of branches that agree in all the signs that a generated id keeps (test fixture value).
+BRANCH_CODE = "Nhà thuốc Trung Tâm - chi nhánh số "
 RAW_ORDER = ["order_key", "line_number", "product_id", "employee_id", "customer_id", "quantity", "revenue",
              "coefficient", "sales"]
 
@@ -81,7 +84,8 @@ def sheet_raw(T, detail: DataFrame | None = None) -> DataFrame:
         group.alias(H["group"]),
         F.when(F.col("order_key") % 97 == 0, F.lit("13")).otherwise(F.col("month").cast("string")).alias(H["month"]),
         F.col("year").cast("string").alias(H["year"]),
-        F.col("customer_code").alias(H["cust_code"]),
+        F.when(F.col("customer_id") % 41 == 0, F.concat(F.lit(BRANCH_CODE), F.col("customer_id").cast("string")))
+         .otherwise(F.col("customer_code")).alias(H["cust_code"]),
         F.when(F.col("customer_id") % 31 == 0, F.lit("")).otherwise(F.col("customer_name")).alias(H["cust_name"]),
         date_text.alias(H["doc_date"]),
         F.col("external_doc").alias(H["ext_doc"]),
@@ -217,51 +221,49 @@ def _masters_as_text(T):
     }
 
 
-def resolve_codes(df: DataFrame, master: DataFrame, code_col: str, id_col: str, prefix: str,
-                  out: str | None = None) -> DataFrame:
-    """Sheet code -> existing master id by sale code, else prefix + slug(code).
-
-    The master side is reduced to distinct (sale code, id) first; for a
-    sale code held by several masters (a data error Q4 reports) the smallest
-    id wins, so the join never multiplies rows.
-    """
-    out = out or id_col
-    codes = (master.filter(F.col("sale_code").isNotNull())
-             .groupBy("sale_code").agg(F.min(id_col).alias("_mid")))
-    j = df.join(codes, df[code_col] == codes.sale_code, "left")
-    return j.withColumn(out, F.coalesce(F.col("_mid"), surrogate(prefix, F.col(code_col)))) \
-        .drop("_mid", "sale_code")
-
-
-def with_resolved_ids(sheet: DataFrame, T) -> DataFrame:
-    m = _masters_as_text(T)
-    s = sheet.withColumn("territory_id", surrogate(PREFIX_TERRITORY, F.col("province")))
-    s = resolve_codes(s, m["employee"], "employee_code", "employee_id", PREFIX_EMPLOYEE)
-    s = resolve_codes(s, m["customer"], "customer_code", "customer_id", PREFIX_CUSTOMER)
-    s = resolve_codes(s, m["product"], "product_code", "product_id", PREFIX_PRODUCT)
-    return s
+#: Kinds of codes of a sheet: column with the code, prefix of generated ids.
+CODE_KINDS = {"territory": ("province", PREFIX_TERRITORY), "employee": ("employee_code", PREFIX_EMPLOYEE),
+              "customer": ("customer_code", PREFIX_CUSTOMER), "product": ("product_code", PREFIX_PRODUCT)}
 
 
-def split_collisions(sheet: DataFrame, T) -> tuple[DataFrame, DataFrame]:
-    """(rows, refused rows) of a resolved sheet: ids are cut slugs, and codes that share one would merge masters.
+def code_map(sheet: DataFrame, T, book: DataFrame | None = None) -> DataFrame:
+    """(kind, name, code, id) of every distinct code of a sheet: the master's id by sale code (the smallest, if several
+    hold one), else the book's, else a generated one that no other code has. A province's code is its whole slug: other
+    spellings of one name are one territory.
 
-    A code is compared with the sheet's and the masters' other codes of its id. Provinces are compared by their whole
-    slug and within the sheet only: other spellings of one name are one territory.
+    The sheet is read once for its distinct codes; all else runs on these.
     """
     m = _masters_as_text(T)
-    s = sheet.withColumn("_whole", slug(F.col("province"), 1 << 30))
-    bad = F.lit(False)
-    for table, code in (("territory", "_whole"), ("employee", "employee_code"), ("customer", "customer_code"),
-                        ("product", "product_code")):
-        key = f"{table}_id"
-        codes = s.select(key, F.col(code).alias("_code"))
-        if table != "territory":
-            codes = codes.unionByName(m[table].select(key, F.col("sale_code").alias("_code")))
-        shared = surrogate_collisions(codes.distinct(), key, "_code").select(key, F.lit(True).alias(f"_{table}"))
-        s = s.join(shared, key, "left")
-        bad = bad | F.coalesce(F.col(f"_{table}"), F.lit(False))
-    s = s.withColumn("_bad", bad)
-    return s.filter(~F.col("_bad")).select(*sheet.columns), s.filter("_bad").select(*sheet.columns)
+    names = (sheet.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("name"))
+                                              for k, (c, _) in CODE_KINDS.items()])).alias("n")).select("n.*").distinct())
+    names = names.withColumn("code", F.when(F.col("kind") == "territory", slug("name", 1 << 30)).otherwise(F.col("name")))
+    masters = [m[k].where(F.col("sale_code").isNotNull()).groupBy(F.col("sale_code").alias("code"))
+               .agg(F.min(f"{k}_id").alias("id")).select(F.lit(k).alias("kind"), "code", "id")
+               for k in CODE_KINDS if k != "territory"]
+    known = reduce(DataFrame.unionByName, masters)
+    if book is not None:
+        known = known.unionByName(book.join(known, ["kind", "code"], "left_anti").select("kind", "code", "id"))
+    taken = reduce(DataFrame.unionByName, [m[k].select(F.lit(k).alias("kind"), F.col(f"{k}_id").alias("id"))
+                                           for k in CODE_KINDS if k != "territory"])
+    ids = assign_ids(names.select("kind", "code"), {k: p for k, (_, p) in CODE_KINDS.items()}, known, taken)
+    return names.join(ids, ["kind", "code"]).select("kind", "name", "code", "id")
+
+
+def with_resolved_ids(sheet: DataFrame, T, book: VersionedTable | None = None) -> DataFrame:
+    """The sheet with its territory, employee, customer and product ids.
+
+    The map of distinct codes is cut from its lineage once and joined by name; Spark broadcasts it by its size. With a
+    ``book`` (a versioned table) generated ids are kept there and read from there by later batches.
+    """
+    checkpoint_dir(sheet.sparkSession)
+    ids = code_map(sheet, T, None if book is None else stored_book(book)).checkpoint(eager=True)
+    if book is not None:
+        prefix = F.coalesce(*[F.when(F.col("kind") == k, F.lit(p)) for k, (_, p) in CODE_KINDS.items()])
+        record(book, ids.where(F.startswith("id", prefix)).select("kind", "code", "id").distinct())
+    for kind, (name, _) in CODE_KINDS.items():
+        own = ids.where(F.col("kind") == kind).select(F.col("name").alias("_name"), F.col("id").alias(f"{kind}_id"))
+        sheet = sheet.join(own, sheet[name] == own["_name"], "left").drop("_name")
+    return sheet
 
 
 def derive_masters(sheet: DataFrame, T) -> dict[str, DataFrame]:
@@ -400,7 +402,8 @@ class ImportResult:
 
 
 def import_sheet(raw: DataFrame, T, stored: DataFrame | None = None, source_id: str = "sheet",
-                 strict: bool = False, derive: bool = True, run_id: str = "run") -> ImportResult:
+                 strict: bool = False, derive: bool = True, run_id: str = "run",
+                 book: VersionedTable | None = None) -> ImportResult:
     """Normalise -> resolve/derive masters -> upsert by source row -> replace the snapshot.
 
     ``strict=True`` refuses the whole batch when any row is rejected (the
@@ -410,12 +413,7 @@ def import_sheet(raw: DataFrame, T, stored: DataFrame | None = None, source_id:
     if strict and rejected.limit(1).count() > 0:
         raise ValueError("sheet has rejected rows; run with strict=False to quarantine them")
     if derive:
-        rows, refused = split_collisions(with_resolved_ids(accepted, T), T)
-        if strict and refused.limit(1).count() > 0:
-            raise ValueError("sheet has codes that share a generated id; run with strict=False to quarantine them")
-        rejected = rejected.unionByName(refused.select(
-            *[c for c in rejected.columns if c not in ("error", "error_count")],
-            F.lit("code shares its generated id with another code").alias("error"), F.lit(1).alias("error_count")))
+        rows = with_resolved_ids(accepted, T, book)
         masters = merge_masters(derive_masters(rows, T), T)
     else:
         rows = (accepted.withColumn("territory_id", F.lit(None).cast("string"))
@@ -483,7 +481,7 @@ def apply_resource(target: DataFrame, rows: DataFrame, spec: ResourceSpec, seq:
                   null_safe=spec.mode == "upsert_null_safe")
 
 
-__all__ = ["sheet_raw", "numbered_sheet", "normalise_sheet", "derive_masters", "resolve_codes",
+__all__ = ["sheet_raw", "numbered_sheet", "normalise_sheet", "derive_masters", "with_resolved_ids",
            "replace_snapshot", "import_stats", "sheet_profile", "reconcile_import", "import_sheet",
            "import_resource", "apply_resource", "RESOURCES"]
 
@@ -541,7 +539,7 @@ def import_resource_rows(T, resource: str) -> tuple[DataFrame, DataFrame]:
 
 def import_sheet_files(spark, paths, T, stored: DataFrame | None = None, source_id: str = "sheet",
                        strict: bool = False, derive: bool = True, run_id: str = "run",
-                       multi_line: bool = False) -> ImportResult:
+                       multi_line: bool = False, book: VersionedTable | None = None) -> ImportResult:
     """I1 from files: read the sheet CSVs, number rows from 2 in each file's order, import.
 
     Numbering uses the scan's own splits (no sort); the source row key becomes
@@ -552,7 +550,7 @@ def import_sheet_files(spark, paths, T, stored: DataFrame | None = None, source_
     raw = read_resource_csv(spark, path, multi_line=multi_line, with_file=True)
     numbered = with_source_row_number(raw, start=2, path_col="source_file")
     return import_sheet(numbered, T, stored=stored, source_id=source_id, strict=strict, derive=derive,
-                        run_id=run_id)
+                        run_id=run_id, book=book)
 
 
 #: Columns of the stored sheet: the source and its rows with their resolved ids.
@@ -568,7 +566,7 @@ def stored_sheet(rows: DataFrame, source_id: str) -> DataFrame:
 
 
 def import_files_to_table(table, paths, T, source_id: str, run_id: str, strict: bool = False, derive: bool = True,
-                          multi_line: bool = False) -> ImportResult:
+                          multi_line: bool = False, book: VersionedTable | None = None) -> ImportResult:
     """I1 and M3 written: import the sheet CSVs and swap them in for all rows of their source in a versioned table.
 
     ``table`` is a ``VersionedTable``. The new rows are written once; the diff against the version before and the log
@@ -577,7 +575,7 @@ def import_files_to_table(table, paths, T, source_id: str, run_id: str, strict:
     spark = table.spark
     base = table.current()
     result = import_sheet_files(spark, paths, T, source_id=source_id, strict=strict, derive=derive, run_id=run_id,
-                                multi_line=multi_line)
+                                multi_line=multi_line, book=book)
     manifest = table.replace(stored_sheet(result.sheet, source_id), source_id, ["period"],
                              note={"run": run_id})
     mine = [p for p, g in manifest.files.items() if g == source_id]

@@ -109,12 +109,38 @@ def test_apply_resource_updates_listed_columns_only(spark):
     assert done["append"] == [("c1", "new", None), ("c1", "old", "S1"), ("c2", "two", "S2"), ("c3", "three", None)]
 
 
-def test_codes_that_share_a_generated_id_are_refused(spark):
-    long = "BENH-VIEN-DA-KHOA-TRUNG-UONG"
-    rows = spark.createDataFrame(
-        [(2, "Ha Noi", "E1", long + "-1", "P1"), (3, "Hà Nội", "E1", long + "-2", "P1"), (4, "Hue", "E1", "C3", "P1")],
-        "source_row long, province string, employee_code string, customer_code string, product_code string")
+LONG = "BENH-VIEN-DA-KHOA-TRUNG-UONG"
+
+
+def _codes(spark, *codes):
+    return spark.createDataFrame([(i + 2, p, "E1", c, "P1") for i, (p, c) in enumerate(codes)],
+                                 "source_row long, province string, employee_code string, customer_code string, "
+                                 "product_code string")
+
+
+def test_codes_of_one_cut_slug_have_ids_of_their_own(spark):
+    rows = _codes(spark, ("Ha Noi", LONG + "-2"), ("Hà Nội", LONG + "-1"), ("Hue", "C3"), ("Hue", LONG + "-2"))
+    got = ingest.with_resolved_ids(rows, _masters(spark)).orderBy("source_row").collect()
+    ids = [r.customer_id for r in got]
+    cut = "SALE_KH_BENH_VIEN_DA_KHOA_TRUNG_UONG"
+    assert ids[1] == cut[:8 + 28] and ids[2] == "SALE_KH_C3" and ids[0] == ids[3]
+    assert ids[0].startswith(ids[1] + "_") and len(ids[0]) == len(ids[1]) + 17
+    assert got[0].territory_id == got[1].territory_id == "SALE_DB_HA_NOI"  # two spellings of one name
+
+
+def test_a_book_keeps_ids_over_batches(spark, tmp_path):
+    from fieldlens.operators.codebook import stored_book
+    from fieldlens.sources.versions import VersionedTable
     T = _masters(spark)
-    kept, refused = ingest.split_collisions(ingest.with_resolved_ids(rows, T), T)
-    assert [r.source_row for r in kept.collect()] == [4]
-    assert sorted(r.source_row for r in refused.collect()) == [2, 3]
+    book = VersionedTable(spark, f"{tmp_path}/book")
+    first = {r.customer_code: r.customer_id for r in ingest.with_resolved_ids(
+        _codes(spark, ("Hue", LONG + "-2")), T, book).collect()}
+    # A smaller code comes later: the first one keeps its id.
+    later = {r.customer_code: r.customer_id for r in ingest.with_resolved_ids(
+        _codes(spark, ("Hue", LONG + "-1"), ("Hue", LONG + "-2")), T, book).collect()}
+    assert later[LONG + "-2"] == first[LONG + "-2"] and len(set(later.values())) == 2
+    again = {r.customer_code: r.customer_id for r in ingest.with_resolved_ids(
+        _codes(spark, ("Hue", LONG + "-1"), ("Hue", LONG + "-2")), T, book).collect()}
+    assert again == later
+    kept = stored_book(book).where("kind = 'customer'").collect()
+    assert {r.code: r.id for r in kept} == later and len(kept) == 2
