@@ -806,6 +806,42 @@ def q_sheet_stream(spark, d):
     return read_sheet_table(spark, f"{root}/table").select("source_row", "period", "sales", "row_hash")
 
 
+def _upload(spark, d):
+    """Three chunks of one batch, one of them sent again and one epoch replayed, a close, then a late chunk."""
+    from fieldlens.streaming.sheet_stream import UploadSession
+    root = scratch_path(spark, "upload")
+    session = UploadSession(spark, f"{root}/session")
+    sheet = _numbered(_t(spark, d)).select(*[F.col(f"`{h}`") for h in SHEET_HEADERS], "source_row",
+                                           F.lit("batch-1").alias("batch_id"))
+    third = F.col("source_row") % 3
+    again = F.col("source_row") % 15 == 0  # rows of the first chunk that come again with the second
+    chunks = [sheet.filter(third == 0), sheet.filter((third == 1) | again), sheet.filter(third == 2)]
+    for chunk in chunks:
+        csvio.write_resource_csv(chunk, f"{root}/incoming", mode="append")
+        session.start(f"{root}/incoming").awaitTermination()
+    session.merge(chunks[1], 1)
+    session.close("batch-1")
+    csvio.write_resource_csv(sheet.filter(F.col("source_row") % 7 == 0), f"{root}/incoming", mode="append")
+    session.start(f"{root}/incoming").awaitTermination()
+    return session
+
+
+@register("upload_session")
+def q_upload_session(spark, d):
+    return _upload(spark, d).sheet.read().select("source_row", "period", "sales", "row_hash")
+
+
+@register("upload_refused")
+def q_upload_refused(spark, d):
+    return _upload(spark, d).refused.read().select("batch_id", "source_row", "epoch", "reason")
+
+
+@register("upload_log")
+def q_upload_log(spark, d):
+    return _upload(spark, d).log().select("batch_id", "chunks", "accepted", "rejected", "refused", "status",
+                                          (F.col("finished") >= F.col("started")).alias("finished"))
+
+
 @register("active_managers")
 def q_active_managers(spark, d):
     from fieldlens.operators.scope import active_manager_count

@@ -692,6 +692,20 @@ def build_misc() -> None:
                            sale_code, 'NONE' AS sale_group FROM v_employee""")
     q("import_log", "SELECT 'run-1' AS batch_id, count(*) AS row_count, 'Completed' AS status FROM v_sheet_resolved")
     q("sheet_stream", "SELECT source_row, period, sales, row_hash FROM v_sheet_accepted")
+    q("upload_session", "SELECT source_row, period, sales, row_hash FROM v_sheet_accepted")
+    # Epochs: the sheet in thirds, rows of every fifteenth number come with the second chunk too; the last chunk is late.
+    epochs = """(SELECT source_row, CASE source_row % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS epoch FROM v_sheet_numbered
+                 UNION ALL SELECT source_row, 1 FROM v_sheet_numbered WHERE source_row % 15 = 0)"""
+    refused = f"""
+      SELECT 'batch-1' AS batch_id, e.source_row, CAST(e.epoch AS BIGINT) AS epoch, errors[1] AS reason
+      FROM {epochs} e JOIN v_sheet_errors s ON s.source_row = e.source_row WHERE len(errors) > 0
+      UNION ALL SELECT 'batch-1', source_row, 3, 'batch is closed' FROM v_sheet_numbered WHERE source_row % 7 = 0"""
+    q("upload_refused", refused)
+    q("upload_log", f"""
+      SELECT 'batch-1' AS batch_id, 3 AS chunks,
+             (SELECT count(*) FROM {epochs} e JOIN v_sheet_accepted s ON s.source_row = e.source_row) AS accepted,
+             count(*) FILTER (WHERE epoch < 3) AS rejected, count(*) FILTER (WHERE epoch = 3) AS refused,
+             'Completed' AS status, true AS finished FROM ({refused})""")
     start, end = _period_bounds("b.period")
     q("dashboard_by_rep", f"""
       WITH sc AS (SELECT s.* FROM v_combined s JOIN v_employee_customer ec

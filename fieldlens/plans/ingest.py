@@ -166,7 +166,7 @@ def normalise_sheet(raw: DataFrame, materialize: bool = True) -> tuple[DataFrame
     specs = {"_month": (F.col(f"`{H['month']}`"), False), "_year": (F.col(f"`{H['year']}`"), False)}
     specs.update({f"_{name}": (F.col(f"`{H[key]}`"), coef) for name, key, _, coef in NUMBER_FIELDS})
     numbers = with_locale_numbers(raw, specs)
-    identity = [c for c in ROW_IDENTITY if c in raw.columns]
+    identity = [c for c in (*ROW_IDENTITY, "batch_id") if c in raw.columns]
     df = numbers.select(
         *identity, "_month", "_year",
         parse_doc_date(F.col(f"`{H['doc_date']}`")).alias("doc_date"),
