@@ -650,6 +650,11 @@ def q_sheet_profile(spark, d):
     return ingest.sheet_profile(_numbered(_t(spark, d)))
 
 
+@register("sheet_samples")
+def q_sheet_samples(spark, d):
+    return ingest.sheet_samples(_numbered(_t(spark, d)))
+
+
 @register("reconcile_import")
 def q_reconcile_import(spark, d):
     T = _t(spark, d)

@@ -250,16 +250,18 @@ def build(q) -> None:
              min(doc_date) AS first_document_date, max(doc_date) AS last_document_date
       FROM v_sheet_resolved"""
     q("import_stats", stats)
-    sales = locale_stages("v_sheet_numbered", [("p_sales", "raw_sales", False), ("p_qty", "raw_qty", False)])
-    blank = lambda k: f"count(*) FILTER (WHERE trim(coalesce(raw_{k}, '')) = '')"
+    numbers = locale_stages("v_sheet_numbered", [(f"p_{n}", f"raw_{k}", c) for n, k, c in NUMBERS])
+    names = dict(zip(RAW_KEYS, ["manager", *HASHED[1:]]))
+    blanks = ", ".join(f"count(*) FILTER (WHERE trim(coalesce(raw_{k}, '')) = '') AS blank_{n}" for k, n in names.items())
+    bad = ", ".join(f"count(*) FILTER (WHERE p_{n} IS NULL) AS bad_{n}" for n, _, _ in NUMBERS)
     profile = f"""
-      SELECT count(*) AS rows, {blank('manager')} AS blank_manager, {blank('emp_code')} AS blank_employee_code,
-             {blank('cust_code')} AS blank_customer_code, {blank('cust_name')} AS blank_customer_name,
-             {blank('prod_code')} AS blank_product_code, {blank('doc_date')} AS blank_doc_date,
-             count(*) FILTER (WHERE p_sales IS NULL) AS bad_sales,
-             CAST(coalesce(sum(p_sales), 0) AS DECIMAL(38,2)) AS expected_total,
-             count(*) FILTER (WHERE p_qty IS NULL) AS bad_quantity
-      FROM {sales}"""
+      SELECT count(*) AS rows, {blanks}, {bad}, count(*) FILTER (WHERE {doc_date('raw_doc_date')} IS NULL) AS bad_doc_date,
+             CAST(coalesce(sum(p_sales), 0) AS DECIMAL(38,2)) AS expected_total
+      FROM {numbers}"""
+    cells = " UNION ALL ".join(f"SELECT '{n}' AS column_name, source_row, raw_{k} AS value FROM {numbers} WHERE p_{n} IS NULL"
+                               for n, k, _ in NUMBERS)
+    q("sheet_samples", f"""SELECT * FROM ({cells})
+      QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY source_row) <= 10""")
     q("sheet_profile", profile)
     q("reconcile_import", f"""
       SELECT s.row_count = p.rows AS rows_ok, s.source_row_count = p.rows AS distinct_rows_ok,

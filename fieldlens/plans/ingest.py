@@ -12,11 +12,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions.dates import parse_doc_date
-from fieldlens.functions.numbers import js_trim, locale_number, strict_number, with_locale_numbers
+from fieldlens.functions.numbers import js_trim, strict_number, with_locale_numbers
 from fieldlens.functions.text import (customer_type, normalise_role, normalise_status, pad_code, parse_bool,
                                       pick, slug)
 from fieldlens.operators.codebook import assign_ids, record, stored_book
@@ -358,18 +358,38 @@ def import_stats(sheet: DataFrame) -> DataFrame:
         F.min("doc_date").alias("first_document_date"), F.max("doc_date").alias("last_document_date"))
 
 
+#: Names of the sheet's columns in a profile, in sheet order.
+PROFILE_NAMES = dict(zip(H, ["manager", *HASHED[1:]]))
+#: Number columns of the sheet: name, header key, coefficient.
+PROFILE_NUMBERS = [("month", "month", False), ("year", "year", False), *((n, k, c) for n, k, _, c in NUMBER_FIELDS)]
+SAMPLES = 10
+
+
+def _parsed(raw: DataFrame) -> DataFrame:
+    return with_locale_numbers(raw, {f"_{n}": (F.col(f"`{H[k]}`"), c) for n, k, c in PROFILE_NUMBERS})
+
+
 def sheet_profile(raw: DataFrame) -> DataFrame:
-    """Blanks per column, unparsable numbers, expected sales total, in one pass."""
-    blank = lambda h: F.count_if(js_trim(F.coalesce(F.col(f"`{h}`"), F.lit(""))) == "")
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for name, key in [("manager", "manager"), ("employee_code", "emp_code"), ("customer_code", "cust_code"),
-                      ("customer_name", "cust_name"), ("product_code", "prod_code"), ("doc_date", "doc_date")]:
-        aggs.append(blank(H[key]).alias(f"blank_{name}"))
-    sales = locale_number(F.col(f"`{H['sales']}`"))
-    aggs += [F.count_if(sales.isNull()).alias("bad_sales"),
-             F.coalesce(F.sum(sales), F.lit(0)).cast("decimal(38,2)").alias("expected_total"),
-             F.count_if(locale_number(F.col(f"`{H['qty']}`")).isNull()).alias("bad_quantity")]
-    return raw.agg(*aggs)
+    """Blanks of all nineteen columns, texts that are no number or date, expected sales total, in one pass."""
+    blank = lambda k: F.count_if(js_trim(F.coalesce(F.col(f"`{H[k]}`"), F.lit(""))) == "")
+    return _parsed(raw).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[blank(k).alias(f"blank_{name}") for k, name in PROFILE_NAMES.items()],
+        *[F.count_if(F.col(f"_{n}").isNull()).alias(f"bad_{n}") for n, _, _ in PROFILE_NUMBERS],
+        F.count_if(parse_doc_date(F.col(f"`{H['doc_date']}`")).isNull()).alias("bad_doc_date"),
+        F.coalesce(F.sum("_sales"), F.lit(0)).cast("decimal(38,2)").alias("expected_total"))
+
+
+def sheet_samples(raw: DataFrame, k: int = SAMPLES) -> DataFrame:
+    """(column_name, source_row, value) of the first k texts of each number column that are no number. Each task keeps
+    its own first k of a column before the shuffle, so a column that is bad throughout is no large group."""
+    place = [c for c in ROW_IDENTITY if c in raw.columns]
+    cells = _parsed(raw).select(*place, F.explode(F.filter(F.array(*[
+        F.struct(F.lit(n).alias("column_name"), F.col(f"`{H[key]}`").alias("value"), F.col(f"_{n}").isNull().alias("bad"))
+        for n, key, _ in PROFILE_NUMBERS]), lambda c: c["bad"])).alias("c"))
+    order = Window.partitionBy("column_name").orderBy(*place)
+    return (cells.select("c.column_name", *place, "c.value").withColumn("_rank", F.row_number().over(order))
+            .where(F.col("_rank") <= k).drop("_rank"))
 
 
 def reconcile_import(profile: DataFrame, stats: DataFrame) -> DataFrame:

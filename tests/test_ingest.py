@@ -144,3 +144,21 @@ def test_a_book_keeps_ids_over_batches(spark, tmp_path):
     assert again == later
     kept = stored_book(book).where("kind = 'customer'").collect()
     assert {r.code: r.id for r in kept} == later and len(kept) == 2
+
+
+def test_profile_and_samples(spark):
+    rows = []
+    for n in range(2, 40):
+        row = {**_row(), "Tháng": "x" if n % 2 else "6"}
+        if n == 3:
+            row = dict.fromkeys(row, " \u00a0")
+        rows.append((*row.values(), n))
+    raw = spark.createDataFrame(rows, ", ".join(f"`{h}` string" for h in SHEET_HEADERS) + ", source_row long").repartition(5)
+    profile = ingest.sheet_profile(raw).first().asDict()
+    assert len([c for c in profile if c.startswith("blank_")]) == 19
+    assert all(v == 1 for c, v in profile.items() if c.startswith("blank_"))
+    assert (profile["rows"], profile["bad_month"], profile["bad_sales"], profile["bad_doc_date"]) == (38, 18, 0, 1)
+    assert profile["expected_total"] == 37 * Decimal("1842856.50")
+    got = sorted((r.column_name, r.source_row, r.value) for r in ingest.sheet_samples(raw).collect())
+    assert got == [("month", n, "x") for n in range(5, 25, 2)]  # a blank cell is 0
+    assert ingest.sheet_samples(raw.where("false")).count() == 0
