@@ -645,6 +645,12 @@ def q_import_stats(spark, d):
     return ingest.import_stats(_resolved(_t(spark, d)))
 
 
+@register("import_stats_by_source")
+def q_import_stats_by_source(spark, d):
+    T = _t(spark, d)
+    return ingest.import_stats(_previous(T, _resolved(T)), ["source_id"])
+
+
 @register("sheet_profile")
 def q_sheet_profile(spark, d):
     return ingest.sheet_profile(_numbered(_t(spark, d)))

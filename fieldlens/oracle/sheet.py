@@ -250,6 +250,8 @@ def build(q) -> None:
              min(doc_date) AS first_document_date, max(doc_date) AS last_document_date
       FROM v_sheet_resolved"""
     q("import_stats", stats)
+    q("import_stats_by_source", stats.replace("SELECT count(*)", "SELECT source_id, count(*)")
+      .replace("FROM v_sheet_resolved", "FROM v_sheet_prev GROUP BY source_id"))
     numbers = locale_stages("v_sheet_numbered", [(f"p_{n}", f"raw_{k}", c) for n, k, c in NUMBERS])
     names = dict(zip(RAW_KEYS, ["manager", *HASHED[1:]]))
     blanks = ", ".join(f"count(*) FILTER (WHERE trim(coalesce(raw_{k}, '')) = '') AS blank_{n}" for k, n in names.items())

@@ -345,9 +345,9 @@ def replace_snapshot(stored: DataFrame, batch: DataFrame, source_id: str,
 
 
 # ------------------------------------------------------------------ A4 / A8 / A9
-def import_stats(sheet: DataFrame) -> DataFrame:
-    """A4: counts, distinct ids, row range, total sales, document date range."""
-    return sheet.agg(
+def import_stats(sheet: DataFrame, by=()) -> DataFrame:
+    """A4: counts, distinct ids, row range, total sales, document date range; of each group of ``by`` (a source)."""
+    return (sheet.groupBy(*by) if by else sheet).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_distinct("source_row").alias("source_row_count"),
         F.min("source_row").alias("min_source_row"), F.max("source_row").alias("max_source_row"),
