@@ -49,7 +49,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The classifier, the raking and the packing have no SQL form; tests/llm compares the stages with plain versions.
+#: The classifier, the raking and the packing have no SQL form.
 ORACLE_SQL = None
 
 
