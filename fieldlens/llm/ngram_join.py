@@ -27,6 +27,7 @@ that repeat a doc_id are one document; rows without doc_id have no component; ex
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ MIN_TOKENS = 2
 GROWTH = 1.5
 SIGMAS = 6
 BLOCK = 128
+#: Keys that a part of a key's members holds about (512 KB): a member is sent once for each part of its key.
+KEYS_PER_PART = 1 << 16
 ROWS_PER_GROUP = 4_000
 
 
@@ -167,15 +170,16 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
               .where("doc is not null"))
     drawn = stage(sketches(narrow, k, num, den), "sketches")
     # One vertex for each distinct set: the smallest document that has it.
-    classes = drawn.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"))
-    keyed = drawn.where("n > 0").select(F.explode("keys").alias("key"), "doc", "n", "s1", "need")
-    group = Window.partitionBy("key")
-    shared = stage(keyed.withColumns({"lo": F.min("s1").over(group), "hi": F.max("s1").over(group)})
-                   .where("lo < hi").select("key", "doc", "n", "need"), "shared")
-    reps = classes.select(F.col("rep").alias("doc"))
-    enough = (shared.join(reps, "doc", "left_semi").groupBy("doc", "need").agg(F.count_distinct("key").alias("have"))
-              .where("have >= need").select("doc"))
-    members = stage(shared.join(enough, "doc", "left_semi").select("key", "doc", "n", "need").distinct(), "members")
+    classes = stage(drawn.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "classes")
+    reps = classes.select(F.col("rep").alias("doc")).distinct()
+    keyed = (drawn.where("n > 0").join(maybe_broadcast(reps, classes.count()), "doc", "left_semi")
+             .select(F.explode("keys").alias("key"), "doc"))
+    common = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    shared = stage(keyed.join(common, "key"), "shared")
+    needs = drawn.where("n > 0").groupBy("doc").agg(F.max("n").alias("n"), F.min("need").alias("need"))
+    enough = (shared.groupBy("doc").agg(F.count_distinct("key").alias("have")).join(needs, "doc")
+              .where("have >= need").select("doc", "n", "need"))
+    members = stage(shared.join(enough, "doc").select("key", "doc", "n", "need").distinct(), "members")
     unstage(shared)
     comp = _link(narrow, members, k, num, den)
     unstage(members)
@@ -200,7 +204,8 @@ def _link(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> Da
     sets = stage(shingle_sets(docs.join(maybe_broadcast(wanted, n_wanted), F.col("doc") == F.col("_w"), "left_semi"),
                               k), "sets")
     if sets.count() > n_wanted:  # rows that repeat a doc_id
-        sets = sets.dropDuplicates(["doc"])
+        sets, rows = stage(sets.dropDuplicates(["doc"]), "sets"), sets
+        unstage(rows)
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     # From here on a key begins with its number of members, so that rare keys come first in its order.
     rarer = F.shiftleft(F.least("size", F.lit((1 << 19) - 1)), 43).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 43) - 1)))
@@ -220,9 +225,10 @@ def _link(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> Da
 
     # Then the members of different components, where a key still holds several.
     more = stage(_across(sized, comp, sets, num, den), "edges")
+    unstage(sized, sets)
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
-    unstage(sized)
+    unstage(edges, more)
     return comp
 
 
@@ -230,8 +236,9 @@ def _across(sized: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: i
     """Links (a, b) between members of a key that are in different components.
 
     A document's keys in order of the number of members: linked documents share ``need`` of them, so also one of the
-    first ``have - need + 1``, and only those rare ones are looked at; each pair once, at its rarest common key. A key's members are compared in blocks of
-    ``BLOCK``: first by counting shared keys, which leaves the members that reach ``need`` with another one, then these
+    first ``have - need + 1``, and only those rare ones are looked at; each pair once, at its rarest common key. A key's members are
+    dealt to parts of about ``KEYS_PER_PART`` keys, every two parts meet in one task, and are compared there in squares of
+    ``BLOCK`` members: first by counting shared keys, which leaves the members that reach ``need`` with another one, then these
     by their sets. Both comparisons stay inside a task; only members and links come out.
     """
     rare = Window.partitionBy("doc").orderBy("key")
@@ -241,42 +248,53 @@ def _across(sized: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: i
                      F.row_number().over(rare).alias("r"), F.count("*").over(whole).alias("have")))
     first = stage(named.where(F.col("r") <= F.col("have") - F.col("need") + 1), "rare")
     still = (first.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                      F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+                                      F.ceil(F.sum("have") / KEYS_PER_PART).cast("int").alias("parts"))
              .where("x < y").select("key", "parts"))
     lists = sized.groupBy("doc").agg(F.collect_list("key").alias("keys"))  # one document's own keys
     dealt = (first.join(still, "key").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .select("key", "doc", "n", "need", "component", "part", F.least("part", "other").alias("i"),
                      F.greatest("part", "other").alias("j")))
-    dealt = stage(dealt.join(lists, "doc"), "dealt")
     groups = max(1, math.ceil(dealt.count() / ROWS_PER_GROUP))
+    dealt = dealt.join(lists, "doc")
+
+    def near(key, lists, c, n, need, a, b):
+        """Which of the members ``a`` and ``b`` (places, ascending) share enough keys with one of the others."""
+        rows = np.union1d(a, b)
+        left, right = np.searchsorted(rows, a), np.searchsorted(rows, b)
+        whose = np.repeat(np.arange(len(rows)), [len(lists[r]) for r in rows])
+        known, code, count = np.unique(np.concatenate([lists[r] for r in rows]), return_inverse=True, return_counts=True)
+        often = count > 1
+        column = np.cumsum(often) - 1
+        hit = often[code]
+        m = np.zeros((len(rows), int(often.sum())), np.float32)
+        m[whose[hit], column[code[hit]]] = 1
+        ok = m[left] @ m[right].T >= np.maximum(need[a][:, None], need[b][None, :])
+        ok &= c[a][:, None] != c[b][None, :]
+        # A pair is looked at where its rarest common key is.
+        before = m[:, :int(often[:np.searchsorted(known, key)].sum())]
+        ok &= before[left] @ before[right].T == 0
+        ok &= np.minimum(n[a][:, None], n[b][None, :]) * den >= np.maximum(n[a][:, None], n[b][None, :]) * num
+        return a[ok.any(axis=1)], b[ok.any(axis=0)]
 
     def compare(pdf):
+        """A part's members against another's in squares of ``BLOCK``; a square's members come out with its number."""
         import pandas as pd
         out = []
         for (key, i, j), g in pdf.groupby(["key", "i", "j"], sort=False):
-            c, n, need = (g[x].to_numpy() for x in ("component", "n", "need"))
-            if (c == c[0]).all():
-                continue
-            own = g["part"].to_numpy()
+            c, n, need, doc, part = (g[x].to_numpy() for x in ("component", "n", "need", "doc", "part"))
             lists = g["keys"].tolist()
-            whose = np.repeat(np.arange(len(g)), [len(x) for x in lists])
-            known, code, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-            often = count > 1
-            column = np.cumsum(often) - 1
-            hit = often[code]
-            m = np.zeros((len(g), int(often.sum())), np.float32)
-            m[whose[hit], column[code[hit]]] = 1
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            near = m[left] @ m[right].T >= np.maximum(need[left][:, None], need[right][None, :])
-            near &= c[left][:, None] != c[right][None, :]
-            # A pair is looked at where its rarest common key is.
-            before = m[:, :column[np.searchsorted(known, key)]]
-            near &= before[left] @ before[right].T == 0
-            small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
-            near &= small * den >= large * num
-            some = np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
-            out.append(g.iloc[some][["key", "doc", "component", "part", "i", "j"]])
+            sides = [np.flatnonzero(part == x) for x in (i, j)]
+            for x in range(0, len(sides[0]), BLOCK):
+                for y in range(x if i == j else 0, len(sides[1]), BLOCK):
+                    a, b = sides[0][x:x + BLOCK], sides[1][y:y + BLOCK]
+                    if (c[a] == c[a[0]]).all() and (c[b] == c[a[0]]).all():
+                        continue
+                    a, b = near(key, lists, c, n, need, a, b)
+                    places = (np.int64(i) << 32) + x // BLOCK, (np.int64(j) << 32) + y // BLOCK
+                    for own, rows in zip(places, (a, b) if places[0] < places[1] else (np.union1d(a, b),)):
+                        out.append(pd.DataFrame({"key": key, "doc": doc[rows], "component": c[rows], "part": own,
+                                                 "i": places[0], "j": places[1]}))
         return pd.concat(out) if out else pd.DataFrame(columns=["key", "doc", "component", "part", "i", "j"])
 
     def link(pdf):
@@ -304,7 +322,8 @@ def _across(sized: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: i
 
     bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups))
     some = stage(dealt.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(
-        compare, "key long, doc long, component long, part int, i int, j int"), "near")
+        compare, "key long, doc long, component long, part long, i long, j long"), "near")
+    unstage(first)
     bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, math.ceil(some.count() / (ROWS_PER_GROUP // 8)))))
     out = (some.join(sets, "doc").withColumn("bucket", bucket).groupBy("bucket")
            .applyInPandas(link, "a long, b long").distinct())
@@ -313,14 +332,15 @@ def _across(sized: DataFrame, comp: DataFrame, sets: DataFrame, num: int, den: i
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that aren't the smallest doc_id of their group; of rows that repeat a kept doc_id
-    one stays, rows without doc_id stay."""
+    """``docs`` without the documents that aren't the smallest doc_id of their group; of rows that repeat a kept doc_id and
+    its text one stays (its other texts stay too), rows without doc_id stay."""
+    gone = "_lost_" + uuid.uuid4().hex  # no column of docs
     lost = stage(ngram_components(docs, k, num, den, id_col, text_col).where("component_id <> doc_id")
-                 .select(F.col("doc_id").alias("_lost")), "lost")
-    kept = docs.join(maybe_broadcast(lost, lost.count()), docs[id_col].cast("long") == F.col("_lost"), "left_anti")
+                 .select(F.col("doc_id").alias(gone)), "lost")
+    kept = docs.join(maybe_broadcast(lost, lost.count()), docs[id_col].cast("long") == lost[gone], "left_anti")
     again = docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1))
     if not again.isEmpty():
-        kept = (kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        kept = (kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
                 .unionByName(kept.where(F.col(id_col).isNull())))
     return kept
 
