@@ -14,8 +14,8 @@ Groups are never paired: the work is linear in distinct stretches. Joins are on
 Spark, which splits skewed ones.
 
 Defined results: null text has no words and, like a text shorter than the window, loses nothing; no documents give no
-rows; rows that repeat a doc_id are the same document and each lose the same runs; rows without doc_id lose nothing and
-take nothing away; extra columns aren't read.
+rows; rows that repeat a doc_id are one document, each cut by what its own text shares with smaller ids; rows
+without doc_id lose nothing and take nothing away; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -68,28 +68,28 @@ def _documents(batch: pa.RecordBatch):
 
 
 def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(doc, first, runs, a, c) of every anchor."""
+    """(doc, t, first, runs, a, c) of every anchor; t is the hash of the text."""
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             found, size = [], 0
             for i, lanes in _documents(batch):
                 if len(lanes[0]) >= window:
                     first, runs, *hashes = _anchors(lanes, window, seed)
-                    found.append((np.full(len(first), ids[i], np.int64), first.astype(np.int32),
-                                  runs.astype(np.int32), *(x.view(np.int64) for x in hashes)))
+                    found.append((np.full(len(first), ids[i], np.int64), np.full(len(first), marks[i], np.int64),
+                                  first.astype(np.int32), runs.astype(np.int32), *(x.view(np.int64) for x in hashes)))
                     size += len(first)
                 if size > 100_000:
                     yield _batch(found)
                     found, size = [], 0
             if found:
                 yield _batch(found)
-    return docs.mapInArrow(emit, "doc long, first int, runs int, a long, c long")
+    return docs.mapInArrow(emit, "doc long, t long, first int, runs int, a long, c long")
 
 
 def _batch(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)],
-                                      ["doc", "first", "runs", "a", "c"])
+                                      ["doc", "t", "first", "runs", "a", "c"])
 
 
 def _run_hashes(docs: DataFrame, window: int) -> DataFrame:
@@ -117,8 +117,9 @@ def _run_hashes(docs: DataFrame, window: int) -> DataFrame:
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
-    """(doc, spans): the maximal word intervals [from, to) of each document that an earlier document has too."""
-    narrow = (docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    """(doc, t, spans): the maximal word intervals [from, to) of each text (t is its hash) that an earlier document has too."""
+    narrow = (docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"),
+                          F.xxhash64(F.col(text_col)).alias("t"))
               .where("doc is not null and text is not null"))
     seeds = stage(_seeds(narrow, window, seed), "seeds")
     shared = seeds.groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a")
@@ -126,7 +127,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str
     unstage(seeds)
     # A stretch's smallest document, and where in it the stretch stands.
     stretch = ["a", "c"]
-    classes = stage(kept.groupBy(*stretch).agg(F.min(F.struct("doc", "first", "runs")).alias("lead"))
+    classes = stage(kept.groupBy(*stretch).agg(F.min(F.struct("doc", "t", "first", "runs")).alias("lead"))
                     .select(*stretch, "lead.*"), "stretches")
     kinds = classes.groupBy("a").agg(F.count("*").alias("kinds"))
     known = classes.join(kinds, "a")
@@ -134,9 +135,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str
     # One kind of stretch: all its runs are the smallest document's.
     plain = known.where("kinds = 1").select(*stretch, F.col("doc").alias("owner"))
     plain = plain.withColumn("owners", F.lit(None).cast("array<struct<run:int,owner:long>>"))
-    wanted = (known.where("kinds > 1").groupBy("doc")
-              .agg(F.collect_list(F.struct(*stretch, "first", "runs")).alias("wanted")).withColumnRenamed("doc", "_doc"))
-    texts = narrow.join(wanted, F.col("doc") == F.col("_doc")).select("doc", "text", "wanted")
+    wanted = (known.where("kinds > 1").groupBy("doc", "t")
+              .agg(F.collect_list(F.struct(*stretch, "first", "runs")).alias("wanted")))
+    texts = narrow.join(wanted, ["doc", "t"]).select("doc", "text", "wanted")
     runs = stage(_run_hashes(texts, window), "runs")
     best = (runs.groupBy("a", "w").agg(F.min("owner").alias("best"), F.max("owner").alias("worst"))
             .where("best < worst").select("a", "w", "best"))
@@ -153,8 +154,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str
                 F.col("first").alias("from"), (F.col("first") + F.col("runs") + window - 1).alias("to"))))
                 .otherwise(F.transform(F.col("owners"), lambda r: F.struct(
                     (F.col("first") + r["run"]).alias("from"), (F.col("first") + r["run"] + window).alias("to")))))
-            .select("doc", F.explode("lost").alias("s")).select("doc", "s.*"))
-    lost = hits.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
+            .select("doc", "t", F.explode("lost").alias("s")).select("doc", "t", "s.*"))
+    lost = hits.groupBy("doc", "t").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
     lost = stage(lost, "lost")
     unstage(kept, owners)
     return lost
@@ -165,7 +166,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     """doc_id, kept (the remaining words joined by one space), n_words, n_removed of every document."""
     lost = repeats(docs, window, seed, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(lost, rows["doc_id"] == lost["doc"], "left")
+    joined = rows.join(lost, (rows["doc_id"] == lost["doc"]) & (F.xxhash64("text") == lost["t"]), "left")
 
     def cut(batches):
         for batch in batches:
