@@ -96,8 +96,20 @@ def test_substring_dedup(docs):
     assert Counter(got) == Counter(want) and any(r[3] for r in want)
 
 
-@pytest.mark.parametrize("k,num,den", [(4, 85, 100), (5, 80, 100)])
-def test_ngram_join(spark, docs, k, num, den):
+def test_substring_dedup_of_repeated_ids(spark):
+    long, other = [f"a{i}" for i in range(130)], [f"b{i}" for i in range(60)]
+    docs = spark.createDataFrame(
+        [(1, " ".join(long)), (2, " ".join(other + long[:120])), (2, " ".join(long[60:115])), (2, "short"),
+         (3, " ".join(other))], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(docs).collect())
+    assert got == Counter([(1, 130, 0), (2, 180, 120), (2, 55, 55), (2, 1, 0), (3, 60, 60)])
+
+
+@pytest.mark.parametrize("k,num,den,small", [(4, 85, 100, False), (5, 80, 100, False), (5, 80, 100, True)])
+def test_ngram_join(spark, docs, monkeypatch, k, num, den, small):
+    if small:  # keys of several parts, parts of several squares
+        monkeypatch.setattr(ngram_join, "BLOCK", 3)
+        monkeypatch.setattr(ngram_join, "KEYS_PER_PART", 150)
     rng = np.random.default_rng(3)
     more = []
     for c in range(6):  # chains of edits, so that groups hold linked and unlinked documents
@@ -124,6 +136,23 @@ def test_ngram_join(spark, docs, k, num, den):
     assert Counter(kept) == Counter([None, *set(top.values())])
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "one text", "x"), (1, "one text", "x"), (1, "quite another text", "y"), (2, "z", "z")],
+                                 "doc_id long, text string, _lost string")
+    kept = [tuple(r) for r in ngram_join.drop_near_duplicates(docs).collect()]
+    assert sorted(kept) == [(1, "one text", "x"), (1, "quite another text", "y"), (2, "z", "z")]
+
+
+def test_quality_fit_is_bounded_by_rows(spark, monkeypatch):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, f"text {n} of {i}") for i in ids[:8] for n in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids[:8]], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)))
+    quality.train(docs, labels, max_rows=5)
+    assert seen == [5]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((60, 16))
