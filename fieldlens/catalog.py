@@ -22,7 +22,7 @@ from fieldlens.operators import merge, quality
 from fieldlens.operators.keys import latest_per_key
 from fieldlens.operators.paging import latest_periods
 from fieldlens.operators.scope import owned, scope_customers, scope_rows
-from fieldlens.plans import alerts, changes, dashboard, ingest, listing, sales
+from fieldlens.plans import alerts, changes, dashboard, imports, ingest, listing, sales
 from fieldlens.schema import MONEY, RESOURCES, SHEET_HEADERS, SHEET_MONEY
 from fieldlens.session import scratch_path
 from fieldlens.sources import csv as csvio
@@ -727,6 +727,31 @@ for _res in RESOURCES:
     register(f"import_{_res}")(_import_query(_res))
 
 
+def _route_query(resource):
+    def q(spark, d):
+        return imports.routed(_t(spark, d), resource)
+    return q
+
+
+def _load_query(resource):
+    def q(spark, d):
+        T = _t(spark, d)
+        return imports.load_resource(ingest.resource_raw(T, resource, damaged=True), RESOURCES[resource], T,
+                                     imports.stored_table(T, resource))[0]
+    return q
+
+
+for _res in RESOURCES:
+    register(f"route_{_res}")(_route_query(_res))
+for _res in ("territories", "products", "customers", "employees", "tenders"):
+    register(f"load_{_res}")(_load_query(_res))
+
+
+@register("import_outcomes")
+def q_import_outcomes(spark, d):
+    return imports.import_outcomes(_t(spark, d))
+
+
 @register("import_rejects")
 def q_import_rejects(spark, d):
     T = _t(spark, d)

@@ -15,6 +15,7 @@ from fieldlens.functions.text import slug
 from fieldlens.schema import MANAGER_ROLES, REP_ROLES_LOOSE, TENDER_STATUSES
 
 EMAIL_SHAPE = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
+CUSTOMER_TYPES = ("BenhVien", "PhongMachTu", "SoYTe")  # fixed values
 PERIOD_SHAPE = r"^\d{4}-\d{2}$"
 
 # (child table, column, parent table, parent key)
@@ -76,7 +77,7 @@ def _rules(T):
             "name_length": F.length("employee_name") > 150,
         },
         "customer": {
-            "type_enum": ~F.col("customer_type").isin("BenhVien", "PhongMachTu", "SoYTe"),
+            "type_enum": ~F.col("customer_type").isin(*CUSTOMER_TYPES),
             "status_enum": ~F.col("status").isin("Active", "Inactive"),
         },
         "kpi_target": {

@@ -597,20 +597,87 @@ def build_quality() -> None:
     q("duplicate_keys", " UNION ALL ".join(parts))
 
 
+def build_routes(typed) -> None:
+    """Routed and loaded imports: a CASE in the order of the rules, EXISTS for parents and stored keys."""
+    from fieldlens.plans.ingest import RESOURCE_SOURCES
+    from fieldlens.schema import RESOURCES
+
+    month = "WHEN NOT regexp_full_match(period, '\\d{4}-(0[1-9]|1[0-2])') THEN 'period is not a month'"
+    date = ("WHEN {0} IS NOT NULL AND (TRY_CAST({0} AS DATE) IS NULL OR NOT regexp_full_match({0}, "
+            "'\\d{{4}}-\\d{{2}}-\\d{{2}}')) THEN '{0} is not a date'").format
+    low = "WHEN {0} < 0 THEN '{0} is out of range'".format
+    count = "WHEN {0} < {1} OR {0} <> floor({0}) OR {0} > 2147483647 THEN '{0} is out of range'".format
+    whens = {
+        "employees": ["WHEN NOT regexp_full_match(email, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+') THEN 'email is not valid'"],
+        "products": [low("price")],
+        "customers": ["WHEN customer_type NOT IN ('BenhVien', 'PhongMachTu', 'SoYTe') "
+                      "THEN 'customer_type is not allowed'"],
+        "prescriptions": [date("report_date"), count("quantity", 1), low("amount")],
+        "sales": [month, low("amount")],
+        "tenders": [date("due_date"), "WHEN status NOT IN ('DangLamHoSo', 'ChoKetQua', 'TrungThau', 'TruotThau') "
+                    "THEN 'status is not allowed'", count("quantity", 0), low("bid_price")],
+        "dailyReports": [date("report_date")],
+        "kpiTargets": [month, low("target_sales"), count("target_prescriptions", 0)],
+    }
+    parts = []
+    for name, spec in RESOURCES.items():
+        table = f"v_{RESOURCE_SOURCES[name][0]}"
+        tests = ["WHEN len(_errors) > 0 THEN _errors[1]", *whens.get(name, [])]
+        for f in spec.fields:
+            for parent in ("territory", "employee", "customer", "product"):
+                if f.name == f"{parent}_id" and spec.keys != (f.name,):
+                    tests.append(f"WHEN {f.name} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_{parent} p WHERE "
+                                 f"CAST(p.{f.name} AS VARCHAR) = r.{f.name}) THEN 'unknown {f.name}'")
+        same = " AND ".join(f"CAST(s.{k} AS VARCHAR) IS NOT DISTINCT FROM r.{k}" for k in spec.keys)
+        known = "kept" if spec.mode == "insert_absent" else "updated"
+        passed = ("'appended'" if spec.mode == "append" else
+                  f"CASE WHEN EXISTS (SELECT 1 FROM {table} s WHERE {same}) THEN '{known}' ELSE 'inserted' END")
+        routed = f"""SELECT * EXCLUDE (_errors), CASE WHEN error IS NOT NULL THEN 'rejected' ELSE {passed} END AS outcome
+                     FROM (SELECT *, CASE {' '.join(tests)} END AS error FROM ({typed(name)}) r) r"""
+        q(f"route_{name}", routed)
+        parts.append(f"""SELECT '{name}' AS resource, outcome, error, count(*) AS rows FROM ({routed})
+                         GROUP BY outcome, error""")
+        if name in LOADED:
+            key, (given, others) = spec.keys[0], LOADED[name]
+            cols = [f"coalesce(CAST(r.{key} AS BIGINT), s.{key}) AS {key}"]
+            cols += [f"CASE WHEN r.{key} IS NULL THEN s.{c} ELSE CAST(r.{c} AS {t}) END AS {c}" for c, t in given.items()]
+            q(f"load_{name}", f"""SELECT {', '.join(cols + [f's.{c}' for c in others])} FROM {table} s
+                FULL JOIN (SELECT * FROM ({routed}) WHERE error IS NULL) r ON CAST(s.{key} AS VARCHAR) = r.{key}""")
+    q("import_outcomes", " UNION ALL ".join(parts))
+
+
+#: Of the loaded tables: columns that the import gives, with their types, and the others.
+LOADED = {
+    "territories": ({"territory_name": "VARCHAR", "region": "VARCHAR", "status": "VARCHAR"}, []),
+    "employees": ({"employee_name": "VARCHAR", "email": "VARCHAR", "role": "VARCHAR", "status": "VARCHAR"}, ["sale_code"]),
+    "products": ({"product_name": "VARCHAR", "active_ingredient": "VARCHAR", "dosage_code": "VARCHAR",
+                  "dosage_form": "VARCHAR", "price": "DECIMAL(14,2)", "status": "VARCHAR"}, ["sale_code", "unit"]),
+    "customers": ({"customer_name": "VARCHAR", "customer_type": "VARCHAR", "territory_id": "BIGINT",
+                   "status": "VARCHAR"}, ["sale_code", "sale_group"]),
+    "tenders": ({"employee_id": "BIGINT", "customer_id": "BIGINT", "product_id": "BIGINT", "quantity": "BIGINT",
+                 "bid_price": "DECIMAL(14,2)", "status": "VARCHAR", "due_date": "DATE"}, ["updated_date"]),
+}
+
+
 def build_imports() -> None:
     from fieldlens.functions.numbers import LITERAL
-    from fieldlens.plans.ingest import ABSENT_FIELDS, FIELD_SOURCE, RESOURCE_SOURCES
+    from fieldlens.plans.ingest import ABSENT_FIELDS, DAMAGE, FIELD_SOURCE, NEW_KEY, RESOURCE_SOURCES
     from fieldlens.schema import MANAGER_ROLES, RESOURCES, TRUE_WORDS
 
-    def raw_sql(resource):
+    def raw_sql(resource, damaged=False):
         table, key_expr = RESOURCE_SOURCES[resource]
-        cols = []
+        cols = [f"({key_expr}) AS source_row"] if damaged else []
         for f in RESOURCES[resource].fields:
             name = FIELD_SOURCE.get(f.name, f.name)
             value = ("CAST(NULL AS VARCHAR)" if (resource, f.name) in ABSENT_FIELDS
                      else f"CAST({name} AS VARCHAR)")
             if f.kind == "bool":
                 value = f"CASE WHEN {name} THEN ' x ' ELSE 'no' END"
+            if damaged and RESOURCES[resource].keys == (f.name,):
+                value = f"(CASE WHEN ({key_expr}) % 13 = {NEW_KEY[0]} THEN '{NEW_KEY[1]}' || {value} ELSE {value} END)"
+            elif damaged:
+                for rest, text in DAMAGE.get(f.name, ()):
+                    value = f"(CASE WHEN ({key_expr}) % 13 = {rest} THEN '{text}' ELSE {value} END)"
             cols.append(f"CASE WHEN ({key_expr}) % 3 = 0 OR ({key_expr}) % 17 = 0 THEN '  ' ELSE {value} END "
                         f"AS \"{f.aliases[0]}\"")
             if len(f.aliases) > 1:
@@ -622,8 +689,8 @@ def build_imports() -> None:
         parts = [f"nullif(trim(\"{a}\"), '')" for a in aliases]
         return f"coalesce({', '.join(parts)})" if len(parts) > 1 else parts[0]
 
-    def typed(resource):
-        exprs, checks = [], []
+    def typed(resource, damaged=False):
+        exprs, checks = ["source_row"] if damaged else [], []
         for f in RESOURCES[resource].fields:
             v = pick(f.aliases)
             if f.kind == "text":
@@ -649,7 +716,7 @@ def build_imports() -> None:
                 checks.append(f"CASE WHEN {v} IS NULL THEN 'missing {' or '.join(f.aliases)}' END")
             exprs.append(f"{e} AS {f.name}")
         errs = f"list_filter([{', '.join(checks)}], lambda x: x IS NOT NULL)"
-        return f"SELECT {', '.join(exprs)}, {errs} AS _errors FROM ({raw_sql(resource)})"
+        return f"SELECT {', '.join(exprs)}, {errs} AS _errors FROM ({raw_sql(resource, damaged)})"
 
     parts = []
     for resource in RESOURCES:
@@ -658,6 +725,7 @@ def build_imports() -> None:
         parts.append(f"""SELECT '{resource}' AS resource, _errors[1] AS error, count(*) AS rows
                          FROM ({t}) WHERE len(_errors) > 0 GROUP BY _errors[1]""")
     q("import_rejects", " UNION ALL ".join(parts))
+    build_routes(lambda resource: typed(resource, damaged=True))
     q("alias_pick", f"""SELECT {pick(['id_khach_hang', 'id'])} AS customer_id,
                           coalesce({pick(['ten_khach_hang', 'name'])}, 'unknown') AS customer_name
                         FROM ({raw_sql('customers')})""")

@@ -449,8 +449,8 @@ def import_sheet(raw: DataFrame, T, stored: DataFrame | None = None, source_id:
 
 
 # ------------------------------------------------------------------ I3
-def import_resource(raw: DataFrame, spec: ResourceSpec) -> tuple[DataFrame, DataFrame]:
-    """Typed rows of one standard resource plus rejects (missing required value, bad number).
+def typed_resource(raw: DataFrame, spec: ResourceSpec) -> DataFrame:
+    """The typed columns of one standard resource and ``_errors``, the reasons its text refuses them.
 
     Column aliases, defaults, role/status folds and booleans follow ``spec``.
     """
@@ -478,7 +478,13 @@ def import_resource(raw: DataFrame, spec: ResourceSpec) -> tuple[DataFrame, Data
             checks.append(F.when(v.isNull(), F.lit(f"missing {' or '.join(f.aliases)}")))
         exprs.append(e.alias(f.name))
     keep = ["source_row"] if "source_row" in raw.columns else []
-    df = raw.select(*keep, *exprs, F.filter(F.array(*checks), lambda x: x.isNotNull()).alias("_errors"))
+    return raw.select(*keep, *exprs, F.filter(F.array(*checks), lambda x: x.isNotNull()).alias("_errors"))
+
+
+def import_resource(raw: DataFrame, spec: ResourceSpec) -> tuple[DataFrame, DataFrame]:
+    """Typed rows of one standard resource plus rejects (missing required value, bad number)."""
+    df = typed_resource(raw, spec)
+    keep = ["source_row"] if "source_row" in raw.columns else []
     ok = df.filter(F.size("_errors") == 0).drop("_errors")
     bad = df.filter(F.size("_errors") > 0).select(*keep, F.col("_errors")[0].alias("error"))
     return ok, bad
@@ -530,18 +536,35 @@ FIELD_SOURCE = {"is_primary": "is_primary", "report_date": "report_date"}
 ABSENT_FIELDS = {("products", "package_spec"), ("customers", "address"), ("customers", "phone")}
 
 
-def resource_raw(T, resource: str) -> DataFrame:
+# Damage of the routed imports' inputs, field -> (k % 13, text): dates, months, enumerations and e-mails that the rules
+# refuse, and parents that do not exist. A resource's own single key is prefixed instead (``NEW_KEY``), so it inserts.
+DAMAGE = {
+    "report_date": ((1, "2024-02-30"),), "due_date": ((1, "2024-13-01"),), "period": ((2, "2024-13"), (10, "2031-01")),
+    "email": ((3, "nobody.example"),), "customer_type": ((4, "Other"),), "price": ((4, "-1"),),
+    "bid_price": ((3, "-0.5"),), "quantity": ((2, "1.5"),), "employee_id": ((5, "-1"),), "customer_id": ((6, "-1"),),
+    "product_id": ((7, "-1"),), "territory_id": ((8, "-1"),),
+}
+NEW_KEY = (9, "9000000")
+
+
+def resource_raw(T, resource: str, damaged: bool = False) -> DataFrame:
+    """A resource's CSV columns; ``damaged`` adds ``source_row`` and values that the routing rules refuse."""
     table, key_expr = RESOURCE_SOURCES[resource]
     src = getattr(T, table)
     spec = RESOURCES[resource]
     k = F.expr(key_expr)
-    cols = []
+    cols = [k.alias("source_row")] if damaged else []
     for f in spec.fields:
         name = FIELD_SOURCE.get(f.name, f.name)
         value = (F.lit(None).cast("string") if (resource, f.name) in ABSENT_FIELDS
                  else F.col(name).cast("string"))
         if f.kind == "bool":
             value = F.when(F.col(name), F.lit(" x ")).otherwise(F.lit("no"))
+        if damaged and spec.keys == (f.name,):
+            value = F.when(k % 13 == NEW_KEY[0], F.concat(F.lit(NEW_KEY[1]), value)).otherwise(value)
+        elif damaged:
+            for rest, text in DAMAGE.get(f.name, ()):
+                value = F.when(k % 13 == rest, F.lit(text)).otherwise(value)
         first = F.when((k % 3 == 0) | (k % 17 == 0), F.lit("  ")).otherwise(value)
         cols.append(first.alias(f.aliases[0]))
         if len(f.aliases) > 1:
