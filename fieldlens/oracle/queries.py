@@ -523,9 +523,14 @@ def build_maintenance() -> None:
                strftime(due_date, '%Y-%m-%d') AS due_date, 1 AS seq FROM v_tender WHERE tender_id % 9 = 0
         UNION ALL
         SELECT tender_id, customer_id + 1, product_id, quantity - 100, bid_price, 'TruotThau',
-               CAST(NULL AS VARCHAR), 2 FROM v_tender WHERE tender_id % 9 = 0 AND tender_id % 2 = 0),
+               CAST(NULL AS VARCHAR), 2 FROM v_tender WHERE tender_id % 9 = 0 AND tender_id % 2 = 0
+        UNION ALL
+        SELECT tender_id, customer_id, product_id, quantity, bid_price, 'ChoKetQua',
+               CASE WHEN tender_id % 8 = 3 THEN '2024-02-30' ELSE ' ' END, 3
+        FROM v_tender WHERE tender_id % 9 = 0 AND tender_id % 4 = 3),
       c AS (SELECT ch.*, CASE
               WHEN NOT (coalesce(quantity, 0) >= 0 AND coalesce(bid_price, 0) >= 0) THEN 'invalid'
+              WHEN trim(due_date) <> '' AND TRY_CAST(due_date AS DATE) IS NULL THEN 'invalid'
               WHEN customer_id NOT IN {allowed}
                 OR EXISTS (SELECT 1 FROM v_tender t WHERE t.tender_id = ch.tender_id
                            AND t.customer_id NOT IN {allowed}) THEN 'customer outside scope'
@@ -542,7 +547,7 @@ def build_maintenance() -> None:
       UNION ALL
       SELECT tender_id, customer_id, product_id, CAST(coalesce(quantity, 0) AS BIGINT),
              CAST(coalesce(bid_price, 0) AS DECIMAL(14,2)), status, CAST({P.REP_ID} AS BIGINT),
-             CAST(due_date AS DATE), DATE '{P.AS_OF}' FROM last""")
+             CAST(nullif(trim(due_date), '') AS DATE), DATE '{P.AS_OF}' FROM last""")
     q("role_fold", """
       SELECT employee_id, raw_role,
              CASE WHEN trim(raw_role) IN ('QuanLy', 'Admin', 'Manager') THEN 'QuanLy' ELSE 'NhanVien' END AS role,

@@ -6,6 +6,10 @@ into one grouped pass: per customer (or per employee and customer),
 ``max(amount <> 0 AND start <= period < end)``. One shuffle on the group key
 instead of two correlated joins; NULL amounts make both flags NULL, i.e.
 false, as in SQL.
+
+Where the window ends at the latest period of the same rows, three months per group say all: the latest, the first with
+a sale and the last with any amount. They come from one hash aggregate of the combined sales (``sale_months``), which is
+cut by a checkpoint of one row a group; the latest period and the lost groups are both read from it.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from fieldlens.operators.scope import owned, scope_customers
 from fieldlens.plans.sales import combined_sales
 from fieldlens.schema import (CLINIC, LOST_REASON, REMINDER_MIDDLE, REMINDER_PREFIX,
                               REMINDER_SUFFIX, REP_ROLES_LOOSE)
-from fieldlens.session import Viewer
+from fieldlens.session import Viewer, checkpoint_dir
 
 
 def _month_start(period_col):
@@ -62,14 +66,44 @@ def lost_customers(T, viewer: Viewer, combined: DataFrame, bounds: DataFrame,
             .crossJoin(F.broadcast(bounds.select("period"))))
 
 
-def lost_sales(T, viewer: Viewer, combined: DataFrame | None = None) -> DataFrame:
+def month_number(period):
+    """'yyyy-MM' as the number yyyyMM: the same order, but one that hash aggregates can hold."""
+    return F.substring(period, 1, 4).try_cast("int") * 100 + F.substring(period, 6, 2).try_cast("int")
+
+
+def month_text(number):
+    return F.format_string("%04d-%02d", F.floor(number / 100), number % 100)
+
+
+def months_before(number, months: int):
+    """The month number ``months`` months before ``number``."""
+    since = F.floor(number / 100) * 12 + number % 100 - 1 - months
+    return F.floor(since / 12) * 100 + since % 12 + 1
+
+
+def sale_months(sales: DataFrame, *keys: str) -> DataFrame:
+    """(keys, latest, first_sold, last_active): per group the latest month, the first with an amount above 0 and the last
+    with one other than 0, checkpointed."""
+    m, amount = month_number(F.col("period")), F.col("amount")
+    checkpoint_dir(sales.sparkSession)
+    return (sales.groupBy(*keys).agg(F.max(m).alias("latest"), F.min(F.when(amount > 0, m)).alias("first_sold"),
+                                     F.max(F.when(amount != 0, m)).alias("last_active")).checkpoint(eager=True))
+
+
+def _lost(start):
+    """Sold before ``start`` and nothing since."""
+    return (F.col("first_sold") < start) & ~F.coalesce(F.col("last_active") >= start, F.lit(False))
+
+
+def lost_sales(T, viewer: Viewer, combined: DataFrame | None = None, months: int = 4) -> DataFrame:
     """R3 (alert trigger): window ends at the latest period of the viewer's own sales."""
     combined = combined_sales(T) if combined is None else combined
-    latest = owned(combined, viewer).agg(F.max("period").alias("period"))
-    bounds = bounds_from(latest).filter(F.col("period").isNotNull())
-    lost = lost_customers(T, viewer, combined, bounds)
-    return lost.select("customer_id", "customer_name", "period",
-                       F.lit(LOST_REASON).alias("reason"))
+    seen = sale_months(owned(combined, viewer), "customer_id")
+    end = seen.agg(F.max("latest").alias("end")).filter(F.col("end").isNotNull())  # single row
+    lost = seen.crossJoin(F.broadcast(end)).filter(_lost(months_before(F.col("end"), months - 1)))
+    return (active_clinics(T, scope_customers(T, viewer)).join(lost.select("customer_id"), "customer_id", "left_semi")
+            .crossJoin(F.broadcast(end.select(month_text(F.col("end")).alias("period"))))
+            .select("customer_id", "customer_name", "period", F.lit(LOST_REASON).alias("reason")))
 
 
 def lost_pairs(T, combined: DataFrame, bounds: DataFrame, assignments: DataFrame | None = None) -> DataFrame:
@@ -89,12 +123,15 @@ def lost_pairs(T, combined: DataFrame, bounds: DataFrame, assignments: DataFrame
             .select("employee_id", "customer_id", "customer_name", "period"))
 
 
-def lost_sales_by_rep(T, combined: DataFrame | None = None) -> DataFrame:
+def lost_sales_by_rep(T, combined: DataFrame | None = None, months: int = 4) -> DataFrame:
     """R3 for every employee at once: union of the per-rep alert lists."""
     combined = combined_sales(T) if combined is None else combined
-    latest = (combined.groupBy("employee_id").agg(F.max("period").alias("period"))
-              .filter(F.col("period").isNotNull()))
-    return lost_pairs(T, combined, bounds_from(latest, keys=["employee_id"]))
+    seen = sale_months(combined, "employee_id", "customer_id")
+    ends = seen.groupBy("employee_id").agg(F.max("latest").alias("end"))
+    lost = seen.join(ends, "employee_id").filter(_lost(months_before(F.col("end"), months - 1)))
+    clinics = active_clinics(T).select("customer_id", "customer_name")
+    return (lost.join(T.employee_customer, ["employee_id", "customer_id"], "left_semi").join(clinics, "customer_id")
+            .select("employee_id", "customer_id", "customer_name", month_text(F.col("end")).alias("period")))
 
 
 def lost_sales_latest(T, viewer: Viewer | None = None, n: int = 4, min_periods: int = 4,
@@ -106,12 +143,16 @@ def lost_sales_latest(T, viewer: Viewer | None = None, n: int = 4, min_periods:
     ``min_periods`` periods exist.
     """
     sales = combined_sales(T, variant="export") if sales is None else sales
+    checkpoint_dir(sales.sparkSession)
+    # One row a customer and month feeds both the latest periods and the flags.
+    sales = (sales.groupBy("customer_id", "period")
+             .agg(F.sum("amount").alias("amount"), F.max(F.col("amount") > 0).alias("sold")).checkpoint(eager=True))
     window = latest_periods(sales, n).withColumn("in_window", F.lit(True))
     enough = window.agg(F.count(F.lit(1)).alias("n_periods")).filter(F.col("n_periods") >= min_periods)
-    flagged = sales.select("customer_id", "period", "amount").join(F.broadcast(window), "period", "left")
+    flagged = sales.join(F.broadcast(window), "period", "left")
     in_w = F.coalesce(F.col("in_window"), F.lit(False))
     per_customer = (flagged.groupBy("customer_id")
-                    .agg(F.max(~in_w & (F.col("amount") > 0)).alias("had_earlier"),
+                    .agg(F.max(~in_w & F.col("sold")).alias("had_earlier"),
                          F.sum(F.when(in_w, F.col("amount"))).alias("recent_total"))
                     .filter(F.col("had_earlier") & (F.coalesce(F.col("recent_total"), F.lit(0)) == 0)))
     customers = T.customer if viewer is None else scope_customers(T, viewer)

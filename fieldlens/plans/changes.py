@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.functions.text import blank_to_null
 from fieldlens.operators.merge import append_rows, upsert
 from fieldlens.operators.scope import gate_changes
 from fieldlens.schema import MONEY, TENDER_STATUSES
@@ -20,7 +21,7 @@ from fieldlens.session import Viewer
 
 def valid_change(kind: str):
     """shape checks of one change row, as a boolean Column."""
-    present = lambda c: F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")
+    present = lambda c: blank_to_null(F.col(c).cast("string")).isNotNull()
     if kind == "sales":
         return (F.coalesce(F.col("period").rlike(r"^\d{4}-\d{2}$"), F.lit(False))
                 & present("customer_id") & present("product_id")
@@ -32,9 +33,11 @@ def valid_change(kind: str):
                 & present("customer_id") & present("product_id")
                 & q.isNotNull() & (q == F.floor(q)) & (q > 0) & (q <= 2**31 - 1))
     if kind == "tenders":
+        due = blank_to_null(F.col("due_date").cast("string"))  # optional; the calendar's dates only
         return (present("tender_id") & present("customer_id") & present("product_id") & present("status")
                 & (F.coalesce(F.col("quantity"), F.lit(0)) >= 0)
-                & (F.coalesce(F.col("bid_price"), F.lit(0)) >= 0))
+                & (F.coalesce(F.col("bid_price"), F.lit(0)) >= 0)
+                & (due.isNull() | due.rlike(r"^\d{4}-\d{2}-\d{2}$") & due.try_cast("date").isNotNull()))
     raise ValueError(kind)
 
 
@@ -85,7 +88,7 @@ def apply_changes(kind: str, changes: DataFrame, T, viewer: Viewer, as_of=None):
                            F.coalesce("quantity", F.lit(0)).cast("long").alias("quantity"),
                            F.coalesce("bid_price", F.lit(0)).cast(MONEY).alias("bid_price"),
                            "status", owner.alias("employee_id"),
-                           F.col("due_date").cast("date").alias("due_date"),
+                           blank_to_null(F.col("due_date").cast("string")).cast("date").alias("due_date"),
                            F.lit(str(as_of)).cast("date").alias("updated_date"), "seq")
         return upsert(T.tender, rows, ["tender_id"], "seq"), refused
     raise ValueError(kind)
@@ -115,11 +118,15 @@ def tender_changes(T) -> DataFrame:
     first = t.select("tender_id", "customer_id", "product_id", "quantity", "bid_price",
                      F.lit("TrungThau").alias("status"), F.date_format("due_date", "yyyy-MM-dd").alias("due_date"),
                      F.lit(1).alias("seq"))
+    third = t.filter(F.col("tender_id") % 4 == 3).select(  # blank and impossible due dates
+        "tender_id", "customer_id", "product_id", "quantity", "bid_price", F.lit("ChoKetQua").alias("status"),
+        F.when(F.col("tender_id") % 8 == 3, F.lit("2024-02-30")).otherwise(F.lit(" ")).alias("due_date"),
+        F.lit(3).alias("seq"))
     second = t.filter(F.col("tender_id") % 2 == 0).select(
         "tender_id", (F.col("customer_id") + 1).alias("customer_id"), "product_id",
         (F.col("quantity") - 100).alias("quantity"), "bid_price",
         F.lit("TruotThau").alias("status"), F.lit(None).cast("string").alias("due_date"), F.lit(2).alias("seq"))
-    return first.unionByName(second)
+    return first.unionByName(second).unionByName(third)
 
 
 def gate_report(T, viewer: Viewer) -> DataFrame:

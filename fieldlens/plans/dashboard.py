@@ -82,12 +82,12 @@ def dashboard(T, viewer: Viewer, period=None, as_of=None) -> DataFrame:
     picked = one.join(s_by_p, "period", "left").join(r_by_p, "period", "left").select(
         "period",
         F.coalesce("sales", F.lit(0)).cast(TOTAL).alias("sales"),
-        F.coalesce("prescription_quantity", F.lit(0)).cast("int").alias("prescription_quantity"),
+        F.coalesce("prescription_quantity", F.lit(0)).cast("long").alias("prescription_quantity"),
         F.coalesce("prescription_amount", F.lit(0)).cast(TOTAL).alias("prescription_amount"))
     tenders = (scope_rows(T.tender, T, viewer).filter(F.col("status").isin(*OPEN_TENDER_STATUSES))
-               .agg(F.count(F.lit(1)).cast("int").alias("open_tenders")))
+               .agg(F.count(F.lit(1)).cast("long").alias("open_tenders")))
     lost = lost_customers(T, viewer, combined, bounds, owner_scope=True).agg(
-        F.count(F.lit(1)).cast("int").alias("lost_sales"))
+        F.count(F.lit(1)).cast("long").alias("lost_sales"))
     plist = periods.agg(F.sort_array(F.collect_set("period"), asc=False).alias("available_periods"))
     # All inputs below are single rows (periods are months): the cross joins cost nothing.
     return picked.crossJoin(tenders).crossJoin(lost).crossJoin(plist)
@@ -122,22 +122,22 @@ def dashboard_by_rep(T, period=None, as_of=None) -> DataFrame:
     sales = (s.join(per, ["employee_id", "period"], "left_semi").groupBy("employee_id")
              .agg(F.sum("amount").cast(TOTAL).alias("sales")))
     rx = (r.join(per, ["employee_id", "period"], "left_semi").groupBy("employee_id")
-          .agg(F.sum("quantity").cast("int").alias("prescription_quantity"),
+          .agg(F.sum("quantity").cast("long").alias("prescription_quantity"),
                F.sum("amount").cast(TOTAL).alias("prescription_amount")))
     tenders = (t.filter(F.col("status").isin(*OPEN_TENDER_STATUSES)).groupBy("employee_id")
-               .agg(F.count(F.lit(1)).cast("int").alias("open_tenders")))
+               .agg(F.count(F.lit(1)).cast("long").alias("open_tenders")))
     from fieldlens.plans.alerts import lost_pairs  # local: avoids an import cycle
     lost = (lost_pairs(T, combined, bounds_from(per, keys=["employee_id"]), assignments=ec)
-            .groupBy("employee_id").agg(F.count(F.lit(1)).cast("int").alias("lost_sales")))
+            .groupBy("employee_id").agg(F.count(F.lit(1)).cast("long").alias("lost_sales")))
     out = (per.join(sales, "employee_id", "left").join(rx, "employee_id", "left")
            .join(tenders, "employee_id", "left").join(lost, "employee_id", "left"))
     return out.select(
         "employee_id", "period",
         F.coalesce("sales", F.lit(0).cast(TOTAL)).cast(TOTAL).alias("sales"),
-        F.coalesce("prescription_quantity", F.lit(0)).cast("int").alias("prescription_quantity"),
+        F.coalesce("prescription_quantity", F.lit(0)).cast("long").alias("prescription_quantity"),
         F.coalesce("prescription_amount", F.lit(0).cast(TOTAL)).cast(TOTAL).alias("prescription_amount"),
-        F.coalesce("open_tenders", F.lit(0)).cast("int").alias("open_tenders"),
-        F.coalesce("lost_sales", F.lit(0)).cast("int").alias("lost_sales"),
+        F.coalesce("open_tenders", F.lit(0)).cast("long").alias("open_tenders"),
+        F.coalesce("lost_sales", F.lit(0)).cast("long").alias("lost_sales"),
     )
 
 
