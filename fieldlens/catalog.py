@@ -27,7 +27,7 @@ from fieldlens.schema import MONEY, RESOURCES, SHEET_HEADERS, SHEET_MONEY
 from fieldlens.session import scratch_path
 from fieldlens.sources import csv as csvio
 from fieldlens.sources.versions import VersionedTable
-from fieldlens.sources.views import Tables
+from fieldlens.sources.views import DamagedTables, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -514,6 +514,25 @@ def q_duplicate_keys(spark, d):
     return quality.duplicate_keys(_t(spark, d))
 
 
+def _damaged(spark, d):
+    return DamagedTables(spark, d)
+
+
+@register("orphans_damaged")
+def q_orphans_damaged(spark, d):
+    return quality.orphans(_damaged(spark, d))
+
+
+@register("domain_checks_damaged")
+def q_domain_checks_damaged(spark, d):
+    return quality.domain_checks(_damaged(spark, d))
+
+
+@register("duplicate_keys_damaged")
+def q_duplicate_keys_damaged(spark, d):
+    return quality.duplicate_keys(_damaged(spark, d))
+
+
 @register("role_fold")
 def q_role_fold(spark, d):
     T = _t(spark, d)

@@ -1,15 +1,18 @@
 """Data-quality reports (Q2-Q4): orphans, domain rules, duplicate keys.
 
-Each check is one pass per table: anti joins for foreign keys, ``count_if``
-per rule in a single aggregate, ``groupBy(key).count() > 1`` for uniqueness.
+Each table is read once per report. A child's foreign keys are laid out as (column, value) rows and counted before any
+shuffle, so a value is one row a task however often it occurs; the distinct values of all children meet all parents'
+keys in a single anti join. Rules are counted in one aggregate a table; several unique keys of a table in one grouping.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from fieldlens.functions.text import slug
 from fieldlens.schema import MANAGER_ROLES, REP_ROLES_LOOSE, TENDER_STATUSES
@@ -21,6 +24,7 @@ PERIOD_SHAPE = r"^\d{4}-\d{2}$"
 # (child table, column, parent table, parent key)
 FOREIGN_KEYS = [
     ("customer", "territory_id", "territory", "territory_id"),
+    ("account", "employee_id", "employee", "employee_id"),
     ("employee_territory", "employee_id", "employee", "employee_id"),
     ("employee_territory", "territory_id", "territory", "territory_id"),
     ("employee_customer", "employee_id", "employee", "employee_id"),
@@ -36,25 +40,66 @@ FOREIGN_KEYS = [
     ("tender", "product_id", "product", "product_id"),
     ("daily_report", "employee_id", "employee", "employee_id"),
     ("kpi_target", "employee_id", "employee", "employee_id"),
+    ("kpi_target", "territory_id", "territory", "territory_id"),
     ("kpi_target", "product_id", "product", "product_id"),
+    ("sheet_sales", "employee_id", "employee", "employee_id"),
+    ("sheet_sales", "customer_id", "customer", "customer_id"),
+    ("sheet_sales", "product_id", "product", "product_id"),
 ]
 
+# Columns that must not be null, and the greatest lengths of texts.
+REQUIRED = {
+    "territory": ["territory_name", "region"],
+    "employee": ["employee_name", "email", "role", "status"],
+    "product": ["product_name", "dosage_form", "price", "status"],
+    "customer": ["customer_name", "customer_type", "territory_id", "status"],
+    "account": ["username", "employee_id"],
+    "prescription": ["report_date", "employee_id", "customer_id", "product_id", "quantity", "amount"],
+    "manual_sales": ["period", "customer_id", "product_id", "employee_id", "amount"],
+    "tender": ["customer_id", "product_id", "status", "employee_id", "updated_date"],
+    "daily_report": ["report_date", "employee_id", "summary"],
+    "kpi_target": ["period", "employee_id", "target_sales", "target_prescriptions"],
+    "sheet_sales": ["month", "year", "doc_date", "quantity", "revenue", "coefficient", "sales"],
+}
+LENGTHS = {
+    "territory": {"territory_name": 120, "region": 120},
+    "employee": {"email": 255, "sale_code": 20},
+    "product": {"product_name": 180, "active_ingredient": 240, "sale_code": 40, "unit": 30},
+    "customer": {"customer_name": 220, "sale_code": 40, "sale_group": 80},
+    "account": {"username": 80},
+    "manual_sales": {"period": 7, "source_note": 160},
+    "kpi_target": {"period": 7},
+}
+
+
+def key_counts(T) -> DataFrame:
+    """(table_name, column_name, parent, key_value, rows) of every foreign key's distinct values."""
+    parts = []
+    for child, keys in groupby(FOREIGN_KEYS, key=lambda k: k[0]):
+        parents = {col: parent for _, col, parent, _ in keys}
+        df = getattr(T, child).select(*parents)
+        if not all(isinstance(f.dataType, IntegralType) for f in df.schema):  # side by side they need one type
+            df = df.select(*[F.col(c).cast("string").alias(c) for c in parents])
+        parent = F.create_map(*[F.lit(x) for pair in parents.items() for x in pair])[F.col("column_name")]
+        parts.append(df.unpivot([], list(parents), "column_name", "_v").where(F.col("_v").isNotNull())
+                     .groupBy("column_name", "_v").agg(F.count(F.lit(1)).alias("rows"))
+                     .select(F.lit(child).alias("table_name"), "column_name", parent.alias("parent"),
+                             F.col("_v").cast("string").alias("key_value"), "rows"))
+    return reduce(DataFrame.unionByName, parts)
+
 
 def orphans(T) -> DataFrame:
     """Q2: child values with no parent row, counted per (table, column, value)."""
-    parts = []
-    for child, col, parent, pkey in FOREIGN_KEYS:
-        c = getattr(T, child).select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull())
-        p = getattr(T, parent).select(F.col(pkey).alias("_v"))
-        miss = c.join(p, "_v", "left_anti").groupBy("_v").agg(F.count(F.lit(1)).alias("rows"))
-        parts.append(miss.select(F.lit(child).alias("table_name"), F.lit(col).alias("column_name"),
-                                 F.col("_v").cast("string").alias("key_value"), "rows"))
-    return reduce(DataFrame.unionByName, parts)
+    parents = reduce(DataFrame.unionByName, [
+        getattr(T, parent).select(F.lit(parent).alias("parent"), F.col(key).cast("string").alias("key_value"))
+        for parent, key in sorted({(parent, key) for _, _, parent, key in FOREIGN_KEYS})])
+    return (key_counts(T).join(parents, ["parent", "key_value"], "left_anti")
+            .select("table_name", "column_name", "key_value", "rows"))
 
 
-def _rules(T):
+def _rules():
     in_roles = list(MANAGER_ROLES) + list(REP_ROLES_LOOSE)
-    return {
+    rules = {
         "prescription": {
             "quantity_positive": ~(F.col("quantity") > 0),
             "amount_not_negative": F.col("amount") < 0,
@@ -89,12 +134,17 @@ def _rules(T):
             "year_range": ~F.col("year").between(2000, 2100),
         },
     }
+    for table, cols in REQUIRED.items():
+        rules.setdefault(table, {}).update({f"{c}_required": F.col(c).isNull() for c in cols})
+    for table, cols in LENGTHS.items():
+        rules.setdefault(table, {}).update({f"{c}_length": F.length(c) > n for c, n in cols.items()})
+    return rules
 
 
 def domain_checks(T) -> DataFrame:
     """Q3: violations per rule, all rules of a table in one aggregate pass."""
     parts = []
-    for table, rules in _rules(T).items():
+    for table, rules in _rules().items():
         names = list(rules)
         agg = getattr(T, table).agg(*[F.count_if(F.coalesce(rules[n], F.lit(False))).alias(n) for n in names])
         stack = ", ".join(f"'{n}', `{n}`" for n in names)
@@ -106,40 +156,60 @@ def domain_checks(T) -> DataFrame:
 # (table, key columns, only rows where all keys are non-null)
 UNIQUE_KEYS = [
     ("employee", ["employee_id"], False),
+    ("employee", ["email"], True),
+    ("employee", ["sale_code"], True),
     ("customer", ["customer_id"], False),
+    ("customer", ["sale_code"], True),
     ("product", ["product_id"], False),
+    ("product", ["sale_code"], True),
     ("territory", ["territory_id"], False),
+    ("account", ["username"], False),
+    ("account", ["employee_id"], False),
+    ("employee_territory", ["employee_id", "territory_id"], False),
+    ("employee_customer", ["employee_id", "customer_id"], False),
+    ("prescription", ["prescription_id"], False),
     ("tender", ["tender_id"], False),
     ("manual_sales", ["period", "customer_id", "product_id"], False),
     ("daily_report", ["report_date", "employee_id"], False),
     ("kpi_target", ["period", "employee_id", "product_id"], False),
-    ("employee", ["sale_code"], True),
-    ("customer", ["sale_code"], True),
-    ("product", ["sale_code"], True),
     ("sheet_sales", ["order_key", "line_number"], False),
 ]
+CODED = ("employee", "customer", "product")  # tables whose ids may be generated from sale_code
 
 
-def surrogate_collisions(codes: DataFrame, id_col: str, code_col: str) -> DataFrame:
-    """Ids that more than one code holds, as (id, codes)."""
-    return (codes.filter(F.col(code_col).isNotNull()).groupBy(id_col)
-            .agg(F.count_distinct(code_col).alias("codes")).filter(F.col("codes") > 1))
+def _cells(df: DataFrame, keysets, coded: bool) -> DataFrame:
+    """(key_columns, vals, code): every key of every row; for a generated id its code, which ``code`` counts apart."""
+    def cell(name, vals, code=F.lit(None).cast("string")):
+        return F.struct(F.lit(name).alias("key_columns"), vals.alias("vals"), code.alias("code"))
+    cells = []
+    for keys, partial in keysets:
+        vals = F.array(*[F.col(k).cast("string") for k in keys])
+        whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        cells.append(cell(",".join(keys), F.when(whole, vals) if partial else vals))
+    if coded:
+        code = F.col("sale_code")
+        cells.append(cell("slug(sale_code)", F.when(code.isNotNull(), F.array(slug(code))), code))
+    return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(F.col("vals").isNotNull())
 
 
 def duplicate_keys(T) -> DataFrame:
-    """Q4: keys held by more than one row (partial unique keys skip NULLs), and sale codes with one generated id."""
+    """Q4: keys held by more than one row (partial unique keys skip NULLs), and sale codes with one generated id.
+
+    A table with a single key is grouped by the columns themselves; several keys of a table share one scan and grouping.
+    """
     parts = []
-    for table, keys, partial in UNIQUE_KEYS:
-        df = getattr(T, table)
-        if partial:
-            df = df.dropna(subset=keys)
-        dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
-        parts.append(dup.select(F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
-                                F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key_value"),
-                                "rows"))
-    for table in ("employee", "customer", "product"):
-        codes = getattr(T, table).select(slug(F.col("sale_code")).alias("_id"), "sale_code")
-        parts.append(surrogate_collisions(codes, "_id", "sale_code").select(
-            F.lit(table).alias("table_name"), F.lit("slug(sale_code)").alias("key_columns"),
-            F.col("_id").alias("key_value"), F.col("codes").alias("rows")))
+    for table, group in groupby(UNIQUE_KEYS, key=lambda k: k[0]):
+        keysets = [(keys, partial) for _, keys, partial in group]
+        df, coded = getattr(T, table), table in CODED
+        if len(keysets) == 1 and not coded and not keysets[0][1]:
+            keys = keysets[0][0]
+            dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+            name, value = F.lit(",".join(keys)), F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+        else:
+            dup = (_cells(df, keysets, coded).groupBy("key_columns", "vals", "code").agg(F.count(F.lit(1)).alias("n"))
+                   .groupBy("key_columns", "vals").agg(F.sum("n").alias("n"), F.count("code").alias("codes"))
+                   .withColumn("rows", F.when(F.col("codes") > 0, F.col("codes")).otherwise(F.col("n"))))
+            name, value = F.col("key_columns"), F.concat_ws("|", "vals")
+        parts.append(dup.where(F.col("rows") > 1).select(F.lit(table).alias("table_name"), name.alias("key_columns"),
+                                                         value.alias("key_value"), "rows"))
     return reduce(DataFrame.unionByName, parts)

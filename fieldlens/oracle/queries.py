@@ -7,7 +7,7 @@ the driver's tables through the views in ``oracle.views``.
 
 from __future__ import annotations
 
-from fieldlens.oracle.views import register, with_views
+from fieldlens.oracle.views import DAMAGED, register, with_views
 from fieldlens import params as P
 from fieldlens.schema import TENDER_LABELS
 
@@ -207,6 +207,7 @@ def build() -> dict[str, str]:
     build_lists()
     build_maintenance()
     build_quality()
+    build_quality("_damaged", DAMAGED)
     from fieldlens.oracle import sheet
     sheet.build(q)
     build_imports()
@@ -558,17 +559,22 @@ def build_maintenance() -> None:
                    CASE WHEN employee_id % 5 = 0 THEN NULL ELSE status END AS raw_status FROM v_employee)""")
 
 
-def build_quality() -> None:
-    from fieldlens.operators.quality import FOREIGN_KEYS, UNIQUE_KEYS
+def build_quality(suffix: str = "", damaged=()) -> None:
+    """The three reports over the tables, or over those with planted violations (``damaged``)."""
+    from fieldlens.operators.quality import CODED, FOREIGN_KEYS, LENGTHS, REQUIRED, UNIQUE_KEYS
+    from fieldlens.oracle.sheet import slug
+
+    def v(table):
+        return f"v_damaged_{table}" if table in damaged else f"v_{table}"
     parts = []
     for child, col, parent, pkey in FOREIGN_KEYS:
         parts.append(f"""
           SELECT '{child}' AS table_name, '{col}' AS column_name, CAST(c.{col} AS VARCHAR) AS key_value,
                  count(*) AS rows
-          FROM v_{child} c WHERE c.{col} IS NOT NULL
-            AND NOT EXISTS (SELECT 1 FROM v_{parent} p WHERE p.{pkey} = c.{col})
+          FROM {v(child)} c WHERE c.{col} IS NOT NULL
+            AND NOT EXISTS (SELECT 1 FROM {v(parent)} p WHERE p.{pkey} = c.{col})
           GROUP BY c.{col}""")
-    q("orphans", " UNION ALL ".join(parts))
+    q("orphans" + suffix, " UNION ALL ".join(parts))
     rules = {
         "prescription": {"quantity_positive": "NOT (quantity > 0)", "amount_not_negative": "amount < 0"},
         "manual_sales": {"amount_not_negative": "amount < 0",
@@ -586,20 +592,28 @@ def build_quality() -> None:
                        "period_shape": "NOT regexp_matches(period, '^\\d{4}-\\d{2}$')"},
         "sheet_sales": {"month_range": "NOT (month BETWEEN 1 AND 12)", "year_range": "NOT (year BETWEEN 2000 AND 2100)"},
     }
+    for table, cols in REQUIRED.items():
+        rules.setdefault(table, {}).update({f"{c}_required": f"{c} IS NULL" for c in cols})
+    for table, cols in LENGTHS.items():
+        rules.setdefault(table, {}).update({f"{c}_length": f"length({c}) > {n}" for c, n in cols.items()})
     parts = []
     for table, rs in rules.items():
         for name, cond in rs.items():
             parts.append(f"SELECT '{table}' AS table_name, '{name}' AS rule, "
-                         f"count(*) FILTER (WHERE coalesce({cond}, false)) AS violations FROM v_{table}")
-    q("domain_checks", " UNION ALL ".join(parts))
+                         f"count(*) FILTER (WHERE coalesce({cond}, false)) AS violations FROM {v(table)}")
+    q("domain_checks" + suffix, " UNION ALL ".join(parts))
     parts = []
     for table, keys, partial in UNIQUE_KEYS:
         where = ("WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in keys)) if partial else ""
         kv = "concat_ws('|', " + ", ".join(f"CAST({k} AS VARCHAR)" for k in keys) + ")"
         parts.append(f"""
           SELECT '{table}' AS table_name, '{','.join(keys)}' AS key_columns, {kv} AS key_value, count(*) AS rows
-          FROM v_{table} {where} GROUP BY {', '.join(keys)} HAVING count(*) > 1""")
-    q("duplicate_keys", " UNION ALL ".join(parts))
+          FROM {v(table)} {where} GROUP BY {', '.join(keys)} HAVING count(*) > 1""")
+    for table in CODED:
+        parts.append(f"""
+          SELECT '{table}', 'slug(sale_code)', {slug('sale_code')}, count(DISTINCT sale_code)
+          FROM {v(table)} WHERE sale_code IS NOT NULL GROUP BY 3 HAVING count(DISTINCT sale_code) > 1""")
+    q("duplicate_keys" + suffix, " UNION ALL ".join(parts))
 
 
 def build_routes(typed) -> None:

@@ -127,6 +127,50 @@ VIEWS["v_tender"] = f"""
         FROM ({VIEWS['v_tender']})"""
 
 
+# Tables with planted violations; those not named here are the tables themselves.
+DAMAGED: dict[str, str] = {
+    "territory": "SELECT * REPLACE (CASE WHEN territory_id % 9 <> 4 THEN region END AS region) FROM v_territory",
+    "employee": """
+        SELECT * REPLACE (
+          CASE WHEN employee_id % 31 <> 7 THEN employee_name END AS employee_name,
+          CASE employee_id % 13 WHEN 5 THEN 'shared@example.com' WHEN 6 THEN 'no address'
+               WHEN 7 THEN repeat('x', 250) || '@example.com' ELSE email END AS email,
+          CASE WHEN employee_id % 17 = 2 THEN 'Gone' ELSE status END AS status)
+        FROM v_employee""",
+    "employee_territory": """
+        SELECT employee_id, territory_id + CASE WHEN employee_id % 9 = 4 THEN 100 ELSE 0 END AS territory_id, is_primary
+        FROM v_employee_territory, range(2) r(i) WHERE i = 0 OR (employee_id % 10 = 1 AND is_primary)""",
+    "product": """
+        SELECT * REPLACE (CASE WHEN product_id % 10 IN (0, 1) THEN 'MA' || CAST(product_id // 2 AS VARCHAR)
+                                    || CASE WHEN product_id % 2 = 0 THEN '-' ELSE '.' END || 'z'
+                               ELSE sale_code END AS sale_code) FROM v_product""",
+    "customer": """
+        SELECT * REPLACE (
+          CASE customer_id % 23 WHEN 6 THEN territory_id + 50 WHEN 7 THEN NULL ELSE territory_id END AS territory_id,
+          CASE WHEN customer_id % 29 = 3 THEN 'Khac' ELSE customer_type END AS customer_type) FROM v_customer""",
+    "employee_customer": """
+        SELECT employee_id, customer_id FROM v_employee_customer, range(2) r(i) WHERE i = 0 OR customer_id % 19 = 3""",
+    "account": """
+        SELECT CASE WHEN employee_id % 5 = 1 THEN -employee_id ELSE employee_id END AS employee_id,
+               CASE WHEN employee_id % 8 = 2 THEN 'shared' ELSE username END AS username FROM v_account""",
+    "sheet_sales": """
+        SELECT * REPLACE (CASE WHEN product_id % 37 = 5 THEN -product_id ELSE product_id END AS product_id,
+                          CASE WHEN order_key % 41 <> 7 THEN employee_id END AS employee_id,
+                          CASE WHEN order_key % 43 = 1 THEN 13 ELSE month END AS month) FROM v_sheet_sales""",
+    # hand-entered sales are made from the damaged sheet
+    "manual_sales": VIEWS["v_manual_sales"].replace("v_sheet_sales", "v_damaged_sheet_sales"),
+    "prescription": """
+        SELECT * REPLACE (CASE WHEN employee_id % 8 = 3 THEN 0 ELSE quantity END AS quantity,
+                          CASE WHEN product_id % 21 = 4 THEN -amount ELSE amount END AS amount) FROM v_prescription""",
+    "tender": "SELECT * REPLACE (CASE WHEN tender_id % 14 <> 2 THEN updated_date END AS updated_date) FROM v_tender",
+    "kpi_target": """
+        SELECT * REPLACE (CASE employee_id % 6 WHEN 2 THEN 99 WHEN 3 THEN NULL ELSE territory_id END AS territory_id,
+                          CASE WHEN employee_id % 12 = 5 THEN period || 'x' ELSE period END AS period)
+        FROM (SELECT k.* FROM v_kpi_target k, range(2) r(i) WHERE i = 0 OR employee_id % 15 = 1)""",
+}
+VIEWS |= {f"v_damaged_{name}": sql for name, sql in DAMAGED.items()}
+
+
 _NAME = re.compile(r"\bv_[a-z_0-9]+\b")
 
 

@@ -255,5 +255,84 @@ class Tables:
                         F.col("s_nationkey").cast("int").alias("target_prescriptions")))
 
 
+class DamagedTables(Tables):
+    """The same tables with planted violations of the quality rules: lost parents, missing, long, shared and impossible
+    values, repeated rows. The violations grow with the tables."""
+
+    @cached_property
+    def territory(self) -> DataFrame:
+        t = super().territory
+        return t.withColumn("region", F.when(F.col("territory_id") % 9 != 4, F.col("region")))
+
+    @cached_property
+    def employee(self) -> DataFrame:
+        key = F.col("employee_id")
+        return super().employee.withColumns({
+            "employee_name": F.when(key % 31 != 7, F.col("employee_name")),
+            "email": F.when(key % 13 == 5, "shared@example.com").when(key % 13 == 6, "no address")
+                      .when(key % 13 == 7, F.concat(F.repeat(F.lit("x"), 250), F.lit("@example.com"))).otherwise(F.col("email")),
+            "status": F.when(key % 17 == 2, "Gone").otherwise(F.col("status")),
+        })
+
+    @cached_property
+    def employee_territory(self) -> DataFrame:
+        t = super().employee_territory
+        moved = t.withColumn("territory_id", F.when(F.col("employee_id") % 9 == 4, F.col("territory_id") + 100)
+                             .otherwise(F.col("territory_id")))
+        return moved.unionByName(moved.where("employee_id % 10 = 1 and is_primary"))
+
+    @cached_property
+    def product(self) -> DataFrame:
+        key = F.col("product_id")
+        # Two codes of neighbouring products that differ in a sign only, so their generated ids would be one.
+        pair = F.concat(F.lit("MA"), F.floor(key / 2).cast("string"), F.when(key % 2 == 0, "-").otherwise("."), F.lit("z"))
+        return super().product.withColumn("sale_code", F.when(key % 10 < 2, pair).otherwise(F.col("sale_code")))
+
+    @cached_property
+    def customer(self) -> DataFrame:
+        key = F.col("customer_id")
+        return super().customer.withColumns({
+            "territory_id": F.when(key % 23 == 6, F.col("territory_id") + 50).when(key % 23 == 7, F.lit(None))
+                             .otherwise(F.col("territory_id")),
+            "customer_type": F.when(key % 29 == 3, "Khac").otherwise(F.col("customer_type"))})
+
+    @cached_property
+    def employee_customer(self) -> DataFrame:
+        pairs = super().employee_customer
+        return pairs.unionByName(pairs.where("customer_id % 19 = 3"))
+
+    @cached_property
+    def account(self) -> DataFrame:
+        key = F.col("employee_id")
+        return super().account.withColumns({
+            "employee_id": F.when(key % 5 == 1, -key).otherwise(key),
+            "username": F.when(key % 8 == 2, "shared").otherwise(F.col("username"))})
+
+    @cached_property
+    def sheet_sales(self) -> DataFrame:
+        return super().sheet_sales.withColumns({
+            "product_id": F.when(F.col("product_id") % 37 == 5, -F.col("product_id")).otherwise(F.col("product_id")),
+            "employee_id": F.when(F.col("order_key") % 41 != 7, F.col("employee_id")),
+            "month": F.when(F.col("order_key") % 43 == 1, 13).otherwise(F.col("month"))})
+
+    @cached_property
+    def prescription(self) -> DataFrame:
+        return super().prescription.withColumns({
+            "quantity": F.when(F.col("employee_id") % 8 == 3, 0).otherwise(F.col("quantity")),
+            "amount": F.when(F.col("product_id") % 21 == 4, -F.col("amount")).otherwise(F.col("amount"))})
+
+    @cached_property
+    def tender(self) -> DataFrame:
+        return super().tender.withColumn("updated_date", F.when(F.col("tender_id") % 14 != 2, F.col("updated_date")))
+
+    @cached_property
+    def kpi_target(self) -> DataFrame:
+        key = F.col("employee_id")
+        t = super().kpi_target.withColumns({
+            "territory_id": F.when(key % 6 == 2, F.lit(99)).when(key % 6 != 3, F.col("territory_id")),
+            "period": F.when(key % 12 == 5, F.concat(F.col("period"), F.lit("x"))).otherwise(F.col("period"))})
+        return t.unionByName(t.where("employee_id % 15 = 1"))
+
+
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
