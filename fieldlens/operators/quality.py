@@ -2,7 +2,7 @@
 
 Each table is read once per report. A child's foreign keys are laid out as (column, value) rows and counted before any
 shuffle, so a value is one row a task however often it occurs; the distinct values of all children meet all parents'
-keys in a single anti join. Rules are counted in one aggregate a table; several unique keys of a table in one grouping.
+keys in a single join. Rules are counted in one aggregate a table; several unique keys of a table in one grouping.
 """
 
 from __future__ import annotations
@@ -93,7 +93,9 @@ def orphans(T) -> DataFrame:
     parents = reduce(DataFrame.unionByName, [
         getattr(T, parent).select(F.lit(parent).alias("parent"), F.col(key).cast("string").alias("key_value"))
         for parent, key in sorted({(parent, key) for _, _, parent, key in FOREIGN_KEYS})])
-    return (key_counts(T).join(parents, ["parent", "key_value"], "left_anti")
+    # An outer join, since Spark moves an anti join below the union: every child would read every parent.
+    known = parents.distinct().withColumn("known", F.lit(True))
+    return (key_counts(T).join(known, ["parent", "key_value"], "left").where(F.col("known").isNull())
             .select("table_name", "column_name", "key_value", "rows"))
 
 
