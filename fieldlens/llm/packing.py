@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -44,6 +45,7 @@ class WordTokenizer:
 
     For tokenizers that lower the case and drop white space (so that no token spans it). Words are cached, and a
     word's closing ASCII punctuation is encoded apart: the tokenizer splits between a letter and such a sign itself.
+    Added tokens (``<|endoftext|>``), as written, are single ids and part the text, as in a plain call of the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -52,6 +54,9 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         vocabulary = self.model.get_vocab()
+        added = {a.content: i for i, a in self.model.get_added_tokens_decoder().items()}
+        self.added = {content: np.array([i], "<u4").tobytes() for content, i in added.items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.recent: dict[bytes, bytes] = {}
@@ -99,17 +104,23 @@ class WordTokenizer:
         for (w, _), e in zip(single, self.model.encode_batch_fast([x[1] for x in single], add_special_tokens=False)):
             yield w, array("I", e.ids).tobytes()
 
+    def _encode(self, text: str) -> bytes:
+        words = text.encode().lower().split()
+        ids = list(map(self.recent.get, words))
+        if missing := [i for i, x in enumerate(ids) if x is None]:
+            self._learn({words[i] for i in missing})
+            for i in missing:
+                ids[i] = self.recent[words[i]]
+        return b"".join(ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Native 32-bit ids of each text."""
         out = []
         for t in texts:
-            words = t.encode().lower().split()
-            ids = list(map(self.recent.get, words))
-            if missing := [i for i, x in enumerate(ids) if x is None]:
-                self._learn({words[i] for i in missing})
-                for i in missing:
-                    ids[i] = self.recent[words[i]]
-            out.append(b"".join(ids))
+            if any(x in t for x in self.added):
+                out.append(b"".join(self.added.get(x) or self._encode(x) for x in self.parts.split(t)))
+            else:
+                out.append(self._encode(t))
         return out
 
 
