@@ -4,14 +4,13 @@
    that holds its word count.
 2. The document frequency of each licence word over all documents gives its IDF. Each template is indexed by its
    rarest words only (``rare_words``); the index, a few hundred rows, is broadcast.
-3. A document looks up its ``TOP_WORDS`` highest-IDF indexed words, and always a template's rarest word. A posting's place
-   in its template gives the place where the template would begin (the relative position); equal ones meet.
+3. A document looks up all its indexed words, the highest-IDF licence words it holds. A posting's place in its template
+   gives the place where the template would begin (the relative position); equal ones meet.
 4. Each such alignment is verified word by word against the document's places: a base phrase must stand there whole; a
    notice needs ``MIN_SHARE`` of its IDF weight and its mandatory key phrase whole.
 
-Defined results: a null, empty or wordless text has no words, no places and score 0; no documents give no rows; rows that
-repeat a doc_id are searched as one document and come back once each; rows without doc_id are counted but not searched;
-extra columns aren't read.
+Defined results: a null, empty or wordless text has no words, no places and score 0; no documents give no rows; every row
+comes back with the result of its own text, rows that repeat a doc_id and rows without one too; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -44,7 +43,7 @@ NOTICES = (
 )
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-TOP_WORDS = 8
+ROW = ["own", "text_key"]  # a text of an id: doc_id (the least long for none) and the text's hash
 MIN_SHARE = 0.7
 
 
@@ -64,7 +63,8 @@ def rare_words(words: list[str], idf: dict[str, float]) -> list[str]:
 
 
 def word_places(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, word) of the vocabulary's words; the row with the empty word holds the word count as pos."""
+    """(doc_id, own, text_key, pos, word) of the vocabulary's words; the row with the empty word holds the word count as
+    pos."""
     lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
                           "abcdefghijklmnopqrstuvwxyz")
 
@@ -73,8 +73,11 @@ def word_places(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id",
         last = (F.element_at(w, -1) == "").cast("int")
         return F.slice(w, first + 1, F.greatest(F.size(w) - first - last, F.lit(0)))
     words = F.concat(let(F.split(lowered, SEPARATORS), inner), F.array(F.lit("")))
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("w"))
-            .select("doc_id", F.posexplode("w").alias("pos", "word")).where(F.col("word").isin(["", *vocabulary])))
+    doc_id = F.col(id_col).cast("long")
+    return (docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-1 << 63)).alias("own"),
+                        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), words.alias("w"))
+            .select("doc_id", *ROW, F.posexplode("w").alias("pos", "word"))
+            .where(F.col("word").isin(["", *vocabulary])))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,13 +86,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     templates = _templates()
     vocabulary = sorted({w for t in templates for w in t["words"]})
     places = stage(word_places(docs, vocabulary, id_col, text_col), "words")
-    ends = places.where("word = ''").select("doc_id", F.col("pos").cast("long").alias("n_words"))
-    hits = places.where("word <> '' and doc_id is not null")
-    if not ends.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).isEmpty():
+    ends = places.where("word = ''").select("doc_id", *ROW, F.col("pos").cast("long").alias("n_words"))
+    hits = places.where("word <> ''").drop("doc_id")
+    if not ends.groupBy(*ROW).count().where("count > 1").limit(1).isEmpty():
         hits = hits.distinct()
 
     # Document frequencies over all documents: one row per licence word.
-    df = hits.select("doc_id", "word").distinct().groupBy("word").count()
+    df = hits.select(*ROW, "word").distinct().groupBy("word").count()
     seen = {r["word"]: r["count"] for r in df.collect()}
     n = ends.count()
     idf = {w: math.log((n + 1) / (seen.get(w, 0) + 1)) + 1 for w in vocabulary}
@@ -98,26 +101,20 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rare = rare_words(t["words"], idf)
         for k, w in enumerate(t["words"]):
             if w in rare:
-                postings.append((w, number, k, float(idf[w]), w == rare[0]))
+                postings.append((w, number, k))
             expected.append((number, k, w, float(idf[w]), k in t["key"]))
-    index = spark.createDataFrame(postings, "word string, template int, k int, idf double, rarest boolean")
-    index = index.withColumn("rarest", F.max("rarest").over(_by("word")))
+    index = spark.createDataFrame(postings, "word string, template int, k int")
     expected = spark.createDataFrame(expected, "template int, k int, word string, idf double, key boolean")
     facts = spark.createDataFrame(
         [(i, t["label"], t["base"], len(t["words"]), len(t["key"]), float(sum(idf[w] for w in t["words"])))
          for i, t in enumerate(templates)],
         "template int, label string, base boolean, n_template int, n_key int, total double")
 
-    # Each document's highest-IDF indexed words, and every template's rarest word.
-    words = hits.join(F.broadcast(index.select("word", "idf", "rarest").distinct()), "word")
-    best = (words.groupBy("doc_id").agg(F.collect_set(F.struct("idf", "word")).alias("w"))  # as many as indexed words
-            .select("doc_id", F.slice(F.sort_array("w", asc=False), 1, TOP_WORDS)["word"].alias("best")))
-    looked_up = words.join(best, "doc_id").where(F.col("rarest") | F.array_contains("best", F.col("word")))
-    aligned = (looked_up.select("doc_id", "pos", "word").join(F.broadcast(index.select("word", "template", "k")), "word")
-               .select("doc_id", "template", (F.col("pos") - F.col("k")).alias("start")).where("start >= 0").distinct())
+    aligned = (hits.join(F.broadcast(index), "word")
+               .select(*ROW, "template", (F.col("pos") - F.col("k")).alias("start")).where("start >= 0").distinct())
     wanted = (aligned.join(F.broadcast(expected), "template")
-              .select("doc_id", "template", "start", (F.col("start") + F.col("k")).alias("pos"), "word", "idf", "key"))
-    found = (wanted.join(hits, ["doc_id", "pos", "word"]).groupBy("doc_id", "template", "start")
+              .select(*ROW, "template", "start", (F.col("start") + F.col("k")).alias("pos"), "word", "idf", "key"))
+    found = (wanted.join(hits, [*ROW, "pos", "word"]).groupBy(*ROW, "template", "start")
              .agg(F.count("*").alias("matched"), F.sum("idf").alias("weight"), F.sum(F.col("key").cast("int")).alias("keyed"))
              .join(F.broadcast(facts), "template"))
     whole = F.col("matched") == F.col("n_template")
@@ -125,22 +122,17 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.withColumn("share", share).withColumn(
         "named", F.when(F.col("base"), whole).otherwise((F.col("share") >= MIN_SHARE) & (F.col("keyed") == F.col("n_key"))))
     is_base = F.col("base") & F.col("named")
-    by_doc = found.groupBy("doc_id").agg(
+    by_doc = found.groupBy(*ROW).agg(
         F.count(F.when(is_base, 1)).alias("n_base"), F.min(F.when(is_base, F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(is_base, F.col("start"))).cast("long").alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(is_base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("named"), F.col("label")))), ",").alias("labels"),
         F.max("share").alias("score"))
-    return ends.join(by_doc, "doc_id", "left").select(
+    return ends.join(by_doc, ROW, "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
 
 
-def _by(*cols):
-    from pyspark.sql import Window
-    return Window.partitionBy(*cols)
-
-
 def op2(spark, sf_dir: str) -> DataFrame:
     return license_scan(read_table(spark, sf_dir, "documents"))
