@@ -176,7 +176,7 @@ def test_licenses(docs):
     for i, t in rows_of(docs):
         w = split.findall(lower(t))
         places = [(p, label) for phrase, label in licenses.BASE for p in range(len(w))
-                  if w[p:p + len(phrase.split())] == phrase.split()] if i is not None else []
+                  if w[p:p + len(phrase.split())] == phrase.split()]
         r = got[i]
         at = [p for p, _ in places]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (
@@ -185,6 +185,46 @@ def test_licenses(docs):
     assert got[42]["n_base"] == 4
 
 
+def test_license_notices(spark):
+    """Labels and score of altered notices, against a plain search of every indexed start."""
+    texts = [t for _, t, _ in licenses.NOTICES]
+    grant = next(t for label, t, _ in licenses.NOTICES if label == "mit-grant")
+    altered = [grant.replace(w, "zzz") for w in ("charge", "copy", "files", "permission")]
+    rows = [(1, grant), (2, altered[0]), (3, " ".join(f"w{i}" for i in range(400)) + " " + " ".join(texts[:4]) + " x " + altered[0]),
+            (4, altered[1] + " " + " ".join(reversed(texts))), (5, altered[2]), (6, altered[3]), (None, "the MIT license"),
+            (None, "nothing here"), (7, "mit license"), (7, "released, under the"), (7, "mit license"), (8, None), (9, "cc by nc"),
+            (10, "Licensed under CC-BY-NC 4.0"), (11, "by cc " * 30 + "cc by"), (12, texts[2].replace("modify", "change"))]
+    split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    found = [split.findall(lower(t)) for _, t in rows]
+    templates = [(b, p.split(), p.split(), True) for p, b in licenses.BASE] + [
+        (b, t.split(), k.split(), False) for b, t, k in licenses.NOTICES]
+    vocabulary = {w for _, t, _, _ in templates for w in t}
+    df = Counter(w for words_of in {(i, tuple(f)) for (i, _), f in zip(rows, found)} for w in set(words_of[1]))
+    idf = {w: np.log((len(rows) + 1) / (df[w] + 1)) + 1 for w in vocabulary}
+    want = Counter()
+    for (i, _), w in zip(rows, found):
+        labels, score = set(), 0.0
+        for label, t, key, base in templates:
+            rare = licenses.rare_words(t, idf)
+            at = next(x for x in range(len(t)) if t[x:x + len(key)] == key)
+            for start in range(len(w)):
+                here = [w[start + x] if start + x < len(w) else None for x in range(len(t))]
+                if not any(t[x] == here[x] and t[x] in rare for x in range(len(t))):
+                    continue
+                same = [x for x in range(len(t)) if t[x] == here[x]]
+                share = 1.0 if len(same) == len(t) else sum(idf[t[x]] for x in same) / sum(idf[x] for x in t)
+                score = max(score, share)
+                if share == 1.0 if base else share >= licenses.MIN_SHARE and set(range(at, at + len(key))) <= set(same):
+                    labels.add(label)
+        want[i, ",".join(sorted(labels)), round(score, 9)] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = licenses.license_scan(docs).collect()
+    assert Counter((r["doc_id"], r["labels"], r["score"]) for r in out) == want
+    got = {r["doc_id"]: r["labels"] for r in out}
+    assert got[2] == "mit-grant" and "mit-grant" in got[3] and "mit-grant" in got[4] and got[6] == ""
+    assert (None, "mit", 1.0) in want and (7, "mit", 1.0) in want
+
+
 def test_fingerprints(docs):
     rows = sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     got = sorted(fingerprints.fingerprints(docs).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
@@ -245,6 +285,18 @@ def test_packing(docs):
         assert at == s[0]["sequence_tokens"] <= 2048
 
 
+def test_tokens_as_in_a_plain_call():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(packing.TOKENIZER)
+    plain, ours = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    texts = ["hello <|endoftext|> world", "<|startoftext|>", "a<|endoftext|><|endoftext|>b.", "<|EndOfText|> x", "<|endoftext",
+             " <|startoftext|>\n\nIt's 3.5<|endoftext|>!", "no added token.", "", "é<|endoftext|>É <|startoftext|> ."]
+    got = [np.frombuffer(x, "<u4").tolist() for x in ours.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [3306, 49407, 1002]
+
+
 def test_recipe_uses_every_piece():
     counts = np.bincount(np.random.default_rng(2).integers(1, 2049, 5000), minlength=2049)
     used = np.zeros(2049, np.int64)
