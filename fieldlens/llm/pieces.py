@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldlens.llm.common import read_table
 
@@ -36,7 +37,7 @@ SPACE = "▁"
 CACHE_PARTS = 150_000
 #: Signs up to which parts are merged side by side, in groups of so many, and remembered; longer ones have a heap.
 SHORT, ROWS = 40, 20_000
-NONE = 1 << 40
+NONE = 1 << 30
 #: Signs of text that go to the library at once.
 CHECK_SIGNS = 4_000_000
 
@@ -200,6 +201,11 @@ class Vocabulary:
                        for n in self.ids for k in range(1, len(n)) if n[:k] in number and n[k:] in number)
         none = (1 << 62, -1, NONE)  # what a pair outside the table finds
         self.pair, self.made, self.rank = (np.array(c, np.int64) for c in zip(*pairs, none))
+        # Where no two pieces share a score, the rank says which piece is made.
+        self.made_by = None
+        if len(rank) == len(self.ids):
+            self.made_by = np.zeros(len(rank), np.int32)
+            self.made_by[[rank[self.costs[n]] for n in self.ids]] = [number[n] for n in self.ids]
         out = [self.packed.get(n) or self._outside(n) for n in names]
         self.n_ids = np.array([len(o) // 4 for o in out])
         self.first_id = np.cumsum(self.n_ids) - self.n_ids
@@ -207,7 +213,7 @@ class Vocabulary:
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank of the score, symbol made) of adjacent symbols; NONE where they are no piece."""
-        key = np.where((left >= 0) & (right >= 0), left * self.n_symbols + right, -1)
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.n_symbols + right, -1)
         at = np.searchsorted(self.pair, key)
         at[self.pair[at] != key] = len(self.pair) - 1
         return self.rank[at], self.made[at]
@@ -218,31 +224,30 @@ class Vocabulary:
         n = len(parts)
         sizes = np.fromiter(map(len, parts), np.int64, n)
         width = int(sizes.max()) + 1  # a column of none at the end
-        symbols = np.full((n, width), -1, np.int64)
+        symbols = np.full((n, width), -1, np.int32)
         inside = np.arange(width) < sizes[:, None]
         symbols[inside] = self.sign[np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")]
-        agenda, _ = self._rank(symbols[:, :-1], symbols[:, 1:])
+        agenda = self._rank(symbols[:, :-1], symbols[:, 1:])[0].astype(np.int32)
+        place = np.arange(width - 1)
         rows = np.arange(n)  # that may still have a pair
         while len(rows):
             at = agenda.argmin(axis=1)
             own = np.arange(len(rows))
-            some = agenda[own, at] < NONE
+            best = agenda[own, at]
+            some = best < NONE
             if not some.all():
-                rows, at, agenda = rows[some], at[some], agenda[some]
+                rows, at, agenda, best = rows[some], at[some], agenda[some], best[some]
                 own = np.arange(len(rows))
                 if not len(rows):
                     break
             now = symbols[rows]
-            _, made = self._rank(now[own, at], now[own, at + 1])
-            place = np.arange(width)
-            source = np.minimum(place + (place > at[:, None]), width - 1)
-            now = np.take_along_axis(now, source, axis=1)
+            made = self.made_by[best] if self.made_by is not None else self._rank(now[own, at], now[own, at + 1])[1]
+            moved = place > at[:, None]  # one place to the left
+            now[:, :-1] = np.where(moved, now[:, 1:], now[:, :-1])
             now[own, at] = made
             now[:, -1] = -1
             symbols[rows] = now
-            place = np.arange(width - 1)
-            source = np.minimum(place + (place > at[:, None]), width - 2)
-            agenda = np.take_along_axis(agenda, source, axis=1)
+            agenda[:, :-1] = np.where(moved[:, :-1], agenda[:, 1:], agenda[:, :-1])
             agenda[:, -1] = NONE
             agenda[own, at] = self._rank(now[own, at], now[own, at + 1])[0]
             before = at > 0
@@ -376,7 +381,14 @@ def encode_texts(docs: DataFrame, text_col: str = "text", model: str = MODEL, bo
     ids) and agrees (the library has the same ids and the same text for them)."""
     sent = _Sent(docs.sparkSession, model_bytes(model))
 
-    @F.arrow_udf("struct<ids: binary, decoded: string, agrees: boolean>")
+    kind = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType()),
+                         T.StructField("agrees", T.BooleanType())])
+    texts_of = "_pieces_text"
+    while texts_of in docs.columns:
+        texts_of += "_"
+    kept = [f for f in docs.schema if f.name != out]
+    schema = T.StructType([*kept, T.StructField(out, kind)])
+
     def encoded(column: pa.Array) -> pa.Array:
         own, library = _loaded(sent)
         parts = []
@@ -393,7 +405,13 @@ def encode_texts(docs: DataFrame, text_col: str = "text", model: str = MODEL, bo
                 ["ids", "decoded", "agrees"]))
         return pa.concat_arrays(parts) if parts else pa.nulls(0, pa.struct(
             [("ids", pa.binary()), ("decoded", pa.string()), ("agrees", pa.bool_())]))
-    return docs.withColumn(out, encoded(F.col(text_col).cast("string")))
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            others = [batch.column(i) for i in range(batch.num_columns - 1)]  # the text comes last
+            yield pa.RecordBatch.from_arrays([*others, encoded(batch.column(batch.num_columns - 1))], [f.name for f in schema])
+    given = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text_col).cast("string").alias(texts_of))
+    return given.mapInArrow(batches, schema)
 
 
 def decode_ids(rows: DataFrame, ids_col: str = "ids", model: str = MODEL, out: str = "decoded") -> DataFrame:
