@@ -129,3 +129,18 @@ def test_purge_by_territory_and_tender(spark):
                    "tender": [(3, 1, 1, 1)]}
     with pytest.raises(ValueError, match="unknown kinds"):
         merge.purge(tables, {"region": keys["tender"]})
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_per_key_with_ties_nulls_and_no_place(spark):
+    from fieldlens.operators.keys import first_per_key
+    rows = spark.createDataFrame([("a", 3, "x"), ("a", 2, "y"), ("a", 2, "y"), ("b", None, "z"), ("c", None, "w"), ("c", 5, None),
+                                  (None, 1, "n"), (None, 4, "m")], "k string, seq long, v string")
+    got = first_per_key(rows, ["k"], "seq")
+    assert {tuple(r) for r in got.collect()} == {("a", 2, "y"), ("b", None, None), ("c", 5, None), (None, 1, "n")}
+    assert got.count() == 4
+    # Places are compared as numbers before any row is taken; rows were sorted by key before.
+    assert "partial_min(seq" in _plan(got)
