@@ -99,3 +99,19 @@ def test_small_parsers(spark):
     assert _one(spark, ["Inactive", "inactive", None], normalise_status) == ["Inactive", "Active", "Active"]
     got = _one(spark, ["", "12", "abc", None], strict_number)
     assert [None if g is None else Decimal(g) for g in got] == [Decimal(0), Decimal(12), None, Decimal(0)]
+
+
+def test_numbers_and_dates_are_compiled(spark):
+    from fieldlens.functions.dates import parse_doc_date
+    from fieldlens.functions.numbers import with_locale_numbers
+    texts = ["1.234,5", "(1.234,5)", "+1,5", "1.2,5e3", "1\u0085", "１", "()", "", None, "1.234.567", " - ", "1e400"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = with_locale_numbers(df, {"n": ("t", False), "c": ("t", True)})
+    rows = got.orderBy("i").collect()
+    assert [None if r.n is None else float(r.n) for r in rows] == [1234.5, -1234.5, None, 12500.0, None, None, None, 0.0, 0.0,
+                                                                   1234567.0, 0.0, None]
+    # One-element functions keep the two projections apart; the rules themselves are no interpreted functions.
+    assert got._jdf.queryExecution().executedPlan().toString().count("transform(") <= 4
+    dates = spark.createDataFrame([("13/2/2024",), ("2-13-2024",), ("2/30/2024",), ("1/2/2024\u0085",), (" 2024-02-29 ",), ("45000.7",)],
+                                  "t string").select(parse_doc_date("t").cast("string").alias("d"))
+    assert [r.d for r in dates.collect()] == ["2024-02-13", "2024-02-13", None, "2024-01-02", "2024-02-29", "2023-03-15"]

@@ -4,6 +4,8 @@ import datetime
 from decimal import Decimal
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
 from fieldlens.operators import quality
 from fieldlens.plans import ingest
 
@@ -84,3 +86,16 @@ def test_import_stats_by_source(spark):
     assert "Expand" not in stats._jdf.queryExecution().executedPlan().toString()
     empty = ingest.import_stats(df.limit(0)).first()
     assert tuple(empty) == (0, 0, None, None, 0, 0, 0, Decimal(0), None, None)
+
+
+def test_import_stats_of_scattered_rows(spark):
+    df = spark.createDataFrame([("a", 700, "e1", "c1", None), ("a", 2, "e1", "c2", None), ("a", 700, "e2", "c1", "p1"),
+                                (None, None, None, "c1", "p1"), ("b", 65, "e1", None, None)],
+                               "source_id string, source_row long, employee_id string, customer_id string, product_id string")
+    df = df.withColumn("sales", F.lit("1.50").cast("decimal(18,2)")).withColumn("doc_date", F.lit("2024-01-02").cast("date"))
+    stats = ingest.import_stats(df, ["source_id"])
+    got = {r.source_id: (r.row_count, r.source_row_count, r.min_source_row, r.max_source_row, r.employee_count,
+                         r.customer_count, r.product_count, float(r.total_sales)) for r in stats.collect()}
+    assert got == {"a": (3, 2, 2, 700, 2, 2, 1, 4.5), None: (1, 0, None, None, 0, 1, 1, 1.5), "b": (1, 1, 65, 65, 1, 0, 0, 1.5)}
+    # No row is laid out as several any more: each count reads its own columns.
+    assert "Generate" not in stats._jdf.queryExecution().executedPlan().toString()
