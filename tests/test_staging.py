@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from fieldlens.functions.numbers import locale_number, with_locale_numbers
+from fieldlens.functions.numbers import js_trim, locale_number, trimmed, with_locale_numbers
 from fieldlens.operators import quality
 from fieldlens.plans import ingest
 from fieldlens.schema import SHEET_HEADERS
@@ -79,3 +79,33 @@ def test_keys_are_dealt_by_rows(spark, monkeypatch):
     assert quality._dealt(keys).rdd.getNumPartitions() == 10
     assert quality._dealt(keys).groupBy("k").count().where("count > 1").count() == 40
     assert quality._dealt(keys.limit(9)).count() == 9
+
+
+def test_many_codes_are_joined_by_hash(spark, monkeypatch):
+    """A large code map is not broadcast; then the sheet's rows must not be sorted by name."""
+    T = _masters(spark)
+    sheet = ingest.normalise_sheet(_sheet(spark))[0]
+    want = ingest.with_resolved_ids(sheet, T).select("source_row", "customer_id", "product_id", "employee_id").collect()
+    monkeypatch.setattr(ingest, "BROADCAST_CODES", 0)
+    rows = ingest.with_resolved_ids(sheet, T)
+    assert "Join" not in _plan(rows.select("source_row", "row_hash"))
+    got = rows.select("source_row", "customer_id", "product_id", "employee_id")
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 3 and "SortMergeJoin" not in plan
+    assert sorted(got.collect()) == sorted(want)
+
+
+def test_statistics_join_distinct_codes(spark):
+    T = _masters(spark)
+    sheet = ingest.normalise_sheet(_sheet(spark))[0]
+    ids = ingest.resolved_codes(sheet, T)
+    stats = ingest.import_stats(sheet, ids=ids)
+    for side in _plan(stats).split("Join LeftOuter")[1:]:  # its left side is grouped by code
+        assert side.split("\n")[1].lstrip(": +-").startswith("Aggregate")
+    assert stats.collect() == ingest.import_stats(ingest.with_resolved_ids(sheet, T)).collect()
+
+
+@pytest.mark.parametrize("text", ["a", "", " a", "a　", "aé", "Đa", "~", "\x7f", "a\x7f", "﻿a b\t", "a "])
+def test_trimmed_is_js_trim(spark, text):
+    row = spark.createDataFrame([(text,)], "t string").select(trimmed(F.col("t")).alias("a"), js_trim("t").alias("b")).first()
+    assert row.a == row.b
