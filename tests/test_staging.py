@@ -1,15 +1,19 @@
 """What the sheet's steps leave on disk, shuffle and hold in a task."""
 
 import os
+import time
 
 import pytest
 
+from fieldlens import session
 from fieldlens.functions.numbers import js_trim, locale_number, trimmed, with_locale_numbers
 from fieldlens.operators import quality
 from fieldlens.plans import ingest
 from fieldlens.schema import SHEET_HEADERS
 from fieldlens.session import checkpoint_dir
-from fieldlens.sources.csv import read_resource_csv, write_resource_csv
+from fieldlens.sources.csv import export_snapshot, read_resource_csv, write_resource_csv
+from fieldlens.sources.rownum import with_source_row_number
+from fieldlens.sources.versions import VersionedTable
 from pyspark.sql import functions as F
 from test_ingest import _masters, _row
 
@@ -109,3 +113,79 @@ def test_statistics_join_distinct_codes(spark):
 def test_trimmed_is_js_trim(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(trimmed(F.col("t")).alias("a"), js_trim("t").alias("b")).first()
     assert row.a == row.b
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    found = set()
+    while files.hasNext():
+        found.add(files.next().getName())
+    return {f for f in found if f.startswith("shuffle_")}
+
+
+def _left_by(spark, write):
+    """The shuffle files that a write leaves; they are dropped in the background."""
+    before = _shuffle_files(spark)
+    write(spark.range(1000).groupBy((F.col("id") % 50).alias("k")).count())
+    end = time.time() + 10
+    while _shuffle_files(spark) - before and time.time() < end:
+        time.sleep(0.2)
+    return _shuffle_files(spark) - before
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark, tmp_path):
+    setting = spark.conf.get(session.FREE_SHUFFLES)
+    table = VersionedTable(spark, f"{tmp_path}/table")
+    assert not _left_by(spark, lambda df: session.staged(df, "rows"))
+    assert not _left_by(spark, lambda df: table.replace(df, "one", ["k"]))
+    assert not _left_by(spark, lambda df: write_resource_csv(df, f"{tmp_path}/csv"))
+    assert not _left_by(spark, lambda df: export_snapshot({"t": df}, f"{tmp_path}/json"))
+    assert spark.conf.get(session.FREE_SHUFFLES) == setting
+    with pytest.raises(ValueError), session.shuffles_freed(spark):
+        raise ValueError
+    assert spark.conf.get(session.FREE_SHUFFLES) == setting
+
+
+def test_slices_hold_each_row_once(spark, monkeypatch):
+    df = spark.createDataFrame([(None if n % 9 == 0 else n % 40, n) for n in range(200)], "k long, n long")
+    assert session.in_slices(df, ["k"], 200) == [df]
+    monkeypatch.setattr(session, "SLICE_ROWS", 60)
+    parts = [p.collect() for p in session.in_slices(df, ["k"], 200)]
+    assert len(parts) == 4 and sorted(r.n for p in parts for r in p) == list(range(200))
+    assert sum(len({r.k for r in p}) for p in parts) == 41  # equal keys, also nulls, share a slice
+    monkeypatch.setattr(session, "SLICE_ROWS", 1)
+    assert len(session.in_slices(df, ["k"], 200)) == session.MAX_SLICES
+
+
+def test_a_sheet_is_parsed_and_profiled_in_slices(spark, monkeypatch):
+    raw = _sheet(spark).withColumn("source_row", F.when(F.col("source_row") % 9 != 0, F.col("source_row")))
+    whole = [sorted(map(str, df.collect())) for df in ingest.normalise_sheet(raw)]
+    profile = ingest.sheet_profile(raw).collect()
+    monkeypatch.setattr(session, "SLICE_ROWS", 10)
+    assert [sorted(map(str, df.collect())) for df in ingest.normalise_sheet(raw, rows=40)] == whole
+    assert ingest.sheet_profile(raw, 40).collect() == profile
+    assert ingest.sheet_profile(raw.where("false"), 40).collect() == ingest.sheet_profile(raw.where("false")).collect()
+
+
+def test_a_slice_is_cut_before_its_rows_are_joined(spark, monkeypatch):
+    """The test of the slice and the row offsets must not shuffle the whole sheet."""
+    monkeypatch.setattr(session, "SLICE_ROWS", 10)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = with_source_row_number(spark.range(40).select((F.col("id") % 4).alias("k"), "id").orderBy("id"))
+        names = spark.range(4).select(F.col("id").alias("name_key"), F.lit("x").alias("name"))
+        part = session.in_slices(rows.join(names, F.col("k") == F.col("name_key"), "left"), ["source_row"], 40)[0]
+        plan = part._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("SortMergeJoin") == 1 and "BroadcastHashJoin [_pid" in plan
+    assert plan.index("SortMergeJoin") < plan.index("xxhash64")  # further down the tree
+
+
+def test_staged_rows_go_when_nothing_reads_them(spark, tmp_path):
+    accepted, rejected = ingest.normalise_sheet(_sheet(spark))
+    assert accepted.staged_path == rejected.staged_path and os.path.isdir(accepted.staged_path.removeprefix("file:"))
+    session.unstage(accepted)
+    assert not os.path.isdir(accepted.staged_path.removeprefix("file:"))
+    assert session.unstage(spark.range(1)) is None
